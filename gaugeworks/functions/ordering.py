@@ -119,57 +119,51 @@ def running_sums(
     return joined.drop("__b", *[f"__l_{n}" for n in sums], *[f"__o_{n}" for n in sums])
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None
+def quantiles_of_placed(
+    placed: DataFrame, keys: Sequence[str], value: str, count: str, upto: str, probs: Sequence[float]
 ) -> DataFrame:
+    """Linear-interpolated quantiles ``(keys..., q ARRAY<DOUBLE>, n)`` from value counts that already
+    carry their prefix sum ``upto``. Only values that hold a wanted rank leave the first filter."""
+    totals = placed.groupBy(*keys).agg(F.sum(count).alias("__n"))
+    rows = join_same(placed.where(F.col(count) > 0), totals, keys, "inner")
+    spots = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("h"))
+            for i, p in enumerate(probs)
+        ]
+    )
+
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col(upto) - F.col(count)) & (rank < F.col(upto))
+
+    hit = rows.select(
+        *keys, "__n", F.col(value).alias("__v"), F.col(upto).alias(upto), F.col(count).alias(count),
+        F.explode(F.filter(spots, lambda s: holds(F.floor(s["h"])) | holds(F.ceil(s["h"])))).alias("__s"),
+    )
+    picked = hit.groupBy(*keys, "__n", F.col("__s.i").alias("i"), F.col("__s.h").alias("h")).agg(
+        F.max(F.when(holds(F.floor("__s.h")), F.col("__v"))).alias("lo"),
+        F.max(F.when(holds(F.ceil("__s.h")), F.col("__v"))).alias("up"),
+    )
+    point = F.col("lo") + (F.col("up") - F.col("lo")) * (F.col("h") - F.floor("h"))
+    return picked.groupBy(*keys, F.col("__n").alias("n")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", point.alias("x")))), lambda s: s["x"]).alias("q")
+    )
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles per key: ``(keys..., q ARRAY<DOUBLE>, n)`` in order of ``probs``.
 
-    Equal values collapse into counts first, prefix sums place the counts, and only the few values
-    that hold a wanted rank are kept. Nulls and NaN are left out.
+    Equal values collapse into counts before the shuffle, then prefix sums place the counts. Nulls
+    and NaN are left out.
     """
     v = F.col(value).cast("double")
     counts = (
         df.where(v.isNotNull() & ~F.isnan(v))
-        .groupBy(*keys, (v + F.lit(0.0)).alias("__v"))
-        .agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("__c"))
-    )
-    counts = stage(counts)
-    placed = running_sums(counts, keys, "__v", {"__hi": "__c"})
-    totals = counts.groupBy(*keys).agg(F.sum("__c").alias("n"))
-    wanted = totals.select(
-        *keys, "n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("__i", "__p")
-    ).select(
-        *keys, "n", "__i",
-        (F.col("__p") * (F.col("n") - 1)).alias("__h"),
-    )
-    ranks = wanted.select(*keys, "n", F.struct("__i", "__h").alias("__w")).groupBy(*keys, "n").agg(
-        F.sort_array(F.collect_list("__w")).alias("__w")
-    )
-    hit = join_same(placed, ranks, keys, "inner").select(
-        *keys, "n", "__v", F.explode(
-            F.filter(
-                F.transform(
-                    "__w",
-                    lambda w: F.struct(
-                        w["__i"].alias("i"),
-                        w["__h"].alias("h"),
-                        ((F.floor(w["__h"]) >= F.col("__hi") - F.col("__c")) & (F.floor(w["__h"]) < F.col("__hi"))).alias("lo"),
-                        ((F.ceil(w["__h"]) >= F.col("__hi") - F.col("__c")) & (F.ceil(w["__h"]) < F.col("__hi"))).alias("up"),
-                    ),
-                ),
-                lambda w: w["lo"] | w["up"],
-            )
-        ).alias("w"),
-    )
-    picked = hit.groupBy(*keys, "n", F.col("w.i").alias("i"), F.col("w.h").alias("h")).agg(
-        F.max(F.when(F.col("w.lo"), F.col("__v"))).alias("lo"),
-        F.max(F.when(F.col("w.up"), F.col("__v"))).alias("up"),
-    )
-    share = F.col("h") - F.floor("h")
-    point = F.col("lo") + (F.col("up") - F.col("lo")) * share
-    return picked.groupBy(*keys, "n").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", point.alias("x")))), lambda s: s["x"]).alias("q")
+        .groupBy(*keys, (v + F.lit(0.0)).alias("__x"))
+        .agg(F.count("*").alias("__c"))
     )
+    placed = running_sums(stage(counts), keys, "__x", {"__hi": "__c"})
+    return quantiles_of_placed(stage(placed), keys, "__x", "__c", "__hi", probs)
 
 
 def chunk_with_halo(

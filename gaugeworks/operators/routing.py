@@ -64,12 +64,16 @@ def pick_intent(
     df: DataFrame, text: str = "text", domain: str = "domain", intents: dict = INTENT_KEYWORDS, default: dict = DEFAULT_INTENT
 ) -> DataFrame:
     """Adds ``intent``: the query of the row's domain with the most keywords in the question."""
-    low = F.lower(text)
-    pick = F.lit(None).cast("string")
+    hits = F.lit(None).cast("array<int>")
+    names = F.lit(None).cast("array<string>")
     for dom, queries in intents.items():
-        scores = [(q, _score(low, [(w, 1) for w in words])) for q, words in queries.items()]
-        pick = F.when(F.col(domain) == dom, _first_best(scores, F.lit(default[dom]))).otherwise(pick)
-    return df.withColumn("intent", pick)
+        scores = [_score(F.col("__q"), [(w, 1) for w in words]) for words in queries.values()]
+        hits = F.when(F.col(domain) == dom, F.array(*scores)).otherwise(hits)
+        names = F.when(F.col(domain) == dom, F.array(*[F.lit(q) for q in queries], F.lit(default[dom]))).otherwise(names)
+    rows = df.withColumn("__q", F.lower(text)).withColumn("__h", hits)
+    best = F.array_max("__h")  # array_position finds the first declared of equal scores
+    at = F.when(best > 0, F.array_position("__h", best)).otherwise(F.lit(-1))
+    return rows.withColumn("intent", F.element_at(names, at.cast("int"))).drop("__q", "__h")
 
 
 def ask(

@@ -167,3 +167,35 @@ def monthly_revenue(spark, sf) -> DataFrame:
         .agg(exact_sum(F.col("o_totalprice")).alias("value"))
         .select("kpi_id", F.col("day").cast("timestamp").alias("timestamp"), "value")
     )
+
+
+def time_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Event times as text with microseconds, so that reports compare the same on any engine."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in columns})
+
+
+def day_text(df: DataFrame, column: str = "timestamp", name: str = "day") -> DataFrame:
+    """The series timestamp as a day, in place of the timestamp."""
+    return df.select(*[F.date_format(c, "yyyy-MM-dd").alias(name) if c == column else F.col(c) for c in df.columns])
+
+
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def patients(spark, sf) -> DataFrame:
+    """Events as patient documents: name, age, department, diagnosis, status, cost."""
+    k = F.from_json("props", "k INT")["k"]
+    return table(spark, sf, "events").select(
+        F.concat(F.lit("p"), F.col("event_id")).alias("name"),
+        k.alias("age"),
+        F.col("event_type").alias("department"),
+        F.concat(F.lit("d"), F.col("user_id") % 7).alias("diagnosis"),
+        F.when(k % 3 == 0, "admitted").otherwise("discharged").alias("status"),
+        F.col("value").alias("cost"),
+    )
+
+
+def user_questions(spark, sf) -> DataFrame:
+    """Conversation turns of users as questions: conv_id, turn, text."""
+    return table(spark, sf, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")

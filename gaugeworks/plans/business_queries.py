@@ -30,6 +30,7 @@ ACC = """accounts AS (SELECT c_custkey AS id, c_name AS customer_name, c_mktsegm
 TRA = """transfers AS (SELECT event_id AS id, user_id AS from_account,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS to_account, value AS amount, ts AS txn_date,
   CAST(event_type = 'error' AS INTEGER) AS flagged FROM events)"""
+AT = "strftime(txn_date, '%Y-%m-%d %H:%M:%S.%f') AS txn_date"
 LOA = """loans AS (SELECT s_suppkey AS id, s_acctbal AS principal,
   CASE WHEN s_acctbal < 0 THEN 'delinquent' WHEN s_acctbal < 5000 THEN 'current' ELSE 'watch' END AS status FROM supplier)"""
 
@@ -103,16 +104,16 @@ def _(spark, sf):
     return ops.total_revenue(b.revenue(spark, sf))
 
 
-@query("banking_flagged_transfers", f"""WITH {TRA} SELECT id, from_account, to_account, amount, txn_date FROM transfers
+@query("banking_flagged_transfers", f"""WITH {TRA} SELECT id, from_account, to_account, amount, {AT} FROM transfers
   WHERE flagged = 1""")
 def _(spark, sf):
-    return ops.flagged_transfers(b.transfers(spark, sf))
+    return b.time_text(ops.flagged_transfers(b.transfers(spark, sf)), "txn_date")
 
 
-@query("banking_high_value_transfers", f"""WITH {TRA} SELECT id, from_account, to_account, amount, txn_date FROM transfers
+@query("banking_high_value_transfers", f"""WITH {TRA} SELECT id, from_account, to_account, amount, {AT} FROM transfers
   ORDER BY amount DESC, id LIMIT 8""")
 def _(spark, sf):
-    return ops.high_value_transfers(b.transfers(spark, sf))
+    return b.time_text(ops.high_value_transfers(b.transfers(spark, sf)), "txn_date")
 
 
 @query("banking_loans_outstanding", f"""WITH {LOA} SELECT status, COUNT(*) AS loans,
@@ -133,10 +134,10 @@ def _(spark, sf):
     return ops.deposits_by_type(b.accounts(spark, sf))
 
 
-@query("clean_result", f"""WITH {TRA} SELECT id, from_account, to_account, ROUND(amount, 2) AS amount, txn_date
+@query("clean_result", f"""WITH {TRA} SELECT id, from_account, to_account, ROUND(amount, 2) AS amount, {AT}
   FROM transfers WHERE flagged = 1 ORDER BY transfers.amount DESC, id LIMIT 50""")
 def _(spark, sf):
-    return ops.clean_result(ops.flagged_transfers(b.transfers(spark, sf)), 50)
+    return b.time_text(ops.clean_result(ops.flagged_transfers(b.transfers(spark, sf)), 50), "txn_date")
 
 
 @query("result_size", f"""WITH {TRA} SELECT COUNT(*) AS row_count, LEAST(COUNT(*), 50) AS shown, COUNT(*) > 50 AS truncated
@@ -261,6 +262,7 @@ def _(spark, sf):
     return out.select(F.round("high_mean", 4).alias("high_mean"), F.round("low_mean", 4).alias("low_mean"), F.round("ratio", 8).alias("ratio"))
 
 
-@query("date_range", "SELECT CAST(MIN(o_orderdate) AS DATE) AS first, CAST(MAX(o_orderdate) AS DATE) AS last FROM orders")
+@query("date_range", "SELECT strftime(MIN(o_orderdate), '%Y-%m-%d') AS first, strftime(MAX(o_orderdate), '%Y-%m-%d') AS last FROM orders")
 def _(spark, sf):
-    return roll.date_range(b.retail_orders(spark, sf), "order_date")
+    out = roll.date_range(b.retail_orders(spark, sf), "order_date")
+    return out.select(F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"))
