@@ -136,9 +136,9 @@ def quantiles_of_placed(
     def holds(rank: Column) -> Column:
         return (rank >= F.col(upto) - F.col(count)) & (rank < F.col(upto))
 
-    hit = rows.select(
-        *keys, "__n", F.col(value).alias("__v"), F.col(upto).alias(upto), F.col(count).alias(count),
-        F.explode(F.filter(spots, lambda s: holds(F.floor(s["h"])) | holds(F.ceil(s["h"])))).alias("__s"),
+    rows = rows.withColumn("__w", F.filter(spots, lambda s: holds(F.floor(s["h"])) | holds(F.ceil(s["h"]))))
+    hit = rows.where(F.size("__w") > 0).select(
+        *keys, "__n", F.col(value).alias("__v"), upto, count, F.explode("__w").alias("__s")
     )
     picked = hit.groupBy(*keys, "__n", F.col("__s.i").alias("i"), F.col("__s.h").alias("h")).agg(
         F.max(F.when(holds(F.floor("__s.h")), F.col("__v"))).alias("lo"),

@@ -6,19 +6,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def fixed(value: Column, decimals: int) -> Column:
+    """Fixed-point text of a double, rounded on its exact binary value, ties to even.
+
+    ``format_string`` rounds the shortest decimal rendering up instead, so 0.125 would read 0.13. The
+    fraction is scaled to 52 bits and rounded with whole numbers.
+    """
+    bits, unit = 52, 10**decimals
+    size = F.abs(value)
+    whole = F.floor(size)
+    scaled = F.floor((size - whole) * F.lit(float(2**bits))).cast("long") * F.lit(unit)
+    part, rest = F.shiftright(scaled, bits), scaled.bitwiseAND(F.lit(2**bits - 1))
+    half = F.lit(2 ** (bits - 1))
+    up = (rest > half) | ((rest == half) & (part % 2 == 1))
+    digits = whole.cast("long") * F.lit(unit) + part + F.when(up, 1).otherwise(0)
+    text = F.concat(
+        F.when(value < 0, "-").otherwise(""),
+        ((digits - digits % unit) / F.lit(unit)).cast("long").cast("string"),
+        F.lit("."), F.lpad((digits % unit).cast("string"), decimals, "0"),
+    )
+    return F.when(size < 1e13, text).otherwise(F.format_string(f"%.{decimals}f", value))
+
+
 def humanize(value: Column) -> Column:
     """1234567 -> '1.23M': B and M with two decimals, K with one, else two."""
     size = F.abs(value)
     return (
-        F.when(size >= 1e9, F.format_string("%.2fB", value / F.lit(1e9)))
-        .when(size >= 1e6, F.format_string("%.2fM", value / F.lit(1e6)))
-        .when(size >= 1e3, F.format_string("%.1fK", value / F.lit(1e3)))
-        .when(value.isNotNull(), F.format_string("%.2f", value))
+        F.when(size >= 1e9, F.concat(fixed(value / F.lit(1e9), 2), F.lit("B")))
+        .when(size >= 1e6, F.concat(fixed(value / F.lit(1e6), 2), F.lit("M")))
+        .when(size >= 1e3, F.concat(fixed(value / F.lit(1e3), 1), F.lit("K")))
+        .otherwise(fixed(value, 2))
     )
 
 
 def signed(value: Column, decimals: int = 1) -> Column:
-    return F.format_string(f"%+.{decimals}f", value)
+    return F.concat(F.when(value >= 0, "+").otherwise(""), fixed(value, decimals))
 
 
 def money(value: Column) -> Column:

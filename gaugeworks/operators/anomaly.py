@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from gaugeworks.functions.ordering import MAX_GROUP_ROWS, exact_quantiles, join_same, over_series
-from gaugeworks.functions.text import humanize
+from gaugeworks.functions.text import fixed, humanize
 
 TINY = 1e-9
 
@@ -36,7 +36,7 @@ def rolling_scores(
     n = window
     rows = rows.withColumn("__s", F.when(F.col("__s") == 0, F.lit(TINY)).otherwise(F.col("__s")))
     rows = rows.withColumn("z_score", (F.col("value") - F.col("expected")) / F.col("__s"))
-    q1, q3 = F.element_at("__h", n // 4 + 1), F.element_at("__h", min(n - 1, 3 * n // 4) + 1)
+    q1, q3 = (F.try_element_at("__h", F.lit(i + 1)) for i in (n // 4, min(n - 1, 3 * n // 4)))
     iqr = F.greatest(q3 - q1, F.lit(TINY))
     return rows.withColumn("fence_low", q1 - 1.5 * iqr).withColumn("fence_high", q3 + 1.5 * iqr).drop("__h", "__s")
 
@@ -72,7 +72,7 @@ def rolling_anomalies(
 def narrate(name: Column, kind: Column, value: Column, expected: Column, delta_pct: Column, worse: Column) -> Column:
     return F.concat(
         F.when(worse, "⚠️ ").otherwise(""), name, F.when(kind == "spike", " jumped ").otherwise(" dropped "),
-        F.format_string("%.1f", F.abs(delta_pct)), F.lit("% (now "), humanize(value), F.lit(", expected ~"),
+        fixed(F.abs(delta_pct), 1), F.lit("% (now "), humanize(value), F.lit(", expected ~"),
         humanize(expected), F.lit(")"),
     )
 
@@ -186,10 +186,10 @@ def explain_detection() -> Column:
         part("xgboost", "supervised model classified as anomalous"),
         part("statistical", "value is statistically extreme vs history"),
     )
-    fused = F.format_string("%.2f", F.col("fused_score"))
+    fused = fixed(F.col("fused_score"), 2)
     return F.when(F.size(flags) == 0, F.concat(F.lit("Normal point (fused score "), fused, F.lit(")."))).otherwise(
         F.concat(
-            F.lit("⚠️ Anomaly @ "), F.format_string("%.2f", F.col("value")), F.lit(": "), parts,
+            F.lit("⚠️ Anomaly @ "), fixed(F.col("value"), 2), F.lit(": "), parts,
             F.lit(". Fused confidence: "), fused, F.lit("."),
         )
     )
