@@ -6,41 +6,61 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def fixed(value: Column, decimals: int) -> Column:
-    """Fixed-point text of a double, rounded on its exact binary value, ties to even.
-
-    ``format_string`` rounds the shortest decimal rendering up instead, so 0.125 would read 0.13. The
-    fraction is scaled to 52 bits and rounded with whole numbers.
-    """
-    bits, unit = 52, 10**decimals
+def _fixed(value: Column, decimals: Column, unit: Column) -> Column:
+    bits = 52
     size = F.abs(value)
     whole = F.floor(size)
-    scaled = F.floor((size - whole) * F.lit(float(2**bits))).cast("long") * F.lit(unit)
+    scaled = F.floor((size - whole) * F.lit(float(2**bits))).cast("long") * unit
     part, rest = F.shiftright(scaled, bits), scaled.bitwiseAND(F.lit(2**bits - 1))
     half = F.lit(2 ** (bits - 1))
     up = (rest > half) | ((rest == half) & (part % 2 == 1))
-    digits = whole.cast("long") * F.lit(unit) + part + F.when(up, 1).otherwise(0)
+    digits = whole.cast("long") * unit + part + F.when(up, 1).otherwise(0)
     text = F.concat(
-        F.when(value < 0, "-").otherwise(""),
-        ((digits - digits % unit) / F.lit(unit)).cast("long").cast("string"),
-        F.lit("."), F.lpad((digits % unit).cast("string"), decimals, "0"),
+        F.when(value < 0, "-").otherwise(""), F.floor(digits / unit).cast("string"), F.lit("."),
+        F.lpad((digits % unit).cast("string"), decimals, F.lit("0")),
     )
-    return F.when(size < 1e13, text).otherwise(F.format_string(f"%.{decimals}f", value))
+    return F.when(size < 1e13, text).otherwise(value.cast("string"))
+
+
+def _let(value: Column, then) -> Column:
+    """Evaluate ``value`` once and use it many times."""
+    return F.transform(F.array(value), then)[0]
+
+
+def fixed(value: Column, decimals: int) -> Column:
+    """Fixed-point text of a double, rounded on its exact binary value, ties to even.
+
+    ``format_string`` rounds the shortest decimal rendering up instead, so 0.125 would read 0.13. The
+    fraction is scaled to 52 bits and rounded with whole numbers.
+    """
+    return _let(value.cast("double"), lambda v: _fixed(v, F.lit(decimals), F.lit(10**decimals).cast("long")))
 
 
 def humanize(value: Column) -> Column:
     """1234567 -> '1.23M': B and M with two decimals, K with one, else two."""
-    size = F.abs(value)
-    return (
-        F.when(size >= 1e9, F.concat(fixed(value / F.lit(1e9), 2), F.lit("B")))
-        .when(size >= 1e6, F.concat(fixed(value / F.lit(1e6), 2), F.lit("M")))
-        .when(size >= 1e3, F.concat(fixed(value / F.lit(1e3), 1), F.lit("K")))
-        .otherwise(fixed(value, 2))
-    )
+
+    def scale(v: Column) -> Column:
+        def row(divisor: float, decimals: int, suffix: str) -> Column:
+            return F.struct(
+                (v / F.lit(divisor)).alias("x"), F.lit(decimals).alias("d"),
+                F.lit(10**decimals).cast("long").alias("u"), F.lit(suffix).alias("s"),
+            )
+
+        size = F.abs(v)
+        return F.when(size >= 1e9, row(1e9, 2, "B")).when(size >= 1e6, row(1e6, 2, "M")).when(
+            size >= 1e3, row(1e3, 1, "K")
+        ).otherwise(row(1.0, 2, ""))
+
+    scaled = _let(value.cast("double"), scale)
+    return _let(scaled, lambda r: F.concat(_fixed(r["x"], r["d"], r["u"]), r["s"]))
 
 
 def signed(value: Column, decimals: int = 1) -> Column:
-    return F.concat(F.when(value >= 0, "+").otherwise(""), fixed(value, decimals))
+    unit = F.lit(10**decimals).cast("long")
+    return _let(
+        value.cast("double"),
+        lambda v: F.concat(F.when(v >= 0, "+").otherwise(""), _fixed(v, F.lit(decimals), unit)),
+    )
 
 
 def money(value: Column) -> Column:
