@@ -102,9 +102,16 @@ def row_index(
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order_by: str, sums: dict[str, str], buckets: int | None = None
+    df: DataFrame, keys: Sequence[str], order_by: str, sums: dict[str, str], max_rows: int = MAX_GROUP_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Inclusive prefix sums ``{new: column}``; one row per (keys, order_by) is expected."""
+    """Inclusive prefix sums ``{new: column}``; one row per (keys, order_by) is expected.
+
+    One window per key while the largest key has at most ``max_rows`` rows, range by range beyond.
+    """
+    if keys and largest_group(df, keys) <= max_rows:
+        upto = Window.partitionBy(*keys).orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
     cut = df.withColumn("__b", range_bucket(_number(df, order_by), range_edges(df, order_by, buckets)))
     totals = cut.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -150,11 +157,14 @@ def quantiles_of_placed(
     )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], max_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
     """Linear-interpolated quantiles per key: ``(keys..., q ARRAY<DOUBLE>, n)`` in order of ``probs``.
 
-    Equal values collapse into counts before the shuffle, then prefix sums place the counts. Nulls
-    and NaN are left out.
+    Equal values collapse into counts before the shuffle. While no key has more than ``max_rows``
+    distinct values the built-in weighted percentile finishes the job; beyond that prefix sums place
+    the counts range by range. Nulls and NaN are left out.
     """
     v = F.col(value).cast("double")
     counts = (
@@ -162,7 +172,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         .groupBy(*keys, (v + F.lit(0.0)).alias("__x"))
         .agg(F.count("*").alias("__c"))
     )
-    placed = running_sums(stage(counts), keys, "__x", {"__hi": "__c"})
+    counts = stage(counts)
+    if largest_group(counts, keys) <= max_rows:
+        shares = F.array(*[F.lit(float(p)) for p in probs])
+        out = counts.groupBy(*keys).agg(F.percentile("__x", shares, F.col("__c")).alias("q"), F.sum("__c").alias("n"))
+        return out.where("n IS NOT NULL")
+    placed = running_sums(counts, keys, "__x", {"__hi": "__c"}, max_rows)
     return quantiles_of_placed(stage(placed), keys, "__x", "__c", "__hi", probs)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions.ordering import join_same, quantiles_of_placed, running_sums
+from gaugeworks.functions.ordering import MAX_GROUP_ROWS, join_same, quantiles_of_placed, running_sums
 from gaugeworks.session import stage
 
 # Features that are functions of the timestamp alone and always differ between windows.
@@ -62,12 +62,13 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
 
 
 def feature_scores(
-    reference: DataFrame, new: DataFrame, keys: Sequence[str], features: Sequence[str], bins: int = 10
+    reference: DataFrame, new: DataFrame, keys: Sequence[str], features: Sequence[str], bins: int = 10,
+    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """(keys..., feature, psi, ks, p, ref STRUCT<mean,std,n>, new STRUCT<mean,std,n>)."""
     by = [*keys, "feature"]
     counts = stage(value_counts(reference, new, keys, features))
-    placed = stage(running_sums(counts, by, "x", {"c_ref": "n_ref", "c_new": "n_new"}))
+    placed = stage(running_sums(counts, by, "x", {"c_ref": "n_ref", "c_new": "n_new"}, max_rows))
 
     x = F.col("x")
     totals = counts.groupBy(*by).agg(
@@ -160,12 +161,13 @@ def compare_windows(
     min_rows: int = 30,
     include_calendar: bool = False,
     drifted_only: bool = False,
+    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Severity per feature; features with fewer than ``min_rows`` values on a side are skipped."""
     cols = list(features) if features else numeric_columns(reference, new, keys)
     if not include_calendar:
         cols = informative(cols)
-    rows = feature_scores(reference, new, keys, cols)
+    rows = feature_scores(reference, new, keys, cols, max_rows=max_rows)
     rows = rows.where((F.col("ref.n") >= min_rows) & (F.col("new.n") >= min_rows))
     rows = rows.withColumn("psi_severity", psi_severity(F.col("psi"), psi_minor, psi_major))
     rows = rows.withColumn("ks_severity", ks_severity(F.col("p"), alpha))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gaugeworks.functions.ordering import MAX_GROUP_ROWS, exact_quantiles, join_same, over_series, row_index
+from gaugeworks.operators import boosting as bo
 from gaugeworks.operators import models as mo
 from gaugeworks.session import stage
 
@@ -368,23 +369,52 @@ def score_folds(predictions: DataFrame, actuals: DataFrame, keys: Sequence[str])
     return forecast_metrics(rows, [*keys, "model", "fold"])
 
 
+def split_candidates(names: Sequence[str] | None) -> tuple[list[str], list[str]]:
+    """(recursion models, tree models) among ``names``; all of them without names, error for none."""
+    known = list(mo.candidate_models())
+    wanted = [*known, *bo.KINDS] if names is None else list(names)
+    plain, trees = [n for n in known if n in wanted], [n for n in bo.KINDS if n in wanted]
+    if not plain and not trees:
+        raise ValueError(f"no forecasting model among {names}")
+    return plain, trees
+
+
+def all_predictions(
+    series: DataFrame, packed: DataFrame, keys: Sequence[str], targets: DataFrame, steps: DataFrame, horizon: int,
+    names: Sequence[str] | None, chunk: int = CHUNK, tree_rounds: int = 400, local_chunks: int = LOCAL_CHUNKS,
+) -> DataFrame:
+    """Predictions of every candidate for every (series, fold); with a column ``model`` in
+    ``targets`` only that model of each series is fitted."""
+    plain, trees = split_candidates(names)
+    parts = []
+    if plain:
+        parts.append(predict(fit_models(packed, keys, targets, plain, chunk, local_chunks), keys, steps, horizon))
+    for kind in trees:
+        at = targets.where(F.col("model") == kind) if "model" in targets.columns else targets
+        if "model" in targets.columns and at.limit(1).isEmpty():
+            continue
+        parts.append(bo.tree_forecast(series, keys, at, steps, horizon, kind, tree_rounds))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def backtest(
     series: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None, folds: int = 4, test_size: int = 14,
-    chunk: int = CHUNK, extra: DataFrame | None = None,
+    chunk: int = CHUNK, tree_rounds: int = 400,
 ) -> DataFrame:
-    """Scores (keys..., model, fold, mae, rmse, mape). ``extra`` adds predictions of further models."""
+    """Scores (keys..., model, fold, mae, rmse, mape) of every candidate on every fold."""
     steps = stage(infer_step(series, keys))
     plan = stage(backtest_folds(steps, keys, folds, test_size))
-    fits = fit_models(pack_series(series, keys, chunk), keys, plan, names, chunk)
-    guesses = predict(fits, keys, steps, test_size)
-    if extra is not None:
-        guesses = guesses.unionByName(extra.select(*guesses.columns))
+    packed = stage(pack_series(series, keys, chunk))
+    guesses = all_predictions(series, packed, keys, plan, steps, test_size, names, chunk, tree_rounds)
     return score_folds(guesses, fold_actuals(series, keys, plan, test_size), keys)
 
 
 def forecast(
     series: DataFrame, keys: Sequence[str], horizon: int, folds: int = 4, test_size: int = 14,
-    names: Sequence[str] | None = None, chunk: int = CHUNK,
+    names: Sequence[str] | None = None, chunk: int = CHUNK, tree_rounds: int = 400,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Backtest, pick the winner per series, refit it on all rows: (forecast, scoreboard, selection).
 
@@ -393,15 +423,14 @@ def forecast(
     steps = stage(infer_step(series, keys))
     packed = stage(pack_series(series, keys, chunk))
     plan = stage(backtest_folds(steps, keys, folds, test_size))
-    guesses = predict(fit_models(packed, keys, plan, names, chunk), keys, steps, test_size)
+    guesses = all_predictions(series, packed, keys, plan, steps, test_size, names, chunk, tree_rounds)
     scores = score_folds(guesses, fold_actuals(series, keys, plan, test_size), keys)
     board = stage(scoreboard(scores, keys))
     chosen = stage(select_models(board, keys))
     full = join_same(steps, chosen, keys, "inner").select(
         *keys, F.lit(FULL).alias("fold"), F.col("n").alias("start"), F.col("winner").alias("model")
     )
-    fits = fit_models(packed, keys, full, names, chunk)
-    ahead = predict(fits, keys, steps, horizon).drop("fold")
+    ahead = all_predictions(series, packed, keys, stage(full), steps, horizon, names, chunk, tree_rounds).drop("fold")
     dated = join_same(ahead, future_timestamps(steps, keys, horizon), [*keys, "step"], "inner")
     out = join_same(dated, steps.select(*keys, F.col("n").alias("trained_on")), keys)
     return out.select(*keys, "step", "timestamp", "yhat", "lower95", "upper95", "model", "trained_on"), board, chosen

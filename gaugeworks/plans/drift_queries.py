@@ -83,6 +83,12 @@ def _(spark, sf):
     return _flat(dr.feature_scores(*_windows(spark, sf), [], COLS))
 
 
+@query("psi_and_ks_ranged", f"WITH {scores_sql(_source(), '')} SELECT {_FLAT} FROM scored")
+def _(spark, sf):
+    """The path for features with very many distinct values."""
+    return _flat(dr.feature_scores(*_windows(spark, sf), [], COLS, max_rows=0))
+
+
 @query("compare_windows", f"WITH {scores_sql(_source(shift=True), '')} SELECT {_FLAT}{_SEV} FROM found")
 def _(spark, sf):
     return _flat(dr.compare_windows(*_windows(spark, sf, True), features=COLS))

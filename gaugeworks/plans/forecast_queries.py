@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.operators import boosting as bo
 from gaugeworks.operators import forecast as fc
 from gaugeworks.operators import rollups as roll
 from gaugeworks.operators.features import FeatureConfig, FeaturePipeline
@@ -151,20 +152,37 @@ def _(spark, sf):
     return fits.select("kpi_id", "model", "start", F.round("sigma", 3).alias("sigma"), "reason")
 
 
+PLAIN = ("arima", "sarima", "holt_winters", "prophet")
+
+
+def _trees(kind: str) -> None:
+    @query(f"forecast_{kind}")
+    def _(spark, sf):
+        """A small tree model on the features of all daily series, two weeks ahead."""
+        rows = daily(spark, sf)
+        steps = stage(fc.infer_step(rows, KEY))
+        full = steps.select("kpi_id", F.lit(fc.FULL).alias("fold"), F.col("n").alias("start"))
+        return bo.tree_forecast(rows, KEY, full, steps, TEST, kind, rounds=8, depth=4).drop("fold")
+
+
+for _name in bo.KINDS:
+    _trees(_name)
+
+
 @query("backtest")
 def _(spark, sf):
-    return fc.backtest(daily(spark, sf), KEY, None, FOLDS, TEST)
+    return fc.backtest(daily(spark, sf), KEY, PLAIN, 2, TEST)
 
 
 @query("autoselect")
 def _(spark, sf):
-    _ahead, board, _chosen = fc.forecast(monthly(spark, sf), KEY, 6, 3, 6)
+    _ahead, board, _chosen = fc.forecast(monthly(spark, sf), KEY, 6, 3, 6, PLAIN)
     return board
 
 
 @query("forecast")
 def _(spark, sf):
-    return fc.forecast(monthly(spark, sf), KEY, 6, 3, 6)[0]
+    return fc.forecast(monthly(spark, sf), KEY, 6, 3, 6, PLAIN)[0]
 
 
 @query("forecast_selected_models")

@@ -48,13 +48,26 @@ def _(spark, sf):
     return ordered_index(b.table(spark, sf, "events").select("event_id", "ts"), [], ["ts", "event_id"]).select("event_id", "rn")
 
 
-@query("exact_quantiles", """SELECT event_type, ROUND(quantile_cont(value, 0.05), 6) AS q05, ROUND(quantile_cont(value, 0.5), 6) AS q50,
-  ROUND(quantile_cont(value, 0.95), 6) AS q95, COUNT(value) AS n FROM events GROUP BY 1""")
-def _(spark, sf):
-    q = exact_quantiles(b.table(spark, sf, "events"), ["event_type"], "value", [0.05, 0.5, 0.95])
+_QUANTILES = """SELECT event_type, ROUND(quantile_cont(value, 0.05), 6) AS q05, ROUND(quantile_cont(value, 0.5), 6) AS q50,
+  ROUND(quantile_cont(value, 0.95), 6) AS q95, COUNT(value) AS n FROM events GROUP BY 1"""
+
+
+def _quantiles(spark, sf, **kw):
+    q = exact_quantiles(b.table(spark, sf, "events"), ["event_type"], "value", [0.05, 0.5, 0.95], **kw)
     return q.select("event_type", *[F.round(F.element_at("q", i + 1), 6).alias(n) for i, n in enumerate(("q05", "q50", "q95"))], "n")
 
 
+@query("exact_quantiles", _QUANTILES)
+def _(spark, sf):
+    return _quantiles(spark, sf)
+
+
+@query("exact_quantiles_ranged", _QUANTILES)
+def _(spark, sf):
+    """The path for keys with very many distinct values."""
+    return _quantiles(spark, sf, max_rows=0)
+
+
 # features ----------------------------------------------------------------------------------
 
 _LAGS = ", ".join(f"LAG(value, {k}) {W} AS lag_{k}" for k in (1, 7, 14, 28))
