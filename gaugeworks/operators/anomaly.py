@@ -90,37 +90,64 @@ def fit_medians(features: DataFrame, keys: Sequence[str], columns: Sequence[str]
     return q.select(*keys, "feature", F.element_at("q", 1).alias("median"))
 
 
-def _wide(long: DataFrame, keys: Sequence[str], name: str, value: str, out: str) -> DataFrame:
-    """One map per series; a series has as many entries as there are features."""
-    return long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(name, value))).alias(out))
+def _by_feature(long: DataFrame, keys: Sequence[str], columns: Sequence[str], value: str, out: str) -> DataFrame:
+    """One array per series in the order of ``columns``, null where a feature has no entry."""
+    table = F.map_from_entries(F.collect_list(F.struct("feature", value)))  # one entry per feature
+    names = F.array(*[F.lit(c) for c in columns])
+    packed = long.groupBy(*keys).agg(table.alias("__t"))
+    return packed.select(*keys, F.transform(names, lambda c: F.col("__t")[c]).alias(out))
+
+
+def pack_features(features: DataFrame, columns: Sequence[str], out: str = "x") -> DataFrame:
+    """The feature columns as one array; the other columns stay."""
+    keep = [c for c in features.columns if c not in set(columns)]
+    return features.select(*keep, F.array(*[F.col(c).cast("double") for c in columns]).alias(out))
+
+
+def unpack_features(rows: DataFrame, columns: Sequence[str], x: str = "x") -> DataFrame:
+    keep = [c for c in rows.columns if c != x]
+    return rows.select(*keep, *[F.col(x)[i].alias(c) for i, c in enumerate(columns)])
+
+
+def impute_array(rows: DataFrame, medians: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Infinite and missing entries of ``x`` become the series' median, or 0 where there is none."""
+    out = join_same(rows, _by_feature(medians, keys, columns, "median", "__m"), keys)
+    none = F.transform("x", lambda v: F.lit(None).cast("double"))
+    filled = F.zip_with(
+        "x", F.coalesce("__m", none),
+        # NaN compares above infinity, so one test drops it together with the infinities
+        lambda v, m: F.coalesce(F.when(F.abs(v) < float("inf"), v), m, F.lit(0.0)),
+    )
+    return out.withColumn("x", filled).drop("__m")
 
 
 def impute(features: DataFrame, medians: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Infinite and missing features become the series' median, or 0 where there is none."""
-    rows = join_same(features, _wide(medians, keys, "feature", "median", "__m"), keys)
+    """:func:`impute_array` on separate feature columns."""
+    return unpack_features(impute_array(pack_features(features, columns), medians, keys, columns), columns)
 
-    def filled(c: str) -> Column:
-        x = F.col(c).cast("double")
-        usable = F.when(F.abs(x) < float("inf"), x)  # NaN compares above infinity
-        return F.coalesce(usable, F.col("__m")[c], F.lit(0.0)).alias(c)
 
-    keep = [F.col(c) for c in features.columns if c not in columns]
-    return rows.select(*keep, *[filled(c) for c in columns])
+def fit_scaler(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Mean and population deviation (0 becomes 1) per series and feature of ``x``.
+
+    The array is exploded and reduced in the same stage, so the shuffle holds one row per series,
+    feature and task.
+    """
+    long = rows.select(*keys, F.posexplode("x").alias("i", "v"))
+    sd = F.stddev_pop("v")
+    stats = long.groupBy(*keys, "i").agg(F.avg("v").alias("mean"), F.when(sd == 0, 1.0).otherwise(sd).alias("sd"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return stats.select(*keys, names[F.col("i")].alias("feature"), "mean", "sd")
 
 
-def fit_scaler(features: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Mean and population deviation (0 becomes 1) of every feature, one row per series."""
-    stats = []
-    for c in columns:
-        sd = F.stddev_pop(c)
-        stats += [F.avg(c).alias(f"__mean_{c}"), F.when(sd == 0, 1.0).otherwise(sd).alias(f"__sd_{c}")]
-    return features.groupBy(*keys).agg(*stats)
+def standardize_array(rows: DataFrame, scaler: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    fitted = scaler.withColumn("ms", F.struct("mean", "sd"))
+    out = join_same(rows, _by_feature(fitted, keys, columns, "ms", "__s"), keys)
+    return out.withColumn("x", F.zip_with("x", "__s", lambda v, s: (v - s["mean"]) / s["sd"])).drop("__s")
 
 
 def standardize(features: DataFrame, scaler: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    rows = join_same(features, scaler, keys)
-    keep = [F.col(c) for c in features.columns if c not in columns]
-    return rows.select(*keep, *[((F.col(c) - F.col(f"__mean_{c}")) / F.col(f"__sd_{c}")).alias(c) for c in columns])
+    """:func:`standardize_array` on separate feature columns."""
+    return unpack_features(standardize_array(pack_features(features, columns), scaler, keys, columns), columns)
 
 
 def fit_statistical(series: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -42,7 +42,7 @@ def tree_tables(spark: SparkSession, model) -> list[dict]:
     model.save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
         "treeID", "id", "prediction", "leftChild", "rightChild",
-        F.col("split.featureIndex").alias("f"), F.col("split.leftCategoriesOrThreshold")[0].alias("cut"),
+        F.col("split.featureIndex").alias("f"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"),
     ).toPandas()  # at most rounds x 2^(depth + 1) rows
     weights = list(model.treeWeights)
     out = []

@@ -49,9 +49,11 @@ class AnomalyEnsemble:
     def _matrix(self, features: DataFrame, medians: DataFrame) -> DataFrame:
         """(keys..., timestamp, value, label?, x): imputed and standardized features as one array."""
         keep = [c for c in (*self.keys, "timestamp", "value", "label") if c in features.columns]
-        have = features.select(*keep, *[F.col(c) if c in features.columns else F.lit(None).cast("double").alias(c) for c in self.columns])
-        scaled = an.standardize(an.impute(have, medians, self.keys, self.columns), self.scaler, self.keys, self.columns)
-        return scaled.select(*keep, F.array(*[F.col(c).cast("double") for c in self.columns]).alias("x"))
+        have = features.select(
+            *keep, *[F.col(c) if c in features.columns else F.lit(None).cast("double").alias(c) for c in self.columns]
+        )
+        filled = an.impute_array(an.pack_features(have, self.columns), medians, self.keys, self.columns)
+        return an.standardize_array(filled, self.scaler, self.keys, self.columns)
 
     def score(self, features: DataFrame, impute: str = "fitted") -> DataFrame:
         """One detection per row. ``impute='batch'`` takes the medians of the scored rows instead."""
@@ -108,7 +110,7 @@ def fit_ensemble(
     config = config or EnsembleConfig()
     features = stage(features)
     medians = stage(an.fit_medians(features, keys, columns))
-    filled = an.impute(features, medians, keys, columns)
+    filled = an.impute_array(an.pack_features(features, columns), medians, keys, columns)
     scaler = stage(an.fit_scaler(filled, keys, columns))
     values = stage(an.fit_statistical(features, keys))
     model = AnomalyEnsemble(keys, columns, config, medians, scaler, features, values)

@@ -48,8 +48,12 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> dict:
             depth[me] = level + float(_mean_depth(len(rows)))
             return me
         f = int(rng.choice(usable))
-        feature[me], cut[me] = f, float(rng.uniform(lo[f], hi[f]))
-        below = x[rows, f] < cut[me]
+        at = float(rng.uniform(lo[f], hi[f]))
+        below = x[rows, f] < at
+        if not below.any():  # the draw fell on the lower end itself
+            at = float(hi[f])
+            below = x[rows, f] < at
+        feature[me], cut[me] = f, at
         left[me] = node(rows[below], level + 1)
         right[me] = node(rows[~below], level + 1)
         return me

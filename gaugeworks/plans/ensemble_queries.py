@@ -45,7 +45,7 @@ def _(spark, sf):
   SELECT kpi_id, day, value, ROUND((lag_1 - a1) / s1, 6) AS lag_1, ROUND((lag_7 - a7) / s7, 6) AS lag_7, 0.0::DOUBLE AS empty FROM filled JOIN st USING (kpi_id)""")
 def _(spark, sf):
     rows = stage(_filled(spark, sf))
-    out = an.standardize(rows, an.fit_scaler(rows, KEY, COLUMNS), KEY, COLUMNS)
+    out = an.standardize(rows, an.fit_scaler(an.pack_features(rows, COLUMNS), KEY, COLUMNS), KEY, COLUMNS)
     return b.day_text(b.rounded(out, 6, "lag_1", "lag_7"))
 
 

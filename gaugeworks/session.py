@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +28,22 @@ def build_session(app: str = "gaugeworks", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def pin_utc(spark: SparkSession) -> SparkSession:
-    """Event times are stored without a zone; every operator reads them as UTC."""
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Read event times, which are stored without a zone, as UTC, and give the executors this package
+    for the functions that run in Python workers."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="gaugeworks-code-")  # on the driver; Spark hands it out
+        spark.sparkContext.addPyFile(
+            shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+        )
+        _shipped.add(app)
     return spark
 
 
@@ -54,7 +68,7 @@ def stage(df: DataFrame) -> DataFrame:
     Used where several passes read the same derived rows: the derivation runs once, later passes
     prune columns, and a lost executor only re-reads files.
     """
-    spark = df.sparkSession
+    spark = prepare(df.sparkSession)
     path = f"{checkpoint_root(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
