@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("business_queries", "source_queries", "document_queries", "series_queries", "kpi_queries", "drift_queries", "forecast_queries", "ensemble_queries")
+_MODULES = ("business_queries", "source_queries", "document_queries", "series_queries", "kpi_queries", "drift_queries", "forecast_queries", "ensemble_queries", "job_queries")
 
 
 def all_queries():
