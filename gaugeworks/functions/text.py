@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def _fixed(value: Column, decimals: Column, unit: Column) -> Column:
-    bits = 52
     size = F.abs(value)
     whole = F.floor(size)
-    scaled = F.floor((size - whole) * F.lit(float(2**bits))).cast("long") * unit
-    part, rest = F.shiftright(scaled, bits), scaled.bitwiseAND(F.lit(2**bits - 1))
-    half = F.lit(2 ** (bits - 1))
+    frac = size - whole
+    # 56 bits hold every fraction from 1/16 up exactly, 60 bits the smaller ones that can round up
+    scale = F.when(frac < 0.0625, F.lit(2**60)).otherwise(F.lit(2**56))
+    scaled = F.floor(frac * scale.cast("double")).cast("long") * unit
+    rest = scaled % scale
+    part = ((scaled - rest) / scale).cast("long")
+    half = (scale / 2).cast("long")
     up = (rest > half) | ((rest == half) & (part % 2 == 1))
     digits = whole.cast("long") * unit + part + F.when(up, 1).otherwise(0)
     text = F.concat(
@@ -31,7 +34,7 @@ def fixed(value: Column, decimals: int) -> Column:
     """Fixed-point text of a double, rounded on its exact binary value, ties to even.
 
     ``format_string`` rounds the shortest decimal rendering up instead, so 0.125 would read 0.13. The
-    fraction is scaled to 52 bits and rounded with whole numbers.
+    fraction is scaled to a whole number of bits and rounded with whole numbers.
     """
     return _let(value.cast("double"), lambda v: _fixed(v, F.lit(decimals), F.lit(10**decimals).cast("long")))
 

@@ -66,11 +66,18 @@ def _(spark, sf):
 # streams -----------------------------------------------------------------------------------
 
 
-def _event_files(spark, sf, files: int):
-    """The events as Parquet files in time order, the way a stream would receive them."""
+def _event_files(spark, sf):
+    """The events as Parquet files that arrive one after the other in time order."""
     path = scratch(spark, "events")
     src = b.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    src.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
+    cuts = [None, "2024-01-11", "2024-01-21", None]
+    for since, until in zip(cuts, cuts[1:]):
+        part = src
+        if since:
+            part = part.where(F.col("ts") >= since)
+        if until:
+            part = part.where(F.col("ts") < until)
+        part.write.mode("append").parquet(path)
     return path, src.schema
 
 
@@ -79,7 +86,7 @@ _WINDOW = """SELECT strftime({start}, '%Y-%m-%d %H:%M:%S.%f') AS window_start, e
 
 
 def _kpi_stream(spark, sf, window: str, slide: str | None = None):
-    path, schema = _event_files(spark, sf, 4)
+    path, schema = _event_files(spark, sf)
     aggs = {"n": F.count("*"), "total": F.sum(F.col("value").cast("decimal(18,2)")).cast("double")}
     live = stm.stream_kpi_windows(scan_stream(spark, path, schema), aggs, ["event_type"], window=window, slide=slide)
     out = stm.run_to_table(live, scratch(spark, "windows"), scratch(spark, "progress"))
@@ -98,7 +105,7 @@ def _(spark, sf):
 
 @query("stream_adwin")
 def _(spark, sf):
-    path, schema = _event_files(spark, sf, 3)
+    path, schema = _event_files(spark, sf)
     late = F.col("ts") >= "2024-01-16"
     live = scan_stream(spark, path, schema, 1).withColumn("value", F.when(late, F.col("value") + 40).otherwise(F.col("value")))
     out = stm.stream_adwin(live, ["event_type"], "ts", "value")
@@ -107,16 +114,16 @@ def _(spark, sf):
 
 @query("stream_upsert", """SELECT user_id, CAST(MAX(event_id) AS BIGINT) AS event_id, ARG_MAX(event_type, event_id) AS event_type FROM events GROUP BY 1""")
 def _(spark, sf):
-    """The latest event of every user, whatever the order of the files."""
-    path, schema = _event_files(spark, sf, 3)
+    """The latest event of every user: within a batch by event id, across batches by arrival."""
+    path, schema = _event_files(spark, sf)
     store = TableStore(spark, scratch(spark, "store"))
-    live = scan_stream(spark, path, schema, 2).select("user_id", "event_id", "event_type")
+    live = scan_stream(spark, path, schema, 1).select("user_id", "event_id", "event_type")
     stm.stream_upsert(live, store, "latest", ["user_id"], "event_id", scratch(spark, "progress")).awaitTermination()
     return store.read("latest")
 
 
 @query("scan_stream", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")
 def _(spark, sf):
-    path, schema = _event_files(spark, sf, 2)
+    path, schema = _event_files(spark, sf)
     rows = stm.run_to_table(scan_stream(spark, path, schema), scratch(spark, "copy"), scratch(spark, "progress"))
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
