@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions.ordering import chunk_with_halo
+from gaugeworks.functions.ordering import chunk_with_halo, join_same
 from gaugeworks.session import stage
 
 DELTA = 0.002
@@ -74,7 +74,6 @@ def adwin(
     value: str,
     delta: float = DELTA,
     chunk: int = CHUNK_ROWS,
-    rounds: int = 1000,
 ) -> DataFrame:
     """Drift points ``(keys..., drift_index, <order_by[0]>)``; the index counts rows from 0.
 
@@ -110,20 +109,20 @@ def adwin(
         head["__w1"] = width
         return head[names]
 
-    done: list[DataFrame] = []
-    todo = widths
-    for _ in range(rounds):
-        result = stage(parts.join(todo, by).groupBy(*by).applyInPandas(run, T.StructType(fields)))
-        if done:  # rerun chunks replace their earlier result
-            kept = done[0].join(result.select(*by).distinct(), by, "left_anti")
-            result = stage(kept.unionByName(result))
-        done = [result]
+    result, todo = None, widths
+    while True:  # each round settles at least one more chunk of every series
+        fresh = stage(join_same(parts, todo, by, "inner").groupBy(*by).applyInPandas(run, T.StructType(fields)))
+        if result is not None:  # rerun chunks replace their earlier result
+            again = fresh.where("drift_index < 0").select(*by, F.lit(True).alias("__new"))
+            kept = join_same(result, again, by).where("__new IS NULL").drop("__new")
+            fresh = stage(kept.unionByName(fresh))
+        result = fresh
         ends = result.where("drift_index < 0").select(*by, "__w0", "__w1")
         before = ends.select(*keys, (F.col("__chunk") + 1).alias("__chunk"), F.col("__w1").alias("__want"))
-        todo = stage(ends.join(before, by).where("__want <> __w0").select(*by, F.col("__want").alias("__w0")))
+        wrong = join_same(ends, before, by, "inner").where("__want <> __w0")
+        todo = stage(wrong.select(*by, F.col("__want").alias("__w0")))
         if todo.isEmpty():
             return result.where("drift_index >= 0").select(*keys, "drift_index", at)
-    raise RuntimeError("window widths did not settle")
 
 
 def residual_drift(
@@ -138,5 +137,5 @@ def residual_drift(
     points = adwin(both, keys, ["timestamp"], "residual", delta, chunk)
     seen = both.groupBy(*keys).agg(F.count("*").alias("n_observations"))
     hits = points.groupBy(*keys).agg(F.count("*").alias("n_drifts"), F.min("drift_index").alias("first_drift"), F.max("drift_index").alias("last_drift"))
-    out = seen.join(hits, list(keys), "left") if keys else seen.crossJoin(hits)
+    out = join_same(seen, hits, keys)
     return out.withColumn("n_drifts", F.coalesce("n_drifts", F.lit(0))).withColumn("drift_detected", F.col("n_drifts") > 0)

@@ -22,7 +22,7 @@ from gaugeworks.functions.ordering import join_same
 TREES = 200
 SAMPLE = 256
 SEED = 42
-SCORE_ROWS = 20_000  # rows per scoring group
+SCORE_ROWS = 200_000  # rows per scoring group
 
 
 def _mean_depth(n) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeworks.functions.kpi_catalog import AUDIENCES, CATALOG
-from gaugeworks.functions.ordering import exact_quantiles
+from gaugeworks.functions.ordering import exact_quantiles, join_same
 
 
 class Formula(NamedTuple):
@@ -212,11 +212,11 @@ def retention_loss(df: DataFrame, who: str, ts: str, amount: str | None, kpi_id:
     held = df.groupBy(*keys, F.col(who).alias("__who"), month.alias("m")).agg(weight.alias("w"))
     again = held.select(*keys, "__who", F.add_months("m", -1).alias("m"), F.lit(True).alias("back"))
     rows = held.join(again, [*keys, "__who", "m"], "left")
-    last = df.groupBy(*keys).agg(F.max(month).alias("__last")) if keys else df.agg(F.max(month).alias("__last"))
+    last = df.groupBy(*keys).agg(F.max(month).alias("__last"))
     out = rows.groupBy(*keys, "m").agg(
         F.sum("w").cast("double").alias("all"), F.sum(F.when(F.col("back").isNull(), F.col("w")).otherwise(0)).cast("double").alias("lost")
     )
-    out = out.join(last, list(keys)) if keys else out.crossJoin(last)  # one row
+    out = join_same(out, last, keys, "inner")
     return _shaped(out.where(F.col("m") < F.col("__last")), kpi_id, keys, F.date_format("m", "yyyy-MM"), F.try_divide("lost", "all"))
 
 

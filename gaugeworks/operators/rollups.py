@@ -12,6 +12,7 @@ from gaugeworks.session import stage
 from gaugeworks.sources.store import path_exists
 
 ROLLUPS = ("meta", "monthly", "region", "category", "sku")
+SUMMARY = "section string, rank int, name string, revenue double, units long"
 
 
 def month_of(date: Column) -> Column:
@@ -97,14 +98,23 @@ def ensure_rollups(
 ) -> list[str]:
     """Write each rollup that is missing below ``root`` (all of them with ``force``); returns those built."""
     spark = sales.sparkSession
-    todo = [r for r in ROLLUPS if force or not path_exists(spark, f"{root}/{r}/_SUCCESS")]
-    if todo:
+    todo = [r for r in (*ROLLUPS, "summary") if force or not path_exists(spark, f"{root}/{r}/_SUCCESS")]
+    if set(todo) - {"summary"}:
         frames = build_rollups(sales, stores, products)
         for r in todo:
-            frames[r].write.mode("overwrite").parquet(f"{root}/{r}")
+            if r != "summary":
+                frames[r].write.mode("overwrite").parquet(f"{root}/{r}")
+    if todo:  # the dashboard itself, from the rollups just written
+        summary = retail_summary(read_rollups(spark, root), stores, products)
+        summary.coalesce(1).write.mode("overwrite").parquet(f"{root}/summary")
     return todo
 
 
+def read_dashboard(spark: SparkSession, root: str) -> DataFrame:
+    """The prebuilt dashboard: one scan of a few dozen rows, no schema inference."""
+    return spark.read.schema(SUMMARY).parquet(f"{root}/summary")
+
+
 def read_rollups(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {r: spark.read.parquet(f"{root}/{r}") for r in ROLLUPS}
 

@@ -212,19 +212,36 @@ def _ranked(section: str, label: str, sql: str, limit: str = "") -> str:
   CAST({label} AS VARCHAR) AS name, ROUND(revenue, 2) AS revenue, units FROM ({sql}) {limit}"""
 
 
-@query("retail_summary", f"""WITH {SALES}, {STORES}, m AS ({META})
+_SUMMARY = f"""WITH {SALES}, {STORES}, m AS ({META})
   SELECT 'total' AS section, 1 AS rank, 'total' AS name, ROUND(revenue, 2) AS revenue, units FROM m
   UNION ALL SELECT 'rows', 1, 'rows', NULL, rows FROM m
   UNION ALL SELECT 'stores', 1, 'stores', NULL, COUNT(*) FROM stores
   UNION ALL SELECT 'skus', 1, 'skus', NULL, COUNT(*) FROM part
   UNION ALL {_ranked('region', 'region', REGION)}
   UNION ALL {_ranked('category', 'category', CATEGORY)}
-  UNION ALL SELECT * FROM ({_ranked('sku', 'sku', SKU)}) WHERE rank <= 10""")
+  UNION ALL SELECT * FROM ({_ranked('sku', 'sku', SKU)}) WHERE rank <= 10"""
+
+
+@query("retail_summary", _SUMMARY)
 def _(spark, sf):
     frames, _built = prepared_rollups(spark, sf)
     return roll.retail_summary(frames, b.stores(spark, sf), b.sku_dimension(spark, sf))
 
 
+@query("retail_dashboard", _SUMMARY)
+def _(spark, sf):
+    """The dashboard as stored by the last rollup build."""
+    prepared_rollups(spark, sf)
+    return roll.read_dashboard(spark, rollup_folder(spark, sf))
+
+
+@query("retail_summary_raw", _SUMMARY)
+def _(spark, sf):
+    """The same dashboard by a scan of the fact, without stored rollups."""
+    stores, products = b.stores(spark, sf), b.sku_dimension(spark, sf)
+    return roll.retail_summary(roll.build_rollups(b.sales(spark, sf), stores, products), stores, products)
+
+
 @query("monthly_series", f"WITH {SALES} SELECT month, ROUND(revenue, 2) AS value FROM ({MONTHLY})")
 def _(spark, sf):
     return roll.monthly_series(roll.rollup_monthly(b.sales(spark, sf)), "revenue")

@@ -30,8 +30,10 @@ def _part(expr: str):
 
 
 def ledger(spark, sf) -> DataFrame:
-    first = b.table(spark, sf, "orders").groupBy("o_custkey").agg(F.year(F.min("o_orderdate")).alias("first_year"))
-    rows = _lines(spark, sf).join(first, "o_custkey")
+    # the customer's first year joins the orders before the far more numerous lines do
+    orders = b.table(spark, sf, "orders")
+    first = orders.groupBy("o_custkey").agg(F.year(F.min("o_orderdate")).alias("first_year"))
+    rows = b.table(spark, sf, "lineitem").join(orders.join(first, "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(
         F.col("o_orderdate").alias("ts"),
         F.col("o_custkey").alias("customer_id"),
