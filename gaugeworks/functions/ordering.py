@@ -106,13 +106,16 @@ def row_index(
 
 def running_sums(
     df: DataFrame, keys: Sequence[str], order_by: str, sums: dict[str, str], max_rows: int = MAX_GROUP_ROWS,
-    buckets: int | None = None,
+    buckets: int | None = None, small: bool | None = None,
 ) -> DataFrame:
     """Inclusive prefix sums ``{new: column}``; one row per (keys, order_by) is expected.
 
     One window per key while the largest key has at most ``max_rows`` rows, range by range beyond.
+    A caller that has measured the groups says so with ``small``.
     """
-    if keys and largest_group(df, keys) <= max_rows:
+    if small is None:
+        small = bool(keys) and largest_group(df, keys) <= max_rows
+    if small:
         upto = Window.partitionBy(*keys).orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
     cut = df.withColumn("__b", range_bucket(_number(df, order_by), range_edges(df, order_by, buckets)))
@@ -180,7 +183,7 @@ def exact_quantiles(
         shares = F.array(*[F.lit(float(p)) for p in probs])
         out = counts.groupBy(*keys).agg(F.percentile("__x", shares, F.col("__c")).alias("q"), F.sum("__c").alias("n"))
         return out.where("n IS NOT NULL")
-    placed = running_sums(counts, keys, "__x", {"__hi": "__c"}, max_rows)
+    placed = running_sums(counts, keys, "__x", {"__hi": "__c"}, small=False)
     return quantiles_of_placed(stage(placed), keys, "__x", "__c", "__hi", probs)
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,33 +19,27 @@ SILENT_BELOW = 32
 CHUNK_ROWS = 65_536  # rows one task walks through
 
 
-def cut_point(window: np.ndarray, delta: float = DELTA) -> int:
-    """First split whose sides differ by more than the bound, or 0.
-
-    Splits run from 8 to n - 9 and are powers of two or multiples of 32.
-    """
-    n = len(window)
-    at = np.array([s for s in _splits(n)], dtype=np.int64)
-    if not len(at):
-        return 0
-    x = window - window.mean()
-    c1, c2 = np.cumsum(x), np.cumsum(x * x)
-    n0, n1 = at.astype(float), (n - at).astype(float)
-    mu0, mu1 = c1[at - 1] / n0, (c1[-1] - c1[at - 1]) / n1
-    var0 = np.maximum(c2[at - 1] / n0 - mu0**2, 0.0)
-    var1 = np.maximum((c2[-1] - c2[at - 1]) / n1 - mu1**2, 0.0)
-    m = 1.0 / (1.0 / n0 + 1.0 / n1)
-    log = math.log(2.0 * n / delta)
-    bound = np.sqrt(2.0 / m * log) * np.sqrt(var0 + var1) + 2.0 / (3.0 * m) * log
-    hit = np.flatnonzero(np.abs(mu0 - mu1) > bound)
-    return int(at[hit[0]]) if len(hit) else 0
+# splits that may be tried: powers of two and multiples of 32, in the order they are tried
+SPLITS = np.array(sorted({2**k for k in range(3, 11)} | set(range(32, MAX_WINDOW + 1, 32))))
+BLOCK = 256  # rows checked at once
 
 
-_SPLITS = sorted({2**k for k in range(3, 11)} | set(range(32, MAX_WINDOW + 1, 32)))
-
-
-def _splits(n: int) -> list[int]:
-    return [s for s in _SPLITS if 8 <= s < n - 8]
+def first_cuts(p1: np.ndarray, p2: np.ndarray, ends: np.ndarray, widths: np.ndarray, delta: float) -> np.ndarray:
+    """For windows of ``widths`` rows ending before ``ends``: the first split whose sides differ by
+    more than the bound, or 0. ``p1`` and ``p2`` are prefix sums of the values and their squares."""
+    n = widths[:, None].astype(float)
+    start, n0 = (ends - widths)[:, None], SPLITS[None, :].astype(float)
+    usable = (SPLITS[None, :] < widths[:, None] - 8) & (widths[:, None] >= SILENT_BELOW)
+    at = np.minimum(start + SPLITS[None, :], len(p1) - 1)
+    n1 = np.maximum(n - n0, 1.0)
+    s0, q0 = p1[at] - p1[start], p2[at] - p2[start]
+    s1, q1 = p1[ends][:, None] - p1[at], p2[ends][:, None] - p2[at]
+    mu0, mu1 = s0 / n0, s1 / n1
+    spread = np.maximum(q0 / n0 - mu0**2, 0.0) + np.maximum(q1 / n1 - mu1**2, 0.0)
+    m = 1.0 / (1.0 / n0 + 1.0 / n1)
+    log = np.log(2.0 * n / delta)
+    hit = usable & (np.abs(mu0 - mu1) > np.sqrt(2.0 / m * log) * np.sqrt(spread) + 2.0 / (3.0 * m) * log)
+    return np.where(hit.any(axis=1), SPLITS[hit.argmax(axis=1)], 0)
 
 
 def advance(values: np.ndarray, start: int, width: int, delta: float = DELTA, cap: int = MAX_WINDOW):
@@ -55,15 +48,20 @@ def advance(values: np.ndarray, start: int, width: int, delta: float = DELTA, ca
     The window is always a suffix of what was read, so its width is the whole state. Returns the
     positions of drifts and the width at the end.
     """
-    found = []
-    for i in range(start, len(values)):
-        width = min(width + 1, cap)
-        if width < SILENT_BELOW:
-            continue
-        cut = cut_point(values[i + 1 - width : i + 1], delta)
-        if cut:
-            width -= cut
-            found.append(i)
+    x = values - values.mean() if len(values) else values
+    p1, p2 = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x))
+    found, i = [], start
+    while i < len(values):
+        ends = np.arange(i + 1, min(i + BLOCK, len(values)) + 1)
+        widths = np.minimum(width + 1 + np.arange(len(ends)), cap)
+        cuts = first_cuts(p1, p2, ends, widths, delta)
+        drift = np.flatnonzero(cuts)
+        if len(drift):  # rows after a drift see a shorter window and are checked again
+            row = drift[0]
+            found.append(int(ends[row]) - 1)
+            width, i = int(widths[row] - cuts[row]), int(ends[row])
+        else:
+            width, i = int(widths[-1]), int(ends[-1])
     return found, width
 
 

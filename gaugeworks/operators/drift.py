@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions.ordering import MAX_GROUP_ROWS, join_same, quantiles_of_placed, running_sums
+from gaugeworks.functions.ordering import MAX_GROUP_ROWS, join_same, largest_group, quantiles_of_placed, running_sums
 from gaugeworks.session import stage
 
 # Features that are functions of the timestamp alone and always differ between windows.
@@ -68,9 +68,13 @@ def feature_scores(
     """(keys..., feature, psi, ks, p, ref STRUCT<mean,std,n>, new STRUCT<mean,std,n>)."""
     by = [*keys, "feature"]
     counts = stage(value_counts(reference, new, keys, features))
-    placed = stage(running_sums(counts, by, "x", {"c_ref": "n_ref", "c_new": "n_new"}, max_rows))
+    small = largest_group(counts, by) <= max_rows
+    placed = running_sums(counts, by, "x", {"c_ref": "n_ref", "c_new": "n_new"}, small=small)
+    if not small:
+        placed = stage(placed)
 
     x = F.col("x")
+    probs = [i / bins for i in range(bins + 1)]
     totals = counts.groupBy(*by).agg(
         F.sum("n_ref").alias("t_ref"),
         F.sum("n_new").alias("t_new"),
@@ -78,12 +82,14 @@ def feature_scores(
         F.try_divide(F.sum(x * F.col("n_new")), F.sum("n_new")).alias("mean_new"),
         F.min("x").alias("x_lo"),
         F.max("x").alias("x_hi"),
+        *([F.percentile("x", F.array(*[F.lit(p) for p in probs]), F.col("n_ref")).alias("q")] if small else []),
     )
-    probs = [i / bins for i in range(bins + 1)]
-    quant = quantiles_of_placed(placed, by, "x", "n_ref", "c_ref", probs).select(*by, F.array_distinct("q").alias("edges"))
+    if not small:
+        totals = join_same(totals, quantiles_of_placed(placed, by, "x", "n_ref", "c_ref", probs).drop("n"), by)
+    totals = totals.withColumn("edges", F.array_distinct("q")).drop("q")
     lo, hi = F.col("x_lo"), F.col("x_hi")
     even = F.array(*[lo + F.lit(float(i)) * ((hi - lo) / F.lit(float(bins))) for i in range(bins)], hi)
-    stats = join_same(totals, quant, by).withColumn(
+    stats = totals.withColumn(
         "edges", F.when(F.size("edges") >= 3, F.col("edges")).when(hi - lo >= 1e-9, even)
     )
     stats = stage(stats)  # one row per series and feature

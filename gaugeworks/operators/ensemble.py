@@ -106,9 +106,11 @@ def fit_classifier(matrix: DataFrame, config: EnsembleConfig) -> GBTClassificati
 def fit_ensemble(
     features: DataFrame, keys: Sequence[str], columns: Sequence[str], config: EnsembleConfig | None = None
 ) -> AnomalyEnsemble:
-    """Fit all detectors on (keys..., timestamp, value, features..., label?)."""
+    """Fit all detectors on (keys..., timestamp, value, features..., label?).
+
+    ``features`` is read several times; pass a stored or staged table.
+    """
     config = config or EnsembleConfig()
-    features = stage(features)
     medians = stage(an.fit_medians(features, keys, columns))
     filled = an.impute_array(an.pack_features(features, columns), medians, keys, columns)
     scaler = stage(an.fit_scaler(filled, keys, columns))
@@ -143,7 +145,9 @@ def train_anomaly(
     rejects = short.select(
         *keys, F.col("n").alias("n_train_rows"), F.concat(F.lit(f"needs {min_rows} rows after features, has "), F.col("n").cast("string")).alias("reason")
     )
-    usable = join_same(full, counts.where(F.col("n") >= min_rows).drop("n"), keys, "inner") if keys else full
+    usable = full
+    if keys and not short.isEmpty():
+        usable = stage(join_same(full, counts.where(F.col("n") >= min_rows).drop("n"), keys, "inner"))
     model = fit_ensemble(usable, keys, pipeline.columns, config)
     scored = stage(model.score(usable))
     metrics, _short = an.anomaly_metrics(scored, keys, len(pipeline.columns), min_rows)

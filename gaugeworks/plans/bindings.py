@@ -9,8 +9,16 @@ from gaugeworks.functions.text import exact_sum
 from gaugeworks.session import prepare
 
 
+_schemas: dict[tuple[str, str], object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is read from the file footer once per application."""
+    path = f"{sf_dir}/{name}.parquet"
+    known = (prepare(spark).sparkContext.applicationId, path)
+    if known not in _schemas:
+        _schemas[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[known]).parquet(path)
 
 
 def retail_orders(spark, sf) -> DataFrame:

@@ -9,6 +9,7 @@ from gaugeworks.operators import rollups as roll
 from gaugeworks.plans import bindings as b
 from gaugeworks.plans.registry import query
 from gaugeworks.session import checkpoint_root
+from gaugeworks.sources.store import path_exists
 
 SKIP = "P"  # the order status that stands for cancelled
 
@@ -230,9 +231,11 @@ def _(spark, sf):
 
 @query("retail_dashboard", _SUMMARY)
 def _(spark, sf):
-    """The dashboard as stored by the last rollup build."""
-    prepared_rollups(spark, sf)
-    return roll.read_dashboard(spark, rollup_folder(spark, sf))
+    """The dashboard as stored by the last rollup build; the first call of an application builds it."""
+    root = rollup_folder(spark, sf)
+    if not path_exists(spark, f"{root}/summary/_SUCCESS"):
+        prepared_rollups(spark, sf)
+    return roll.read_dashboard(spark, root)
 
 
 @query("retail_summary_raw", _SUMMARY)

@@ -123,20 +123,27 @@ def scan_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 def numeric_profile(cells: DataFrame) -> DataFrame:
     """Columns of text cells that mostly parse as numbers: count, min, max, sum, avg.
 
-    All cells are unpivoted to (column, cell) and reduced in one partial aggregate. A column counts
+    All columns are reduced in one pass over the rows, without unpivoting the cells. A column counts
     as numeric when at least ``max(1, rows div 2)`` of its cells parse.
     """
-    text = cells.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cells.columns])
-    long = text.unpivot([], text.columns, "column", "cell")
-    num = F.expr("try_cast(cell AS DOUBLE)")
-    seen = F.when(~F.isnan(num), num)
-    stats = long.groupBy("column").agg(
-        F.count("*").alias("rows"),
-        F.count(num).alias("count"),
-        F.min(seen).alias("min"),
-        F.max(seen).alias("max"),
-        F.sum(seen).alias("sum"),
+    folds = [F.count("*").alias("rows")]
+    for i, f in enumerate(cells.schema.fields):
+        cell = F.col(f"`{f.name}`")
+        if not isinstance(f.dataType, T.NumericType):
+            cell = cell.cast("string")
+        num = cell.try_cast("double")
+        seen = F.when(~F.isnan(num), num)
+        folds += [F.count(num).alias(f"n{i}"), F.min(seen).alias(f"lo{i}"), F.max(seen).alias(f"hi{i}"), F.sum(seen).alias(f"s{i}")]
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"lo{i}").alias("min"),
+                F.col(f"hi{i}").alias("max"), F.col(f"s{i}").alias("sum"),
+            )
+            for i, name in enumerate(cells.columns)
+        ]
     )
+    stats = cells.agg(*folds).select("rows", F.inline(rows))
     return stats.where(F.col("count") >= F.greatest(F.lit(1), F.floor(F.col("rows") / 2))).select(
         "column", "count", "min", "max", "sum", F.try_divide("sum", "count").alias("avg")
     )
