@@ -34,6 +34,21 @@ def decompose_drivers(
     both = current.select(*keys, dimension, amount.alias("c"), zero.alias("p")).unionByName(
         prior.select(*keys, dimension, zero.alias("c"), amount.alias("p"))
     )
+    return _rank_moves(both, dimension, keys, n)
+
+
+def drivers_between(
+    rows: DataFrame, current: Column, prior: Column, dimension: str, value: str, keys: Sequence[str] = (), n: int = 3
+) -> DataFrame:
+    """:func:`decompose_drivers` for two periods of one table, read in one scan."""
+    amount, zero = F.col(value).cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")
+    both = rows.where(current | prior).select(
+        *keys, dimension, F.when(current, amount).otherwise(zero).alias("c"), F.when(prior, amount).otherwise(zero).alias("p")
+    )
+    return _rank_moves(both, dimension, keys, n)
+
+
+def _rank_moves(both: DataFrame, dimension: str, keys: Sequence[str], n: int) -> DataFrame:
     moved = both.groupBy(*keys, dimension).agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
     delta = F.col("c") - F.col("p")
     cur, pri, dif = F.col("c").cast("double"), F.col("p").cast("double"), delta.cast("double")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gaugeworks.functions.ordering import join_same
+from gaugeworks.session import prepare
 
 TREES = 200
 SAMPLE = 256
@@ -103,6 +104,7 @@ def fit_forest(
     rows: DataFrame, keys: Sequence[str], row_id: Sequence[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED
 ) -> DataFrame:
     """One row per series and tree; ``rows`` has the keys, the row id and ``x`` ARRAY<DOUBLE>."""
+    prepare(rows.sparkSession)
     ints, reals = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
     schema = T.StructType(
         [rows.schema[k] for k in keys]

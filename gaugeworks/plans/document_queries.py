@@ -236,13 +236,15 @@ LINKS = {"amount": "price", "fee": "amount", "view": "error", "error": "view"}
 
 
 @query("find_field", """WITH t AS (SELECT event_type AS term, COUNT(*) AS n FROM events GROUP BY 1
-  UNION ALL SELECT lower(regexp_extract(text, '[A-Za-z]+')), COUNT(*) FROM documents GROUP BY 1),
+  UNION ALL SELECT term, COUNT(*) FROM (SELECT UNNEST(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY 1),
   hint(term, "table", field) AS (VALUES ('click', 'events', 'event_type'), ('purchase', 'events', 'event_type'),
   ('signup', 'events', 'event_type'), ('event_type', 'events', 'event_type'), ('value', 'events', 'value'), ('price', 'events', 'value'), ('cost', 'events', 'value'), ('user', 'events', 'user'),
   ('status', 'orders', 'status'), ('state', 'orders', 'status'), ('amount', 'events', 'value'), ('fee', 'events', 'value'))
   SELECT term, n, "table", field FROM t LEFT JOIN hint USING (term)""")
 def _(spark, sf):
-    words = b.table(spark, sf, "documents").select(F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("term"))
+    words = b.table(spark, sf, "documents").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")
+    )
     kinds = b.table(spark, sf, "events").groupBy(F.col("event_type").alias("term")).agg(F.count("*").alias("n"))
     terms = kinds.unionByName(words.groupBy("term").agg(F.count("*").alias("n")))
     return rt.find_field(terms, rt.build_fields(spark, SOURCES), LINKS)

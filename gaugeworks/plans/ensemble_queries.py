@@ -13,7 +13,7 @@ from gaugeworks.plans.registry import query
 from gaugeworks.plans.series_queries import KEY, SERIES, daily
 from gaugeworks.session import stage
 
-_GAPPY = f"""{SERIES}, x AS (SELECT kpi_id, day, value, LAG(value, 1) OVER w AS lag_1, CASE WHEN rn % 9 = 0 THEN NULL WHEN rn % 11 = 0 THEN CAST('inf' AS DOUBLE) ELSE LAG(value, 7) OVER w END AS lag_7,
+_GAPPY = f"""{SERIES}, x AS (SELECT kpi_id, day, value, LAG(value, 1) OVER w AS lag_1, CASE WHEN isodow(ts) = 7 THEN NULL WHEN day(ts) = 1 THEN CAST('inf' AS DOUBLE) ELSE LAG(value, 7) OVER w END AS lag_7,
   CAST(NULL AS DOUBLE) AS empty FROM s WINDOW w AS (PARTITION BY kpi_id ORDER BY ts)),
   m AS (SELECT kpi_id, quantile_cont(lag_1, 0.5) AS m1, quantile_cont(CASE WHEN lag_7 < 1e300 THEN lag_7 END, 0.5) AS m7 FROM x GROUP BY 1),
   filled AS (SELECT kpi_id, day, value, COALESCE(lag_1, m1) AS lag_1, CASE WHEN lag_7 < 1e300 THEN lag_7 ELSE m7 END AS lag_7, 0.0::DOUBLE AS empty FROM x JOIN m USING (kpi_id))"""
@@ -24,11 +24,9 @@ def _gappy(spark, sf):
     """Lag features with missing and infinite cells, and a column without values."""
     cfg = FeatureConfig(keys=KEY, lags=(1, 7), rolling=(), diffs=(), ema_alphas=(), calendar=False, fourier_periods=(), extra=("empty",))
     rows = FeaturePipeline(cfg).fit_transform(daily(spark, sf))
-    from gaugeworks.functions.ordering import row_index
-
-    rows = row_index(rows, KEY, ["timestamp"])
-    holes = F.when(F.col("rn") % 9 == 0, None).when(F.col("rn") % 11 == 0, F.lit(float("inf"))).otherwise(F.col("lag_7"))
-    return stage(rows.withColumn("lag_7", holes).drop("rn"))
+    sunday, first = F.weekday("timestamp") == 6, F.dayofmonth("timestamp") == 1
+    holes = F.when(sunday, None).when(first, F.lit(float("inf"))).otherwise(F.col("lag_7"))
+    return stage(rows.withColumn("lag_7", holes))
 
 
 def _filled(spark, sf):
@@ -132,9 +130,9 @@ def _(spark, sf):
 
 
 def _labels(rows):
-    """Days above five times the series' mean are labelled as anomalies, every seventh day is unlabelled."""
+    """Days far above the series' mean are labelled as anomalies, Sundays are unlabelled."""
     mean = rows.groupBy("kpi_id").agg(F.avg("value").alias("m"))
-    seen = rows.join(mean, "kpi_id").where(F.dayofyear("timestamp") % 7 != 0)
+    seen = rows.join(mean, "kpi_id").where(F.weekday("timestamp") != 6)
     return seen.select("kpi_id", "timestamp", (F.col("value") > 1.6 * F.col("m")).cast("int").alias("label"))
 
 

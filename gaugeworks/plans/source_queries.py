@@ -56,39 +56,36 @@ def _(spark, sf):
     )
 
 
-UPDATES = """updates AS (SELECT o_orderkey + 1 AS o_orderkey, o_custkey, 'U' AS o_orderstatus, o_totalprice * 2 AS o_totalprice
-  FROM orders WHERE o_orderkey % 3 = 0)"""
+SHIFT = 7  # the updates are all orders again under a key moved by this much: most replace, some are new
+UPDATES = f"""updates AS (SELECT o_orderkey + {SHIFT} AS o_orderkey, o_custkey, 'U' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders)"""
 
 
 def _updates(spark, sf):
-    return _orders(spark, sf).where(F.col("o_orderkey") % 3 == 0).select(
-        (F.col("o_orderkey") + 1).alias("o_orderkey"), "o_custkey", F.lit("U").alias("o_orderstatus"),
+    return _orders(spark, sf).select(
+        (F.col("o_orderkey") + SHIFT).alias("o_orderkey"), "o_custkey", F.lit("U").alias("o_orderstatus"),
         (F.col("o_totalprice") * 2).alias("o_totalprice"),
     )
 
 
-MERGED = f"""WITH {UPDATES}, existing AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
+MERGED = f"""WITH {UPDATES}, existing AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders)
   SELECT * FROM updates UNION ALL SELECT * FROM existing WHERE o_orderkey NOT IN (SELECT o_orderkey FROM updates)"""
 
 
 @query("upsert_by_key", MERGED)
 def _(spark, sf):
     store = st.TableStore(spark, scratch(spark, "store"))
-    store.upsert("orders", _orders(spark, sf).where(F.col("o_orderkey") % 2 == 0), ["o_orderkey"])
+    store.upsert("orders", _orders(spark, sf), ["o_orderkey"])
     store.upsert("orders", _updates(spark, sf), ["o_orderkey"])
     return store.read("orders")
 
 
-@query("upsert_by_partition", """WITH base AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderkey % 2 AS BIGINT) AS v FROM orders),
-  updates AS (SELECT o_orderkey, o_orderpriority, 9 AS v FROM base WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0)
-  SELECT * FROM updates UNION ALL SELECT * FROM base WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0)""")
+@query("upsert_by_partition", """SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority = '1-URGENT' THEN -1 ELSE o_custkey END AS v FROM orders""")
 def _(spark, sf):
     store = st.TableStore(spark, scratch(spark, "store"))
     key, part = ["o_orderkey", "o_orderpriority"], ["o_orderpriority"]
-    base = b.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderkey") % 2).alias("v"))
+    base = b.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.col("o_custkey").alias("v"))
     store.upsert("orders", base, key, partition=part)
-    hot = base.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 5 == 0))
-    store.upsert("orders", hot.withColumn("v", F.lit(9)), key, partition=part)
+    store.upsert("orders", base.where("o_orderpriority = '1-URGENT'").withColumn("v", F.lit(-1)), key, partition=part)
     return store.read("orders")
 
 
@@ -121,9 +118,8 @@ def _(spark, sf):
 
 
 @query("ingest", f"""SELECT 'csv_orders' AS spec_id, 'orders' AS target_table, COUNT(*) AS rows_extracted, COUNT(*) AS rows_loaded FROM orders
-  UNION ALL SELECT 'csv_shifted', 'orders', COUNT(*), COUNT(*) FROM orders WHERE o_orderkey % 3 = 0
-  UNION ALL SELECT '(total)', 'orders', COUNT(*) + COUNT(*) FILTER (o_orderkey % 3 = 0), (SELECT COUNT(*) FROM (SELECT o_orderkey FROM orders
-    UNION SELECT o_orderkey + 1 FROM orders WHERE o_orderkey % 3 = 0)) FROM orders""")
+  UNION ALL SELECT 'csv_shifted', 'orders', COUNT(*), COUNT(*) FROM orders
+  UNION ALL SELECT '(total)', 'orders', COUNT(*) * 2, (SELECT COUNT(*) FROM (SELECT o_orderkey FROM orders UNION SELECT o_orderkey + {SHIFT} FROM orders)) FROM orders""")
 def _(spark, sf):
     from gaugeworks.plans.jobs import run_ingestion
 

@@ -63,26 +63,25 @@ def keep_last(updates: DataFrame, key: Sequence[str], order: str) -> DataFrame:
 
 
 class TableStore:
-    """Tables below one root. Each full write goes to a new version folder, then the pointer moves."""
+    """Tables below one root. Each full write goes to a new version folder; the newest version that
+    was committed (its ``_SUCCESS`` file is there) is the table, so a failed write changes nothing."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     # reading
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
+    def _versions(self, table: str) -> list[str]:
+        fs, p = _fs_path(self.spark, f"{self.root}/{table}/v*/_SUCCESS")
+        return sorted(f.getPath().getParent().getName() for f in fs.globStatus(p))
 
     def exists(self, table: str) -> bool:
-        return path_exists(self.spark, self._pointer(table))
+        return bool(self._versions(table))
 
     def path(self, table: str) -> str:
-        fs, p = _fs_path(self.spark, self._pointer(table))
-        stream = fs.open(p)
-        try:
-            version = stream.readUTF()
-        finally:
-            stream.close()
-        return f"{self.root}/{table}/{version}"
+        versions = self._versions(table)
+        if not versions:
+            raise FileNotFoundError(f"{self.root}/{table}")
+        return f"{self.root}/{table}/{versions[-1]}"
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(table))
@@ -95,17 +94,10 @@ class TableStore:
 
     # writing
     def _publish(self, table: str, df: DataFrame, partition: Sequence[str] = ()) -> None:
-        version = f"v{time.time_ns()}"
         writer = df.write
         if partition:
             writer = writer.partitionBy(*partition)
-        writer.parquet(f"{self.root}/{table}/{version}")
-        fs, p = _fs_path(self.spark, self._pointer(table))
-        stream = fs.create(p, True)
-        try:
-            stream.writeUTF(version)
-        finally:
-            stream.close()
+        writer.parquet(f"{self.root}/{table}/v{time.time_ns():020d}")
 
     def ensure_table(self, table: str, like: DataFrame, partition: Sequence[str] = ()) -> bool:
         """Create an empty table with the stored types of ``like``; True if it was missing."""
