@@ -237,7 +237,10 @@ def _pass_sql(table: str) -> str:
         src, period = f"(SELECT * {_L})", "strftime(o_orderdate, '%Y')"
     if table == "ledger":
         src = f"(SELECT * {_L} JOIN (SELECT o_custkey AS ck, year(MIN(o_orderdate)) AS first_year FROM orders GROUP BY 1) ON ck = o_custkey)"
-    cols = ", ".join(f"ROUND({SQL[k]}, 6) AS {k}" for k in kp.one_pass_kpis(table))
+    # a zero denominator gives no value, where the checking engine would give infinity
+    cols = ", ".join(
+        f"ROUND(CASE WHEN isfinite(CAST({SQL[k]} AS DOUBLE)) THEN {SQL[k]} END, 6) AS {k}" for k in kp.one_pass_kpis(table)
+    )
     names = ", ".join(kp.one_pass_kpis(table))
     return f"""SELECT kpi_id, period, value FROM (SELECT {period} AS period, {cols} FROM {src} GROUP BY 1)
       UNPIVOT INCLUDE NULLS (value FOR kpi_id IN ({names}))"""
