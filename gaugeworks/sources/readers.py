@@ -120,6 +120,10 @@ def scan_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
+# what counts as a number in a text cell; tested first because a failed cast is slow
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
+
+
 def numeric_profile(cells: DataFrame) -> DataFrame:
     """Columns of text cells that mostly parse as numbers: count, min, max, sum, avg.
 
@@ -129,9 +133,12 @@ def numeric_profile(cells: DataFrame) -> DataFrame:
     folds = [F.count("*").alias("rows")]
     for i, f in enumerate(cells.schema.fields):
         cell = F.col(f"`{f.name}`")
-        if not isinstance(f.dataType, T.NumericType):
-            cell = cell.cast("string")
-        num = cell.try_cast("double")
+        if isinstance(f.dataType, T.NumericType):
+            num = cell.cast("double")
+        elif isinstance(f.dataType, T.StringType):
+            num = F.when(cell.rlike(NUMBER), cell.try_cast("double"))
+        else:  # the text of a date, a flag or a nested value is never a number
+            num = F.lit(None).cast("double")
         seen = F.when(~F.isnan(num), num)
         folds += [F.count(num).alias(f"n{i}"), F.min(seen).alias(f"lo{i}"), F.max(seen).alias(f"hi{i}"), F.sum(seen).alias(f"s{i}")]
     rows = F.array(
