@@ -180,7 +180,7 @@ def min_max_scale(rows: DataFrame, keys: Sequence[str], raw: str, out: str) -> D
     return join_same(rows, ends, keys).withColumn(out, scaled).drop("__lo", "__hi")
 
 
-DETECTORS = ("isolation_forest", "statistical", "xgboost")
+DETECTORS = ("isolation_forest", "statistical", "xgboost")  # fixed values: detector names
 
 
 def fuse_scores(rows: DataFrame, detectors: Sequence[str], threshold: float = 0.55, agreeing: int = 2) -> DataFrame:

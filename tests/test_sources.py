@@ -1,6 +1,5 @@
 import pytest
 from pyspark.errors import PySparkValueError
-from pyspark.sql import functions as F
 
 from gaugeworks.operators import documents as docs
 from gaugeworks.operators import governance as gov
