@@ -14,8 +14,8 @@ How it runs
   follows the number of tokens, so a task's share has a fixed size. Each task returns the bits of its
   segment; the driver joins them. The filter has ``filter_bits`` bits whatever the corpus, which
   bounds what is broadcast; more n-grams in it mean more wrong probes, not more memory.
-* Exact word counts, for the base score, are never broadcast: every block asks for its own different
-  words with a join on the word's hash and gets the counts back by block.
+* Exact word counts, for the base score, are never broadcast: every block sends its own different words
+  with their counts to the words' segments, and gets the sums back.
 
 Words are told apart by 64-bit hashes. Defined results: a null or empty text is the end token alone; a
 null id is scored and counts as training text; equal texts get equal scores; with no training text
@@ -46,10 +46,10 @@ _PROBES = 4
 _END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end token
 _START = np.uint64(0xD1B54A32D192ED03)  # context of a first word
 _WORD = np.uint64(0x2545F4914F6CDD1D)
-_KEY_BITS, _KEY_BYTES = np.uint64(40), 5
+_KEY_BITS, _KEY_BYTES = np.uint64(32), 4
 _SEGMENT_ITEMS = 2_000_000
 
-_BLOCK = "block long, ids array<long>, held array<boolean>, lengths binary, codes binary, hashes binary, tokens long"
+_BLOCK = "block long, ids array<long>, held array<boolean>, lengths binary, codes binary, hashes binary, tokens long, trained long"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -171,14 +171,19 @@ def tokenise(docs: DataFrame, block_bytes: int) -> DataFrame:
                         pa.array([run.column("held").to_pylist()], pa.list_(pa.bool_())),
                         pa.array([(lengths + 1).astype("<i4").tobytes()]), pa.array([squeeze(full.astype("<u4").tobytes())]),
                         pa.array([hashes.astype("<u8").tobytes()]), pa.array([len(full)]),
+                        pa.array([int((lengths + 1)[~np.array(run.column("held"))].sum())]),
                     ],
-                    names=["block", "ids", "held", "lengths", "codes", "hashes", "tokens"],
+                    names=["block", "ids", "held", "lengths", "codes", "hashes", "tokens", "trained"],
                 )
                 n += 1
 
     return docs.mapInArrow(pack, _BLOCK)
 
 
+def _segments(tokens: int) -> int:
+    return max(16, -(-2 * tokens // _SEGMENT_ITEMS))
+
+
 class Block:
     """One row of :func:`tokenise`, unpacked."""
 
@@ -210,24 +215,53 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
 
 
-def count_words(blocks: DataFrame) -> DataFrame:
-    """Exact counts of the training words: (hash, n)."""
+def _by_segment(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a block's words in order of their segment, and the bounds of the segments."""
+    segment = (mix(hashes ^ _START) % np.uint64(segments)).astype(np.int64)
+    return np.argsort(segment, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(segment, minlength=segments))])
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_words(blocks: DataFrame, segments: int) -> DataFrame:
+    """Exact training counts of the words of every block: (block, segment, counts, known).
+
+    Counts are in the order of the block's words that fall into the segment; ``known`` is the number of
+    different training words of the segment, on one row of each segment.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             b = Block(row["codes"], row["lengths"], row["hashes"], row["held"])
-            n = np.bincount(b.codes[b.trained], minlength=len(b.hashes))
+            n = np.bincount(b.codes[b.trained], minlength=len(b.hashes)).astype("<u4")
+            order, bounds = _by_segment(b.hashes, segments)
+            h, n = b.hashes[order], n[order]
+            full = np.flatnonzero(np.diff(bounds)).tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(b.hashes[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], names=["hash", "n"]
+                [
+                    pa.array(full, pa.int64()), pa.array([row["block"]] * len(full), pa.int64()),
+                    pa.array([h[bounds[s] : bounds[s + 1]].tobytes() for s in full], pa.binary()),
+                    pa.array([n[bounds[s] : bounds[s + 1]].tobytes() for s in full], pa.binary()),
+                ],
+                names=["segment", "block", "hashes", "n"],
             )
 
-    parts = blocks.select("codes", "lengths", "hashes", "held").mapInArrow(count, "hash long, n long")
-    return parts.groupBy("hash").agg(F.sum("n").alias("n"))
+    def answer(parts: pd.DataFrame) -> pd.DataFrame:
+        size = np.array([len(h) // 8 for h in parts["hashes"]])
+        unique, at = np.unique(np.frombuffer(b"".join(parts["hashes"]), dtype="<u8"), return_inverse=True)
+        total = np.bincount(at, weights=np.frombuffer(b"".join(parts["n"]), dtype="<u4"))
+        mine, ends = total[at].astype("<i8"), np.cumsum(size)
+        return pd.DataFrame({
+            "block": parts["block"], "segment": parts["segment"],
+            "counts": [mine[z - k : z].tobytes() for z, k in zip(ends.tolist(), size.tolist())],
+            "known": [int((total > 0).sum())] + [0] * (len(parts) - 1),
+        })
+
+    asked = blocks.select("block", "codes", "lengths", "hashes", "held").mapInArrow(ask, "segment long, block long, hashes binary, n binary")
+    return asked.groupBy("segment").applyInPandas(answer, "block long, segment long, counts binary, known long")
 
 
 def build_filter(blocks: DataFrame, filter_bits: int, tokens: int) -> LogFrequencyFilter:
     """The filter over all one- and two-word counts of the training texts."""
-    segments = max(16, -(-2 * tokens // _SEGMENT_ITEMS))
+    segments = _segments(tokens)
     size = max(64, filter_bits // segments // 8 * 8)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +309,7 @@ def build_filter(blocks: DataFrame, filter_bits: int, tokens: int) -> LogFrequen
 
 def score(
     df: DataFrame, is_held: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = 1000.0,
-    filter_bits: int = 1 << 29, block_bytes: int = 16 << 20,
+    filter_bits: int = 1 << 29, block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = prepare(df.sparkSession)
@@ -283,30 +317,23 @@ def score(
         F.col(id_col).cast("long").alias("id"), F.coalesce(is_held, F.lit(False)).alias("held"), F.col(text_col).alias("text")
     )
     blocks = stage(tokenise(docs, block_bytes))
-    words = stage(count_words(blocks))
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"] or 0, total["v"]
-    model = build_filter(blocks, filter_bits, blocks.agg(F.sum("tokens")).first()[0] or 0)
+    size = blocks.agg(F.sum("tokens").alias("tokens"), F.sum("trained").alias("trained")).first()
+    tokens, n = size["tokens"] or 0, size["trained"] or 0
+    segments = _segments(tokens)
+    counts = stage(count_words(blocks, segments))
+    v = counts.agg(F.sum("known")).first()[0] or 0
+    model = build_filter(blocks, filter_bits, tokens)
     shared = spark.sparkContext.broadcast((model.segments, model.segment_bits, model.bits))
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            h = np.frombuffer(row["hashes"], dtype="<u8").view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(h), row["block"])), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)],
-                names=["block", "i", "hash"],
-            )
-
-    asked = blocks.select("block", "hashes").mapInArrow(wanted, "block long, i int, hash long")
-    known = asked.join(words, "hash").select("block", "i", "n")
+    del model
 
     def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         bloom = LogFrequencyFilter(*shared.value)
         for row in left.itertuples():
             b = Block(row.codes, row.lengths, row.hashes, row.held)
+            order, _ = _by_segment(b.hashes, segments)
             exact = np.zeros(len(b.hashes))
-            exact[right["i"].to_numpy()] = right["n"].to_numpy()
+            exact[order] = np.frombuffer(b"".join(right.sort_values("segment")["counts"]), dtype="<i8")
             base = np.log10(exact + 1.0) - np.log10(n + v + 1.0)
             single = bloom.counts(word_keys(b.contexts))
             alone = (single[:-1] + 1.0) / (n + v + 1.0)
@@ -323,7 +350,8 @@ def score(
             columns=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         )
 
-    scored = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
+    asked, known = blocks.drop("tokens", "trained"), counts.select("block", "segment", "counts")
+    scored = asked.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
         judge, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return scored.withColumnRenamed("id", id_col)
