@@ -1,13 +1,21 @@
-"""A folder of Parquet tables: scan by SQL, create, append and upsert."""
+"""A folder of Parquet tables: scan by SQL, create, append and upsert.
+
+A table is a row of manifests, numbered JSON files. The newest names the schema and the data folders,
+so a write is seen as a whole or not at all, and types never have to be guessed from folder names.
+Upserted rows lie in buckets by hash of their key (or of the part of it that the caller names), and an
+upsert reads and writes only the buckets that get updates.
+"""
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import PySparkValueError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,9 +56,32 @@ def to_stored(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def merge_by_key(existing: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``existing`` whose key is not updated, plus all updates."""
-    return existing.join(updates.select(*key), list(key), "left_anti").unionByName(updates)
+def merge_by_key(existing: DataFrame, updates: DataFrame, key: Sequence[str], newest_by: str | None = None) -> DataFrame:
+    """Existing rows with the updates' values where the keys agree (null equals null), and new rows.
+
+    Columns that the updates do not carry keep their values. With ``newest_by`` a stored row that is
+    ahead of its update in that column stays as it is.
+    """
+    columns = [*existing.columns, *[c for c in updates.columns if c not in existing.columns]]
+    kinds = {**dict(updates.dtypes), **dict(existing.dtypes)}
+    old = existing.select(*[F.col(f"`{c}`").alias(f"o_{i}") for i, c in enumerate(columns) if c in existing.columns], F.lit(True).alias("held"))
+    new = updates.select(*[F.col(f"`{c}`").alias(f"n_{i}") for i, c in enumerate(columns) if c in updates.columns], F.lit(True).alias("fresh"))
+    same = reduce(lambda x, y: x & y, [F.col(f"o_{columns.index(k)}").eqNullSafe(F.col(f"n_{columns.index(k)}")) for k in key])
+    wins = F.col("fresh").isNotNull()
+    if newest_by in updates.columns and newest_by in existing.columns:
+        i = columns.index(newest_by)
+        wins = wins & ~F.coalesce(F.col("held") & (F.col(f"o_{i}") > F.col(f"n_{i}")), F.lit(False))
+
+    def pick(i: int, c: str) -> Column:
+        before = F.col(f"o_{i}") if c in existing.columns else F.lit(None)
+        return F.when(wins, F.col(f"n_{i}")).otherwise(before) if c in updates.columns else before
+
+    joined = old.join(new, same, "full_outer")
+    return joined.select(*[pick(i, c).cast(kinds[c]).alias(c) for i, c in enumerate(columns)])
+
+
+def _wider(schema: T.StructType, more: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, *[f for f in more.fields if f.name not in schema.names]])
 
 
 def keep_last(updates: DataFrame, key: Sequence[str], order: str) -> DataFrame:
@@ -63,28 +94,65 @@ def keep_last(updates: DataFrame, key: Sequence[str], order: str) -> DataFrame:
 
 
 class TableStore:
-    """Tables below one root. Each full write goes to a new version folder; the newest version that
-    was committed (its ``_SUCCESS`` file is there) is the table, so a failed write changes nothing."""
+    """Tables below one root; ``buckets`` is the number of buckets of tables created from here on."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    # reading
-    def _versions(self, table: str) -> list[str]:
-        fs, p = _fs_path(self.spark, f"{self.root}/{table}/v*/_SUCCESS")
-        return sorted(f.getPath().getParent().getName() for f in fs.globStatus(p))
+    # manifests
+    def _manifests(self, table: str) -> list:
+        fs, p = _fs_path(self.spark, f"{self.root}/{table}/manifest-*.json")
+        return sorted((f.getPath() for f in fs.globStatus(p) or []), key=lambda path: path.getName())
 
+    def _manifest(self, table: str) -> dict:
+        found = self._manifests(table)
+        if not found:
+            raise FileNotFoundError(f"{self.root}/{table}")
+        return json.loads(self._text(found[-1]))
+
+    def _text(self, path) -> str:
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        source = fs.open(path)
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
+    def _commit(self, table: str, manifest: dict) -> None:
+        """Write the next manifest under another name and move it; the move fails if another writer was
+        faster."""
+        found = self._manifests(table)
+        number = int(found[-1].getName()[len("manifest-") : -len(".json")]) + 1 if found else 0
+        fs, target = _fs_path(self.spark, f"{self.root}/{table}/manifest-{number:012d}.json")
+        _, draft = _fs_path(self.spark, f"{self.root}/{table}/.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if fs.exists(target) or not fs.rename(draft, target):
+            fs.delete(draft, False)
+            raise RuntimeError(f"table {table} was changed by another writer")
+
+    @staticmethod
+    def _schema(manifest: dict) -> T.StructType:
+        return T.StructType.fromJson(manifest["schema"])
+
+    # reading
     def exists(self, table: str) -> bool:
-        return bool(self._versions(table))
+        return bool(self._manifests(table))
 
-    def path(self, table: str) -> str:
-        versions = self._versions(table)
-        if not versions:
-            raise FileNotFoundError(f"{self.root}/{table}")
-        return f"{self.root}/{table}/{versions[-1]}"
+    def folders(self, table: str, buckets: Sequence[int] | None = None) -> list[str]:
+        """The data folders of a table, or of some of its buckets; folders of appended rows always."""
+        m = self._manifest(table)
+        wanted = m["parts"] if buckets is None else [str(b) for b in buckets if str(b) in m["parts"]]
+        return [f"{m['parts'][b]}/__bucket={b}" for b in wanted] + m["appended"]
+
+    def _read(self, manifest: dict, folders: Sequence[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self._schema(manifest))
+        return self.spark.read.schema(self._schema(manifest)).parquet(*folders)
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
+        return self._read(self._manifest(table), self.folders(table))
 
     def scan(self, sql: str, tables: Sequence[str], args: dict | None = None) -> DataFrame:
         """Run SQL over stored tables, each visible as a view of its own name."""
@@ -93,22 +161,24 @@ class TableStore:
         return self.spark.sql(sql, args=args)
 
     # writing
-    def _publish(self, table: str, df: DataFrame, partition: Sequence[str] = ()) -> None:
-        writer = df.write
-        if partition:
-            writer = writer.partitionBy(*partition)
-        writer.parquet(f"{self.root}/{table}/v{time.time_ns():020d}")
+    def _folder(self, table: str) -> str:
+        return f"{self.root}/{table}/data-{time.time_ns():020d}"
 
-    def ensure_table(self, table: str, like: DataFrame, partition: Sequence[str] = ()) -> bool:
+    def ensure_table(self, table: str, like: DataFrame) -> bool:
         """Create an empty table with the stored types of ``like``; True if it was missing."""
         if self.exists(table):
             return False
-        self._publish(table, to_stored(like).limit(0), partition)
+        empty = {"hash": None, "buckets": self.buckets, "parts": {}, "appended": []}
+        self._commit(table, empty | {"schema": to_stored(like).schema.jsonValue()})
         return True
 
     def append(self, table: str, df: DataFrame) -> None:
+        """Add rows without looking at the stored ones; new columns are added to the table."""
         self.ensure_table(table, df)
-        to_stored(df).write.mode("append").parquet(self.path(table))
+        folder, fresh = self._folder(table), to_stored(df)
+        fresh.write.parquet(folder)
+        m = self._manifest(table)
+        self._commit(table, m | {"schema": _wider(self._schema(m), fresh.schema).jsonValue(), "appended": [*m["appended"], folder]})
 
     def upsert(
         self,
@@ -120,9 +190,11 @@ class TableStore:
     ) -> int:
         """Insert or replace rows by key; returns the number of update rows.
 
-        Two update rows with one key are an error unless ``dedupe_by`` names the column whose
-        largest value wins. With ``partition`` (columns that are part of the key) only partitions
-        that get updates are read and rewritten.
+        Two update rows with one key are an error unless ``dedupe_by`` names the column whose largest
+        value wins, among the updates and against the stored row. Columns the updates do not carry keep
+        their stored values. ``partition`` (columns of the key) makes rows that agree in them share a
+        bucket, when the table gets its first keyed rows. Rows that were appended are taken into the
+        buckets.
         """
         if not set(partition) <= set(key):
             raise PySparkValueError("partition columns must be part of the key")
@@ -136,23 +208,40 @@ class TableStore:
             return 0
         if per_key["m"] > 1:
             raise PySparkValueError(f"two update rows share one key {list(key)}")
-        if not self.exists(table):
-            self._publish(table, fresh, partition)
-            return rows
-        existing = self.read(table).select(*fresh.columns)
-        if not partition:
-            self._publish(table, merge_by_key(existing, fresh, key))
-            return rows
-        touched = fresh.select(*partition).distinct()
-        merged = stage(merge_by_key(existing.join(touched, list(partition), "left_semi"), fresh, key))
-        (
-            merged.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partition)
-            .parquet(self.path(table))
-        )
+        self.ensure_table(table, fresh)
+        m = self._manifest(table)
+        spread = m["hash"] or list(partition or key)
+        if not set(spread) <= set(key):
+            raise PySparkValueError(f"the table is spread by {spread}; the key must hold these columns")
+        bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.lit(m["buckets"])).cast("int")
+        if m["appended"]:  # they may be in any bucket
+            touched = list(range(m["buckets"]))
+        else:
+            touched = sorted(r[0] for r in fresh.select(bucket).distinct().collect())  # a few numbers
+        existing = self._read(m, self.folders(table, touched))
+        merged = merge_by_key(existing, fresh, key, dedupe_by)
+        folder = self._folder(table)
+        placed = merged.withColumn("__bucket", bucket)
+        placed.repartition("__bucket").write.partitionBy("__bucket").parquet(folder)
+        filled = [r[0] for r in self.spark.read.parquet(folder).select("__bucket").distinct().collect()] if m["appended"] else touched
+        parts = {b: f for b, f in m["parts"].items() if int(b) not in touched} | {str(b): folder for b in filled}
+        self._commit(table, m | {"schema": merged.schema.jsonValue(), "hash": spread, "parts": parts, "appended": []})
         return rows
 
+    def vacuum(self, table: str, keep: int = 2) -> int:
+        """Delete manifests before the last ``keep`` and data folders that none of the kept ones names.
+        Not while another writer is at work: its folder is not in a manifest yet."""
+        found = self._manifests(table)
+        held = set()
+        for path in found[-keep:]:
+            m = json.loads(self._text(path))
+            held |= {f.rsplit("/", 1)[1] for f in [*m["parts"].values(), *m["appended"]]}
+        fs, root = _fs_path(self.spark, f"{self.root}/{table}")
+        old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("data-") and f.getPath().getName() not in held]
+        for path in [*found[:-keep], *old]:
+            fs.delete(path, True)
+        return len(old)
+
     def write_forecasts(self, kpi_id: str, forecasts: DataFrame) -> int:
         """Forecast rows of one KPI, keyed by timestamp, KPI and customer."""
         return self.upsert(f"forecasts_{kpi_id}", forecasts, ["timestamp", "kpi_id", "customer_id"])
