@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,9 @@ class Merges:
                     pairs[left << _SHIFT | right] = rank
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
         self.made = np.array([pairs[p] for p in self.pairs.tolist()], dtype=np.int64)
+        self.spelled: dict[int, list[int]] = {}  # the pairs that become an id
+        for pair, rank in pairs.items():
+            self.spelled.setdefault(rank, []).append(pair)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of two neighbours, ``_NONE`` where there is none."""
@@ -97,52 +101,61 @@ class Merges:
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
-        def enter(left: np.ndarray) -> None:
+        def enter(left: np.ndarray, than: int) -> None:
             """Put the pairs that start at these positions into the index."""
             rank = self.rank_of(symbol[left], symbol[after[left]])
             real = rank != _NONE
-            left, rank = left[real], rank[real]
+            if not real.all():
+                left, rank = left[real], rank[real]
             if not len(left):
                 return
             order = np.argsort(rank, kind="stable")
             left, rank = left[order], rank[order]
-            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-            for r, some in zip(rank[np.concatenate([[0], cuts])].tolist(), np.split(left, cuts) if len(cuts) else [left]):
+            if rank[0] < than:
+                odd[word[left[rank < than]]] = True
+            cuts = (np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist()
+            for start, stop in zip([0, *cuts], [*cuts, len(rank)]):
+                r = int(rank[start])
                 if r in index:
-                    index[r].append(some)
+                    index[r].append(left[start:stop])
                 else:
-                    index[r] = [some]
+                    index[r] = [left[start:stop]]
                     heapq.heappush(heap, r)
 
-        enter(np.flatnonzero(after[:n] < n))
+        enter(np.flatnonzero(after[:n] < n), -1)
         while heap:
             r = heapq.heappop(heap)
             found = index.pop(r)
-            at = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
-            at = at[alive[at] & (after[at] < n)]
-            at = at[self.rank_of(symbol[at], symbol[after[at]]) == r]
+            at = np.sort(np.concatenate(found) if len(found) > 1 else found[0])
+            beside = after[at]
+            pair = symbol[at] << _SHIFT | symbol[beside]
+            first, *others = self.spelled[r]
+            ok = pair == first
+            for another in others:
+                ok |= pair == another
+            ok &= alive[at]
+            ok &= beside < n
+            ok[1:] &= at[1:] != at[:-1]
+            at = at[ok]
             if not len(at):
                 continue
-            overlaps = np.flatnonzero(after[at[:-1]] == at[1:])
-            if len(overlaps):  # runs such as a a a: every other one, from the left
+            gone = after[at]
+            overlaps = gone[:-1] == at[1:]
+            if overlaps.any():  # runs such as a a a: every other one, from the left
                 starts = np.ones(len(at), dtype=bool)
-                starts[overlaps + 1] = False
+                starts[1:] = ~overlaps
                 run = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
                 at = at[(np.arange(len(at)) - run) % 2 == 0]
-            gone = after[at]
+                gone = after[at]
             symbol[at] = r
             alive[gone] = False
             following = after[gone]
             after[at] = following
             before[following] = at
-            before[n] = n
-            touched = np.concatenate([before[at], at])
-            touched = touched[(touched < n)]
-            touched = np.unique(touched[after[touched] < n])
+            ahead = before[at]
+            touched = np.concatenate([ahead[ahead < n], at[following < n]])
             if len(touched):
-                lower = self.rank_of(symbol[touched], symbol[after[touched]]) < r
-                odd[word[touched[lower]]] = True
-                enter(touched)
+                enter(touched, r)
         kept = np.flatnonzero(alive[:n])
         ids, counts = symbol[kept], np.bincount(word[kept], minlength=len(words))
         if odd.any():
@@ -167,46 +180,59 @@ class Coder:
             self.tokens[rank] = token
         self.find = regex.compile(pattern).findall
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.most, self.known = most, {}
+        self.most, self.known, self.bare = most, {}, {}  # ids of pieces after a blank, and of others
 
     def words(self, text: str) -> list[str]:
         if _COMMON.search(text):  # letters that only one of the tables may know
             return [text[a:b] for _, (a, b) in self.library(text)]
         return self.find(text)
 
-    def pieces(self, text: str) -> list[str]:
-        """A text cut before its blanks where no word reaches across; otherwise in words."""
+    def _cut(self, text: str) -> tuple[list[str], list[str]]:
+        """A text as bare pieces and pieces after a blank, cut at blanks that no word reaches across; a
+        text with other white space next to a blank comes as its words, all of them bare."""
+        if not text:
+            return [], []
         if not regular(text):
-            return self.words(text)
+            return self.words(text), []
         first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
-
-    def _learn(self, pieces: set[str]) -> None:
-        words, spelled = {}, []
-        for piece in pieces:
-            spelled.append([words.setdefault(w, len(words)) for w in self.words(piece)])
+        return [first], rest
+
+    def _learn(self, bare: set[str], after_blank: set[str]) -> None:
+        words, spelled, places = {}, [], []
+        for known, pieces, blank in ((self.bare, bare, ""), (self.known, after_blank, " ")):
+            for piece in pieces:
+                own = [blank + piece] if piece.isascii() and piece.isalpha() else self.words(blank + piece)
+                spelled.append([words.setdefault(w, len(words)) for w in own])
+                places.append((known, piece))
         raw = [w.encode("utf-8", "replace") for w in words]
-        whole = [self.merges.ranks.get(w) for w in raw]
-        parts = [i for i, r in enumerate(whole) if r is None]
-        ids, counts = self.merges.replay([raw[i] for i in parts]) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        flat, ends = ids.astype("<i4").tobytes(), (np.cumsum(counts) * 4).tolist()
-        coded = [b"" if r is None else r.to_bytes(4, "little") for r in whole]
-        for i, a, b in zip(parts, [0, *ends], ends):
-            coded[i] = flat[a:b]
-        for piece, at in zip(pieces, spelled):
-            self.known[piece] = coded[at[0]] if len(at) == 1 else b"".join([coded[i] for i in at])
+        coded = [self.merges.ranks.get(w) for w in raw]
+        parts = [i for i, r in enumerate(coded) if r is None]
+        coded = [b"" if r is None else r.to_bytes(4, "little") for r in coded]
+        if parts:
+            ids, counts = self.merges.replay([raw[i] for i in parts])
+            flat, ends = ids.astype("<i4").tobytes(), (np.cumsum(counts) * 4).tolist()
+            for i, a, b in zip(parts, [0, *ends], ends):
+                coded[i] = flat[a:b]
+        for (known, piece), at in zip(places, spelled):
+            known[piece] = coded[at[0]] if len(at) == 1 else b"".join([coded[i] for i in at])
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        fresh = set().union(*cut) - self.known.keys() if cut else set()
-        if len(self.known) + len(fresh) > self.most:
+        if len(self.known) + len(self.bare) > self.most:
             self.known.clear()
-            fresh = set().union(*cut)
-        if fresh:
-            self._learn(fresh)
-        for parts in cut:
-            yield b"".join(map(self.known.__getitem__, parts))
+            self.bare.clear()
+        bare, after_blank = set(), set()
+        for text in texts:
+            one, rest = self._cut(text)
+            bare.update(one)
+            after_blank.update(rest)
+        bare -= self.bare.keys()
+        after_blank -= self.known.keys()
+        if bare or after_blank:
+            self._learn(bare, after_blank)
+        for text in texts:
+            one, rest = self._cut(text)
+            yield b"".join([*map(self.bare.__getitem__, one), *map(self.known.__getitem__, rest)])
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -219,27 +245,36 @@ def _coder(path: str, pattern: str) -> Coder:
 
 def _runs(values: pa.Array, most: int) -> Iterator[pa.Array]:
     """Runs of rows of about ``most`` bytes, so that a batch of long texts is coded in parts."""
-    size = np.array([len(v) if v else 0 for v in values.to_pylist()])
+    size = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     run = np.cumsum(size) // most
     cuts = (np.flatnonzero(np.diff(run)) + 1).tolist() if len(run) else []
     for a, b in zip([0, *cuts], [*cuts, len(values)]):
         yield values.slice(a, b - a)
 
 
-def encoder(path: str, pattern: str = public_tokenizers.PATTERN) -> Callable[[Column], Column]:
+def _id_lists(coder: Coder, texts: pa.Array, run_bytes: int) -> pa.Array:
+    values, ends = [], [0]
+    for run in _runs(texts, run_bytes):
+        for ids in coder.encode([t or "" for t in run.to_pylist()]):
+            values.append(ids)
+            ends.append(ends[-1] + len(ids) // 4)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), dtype="<i4")))
+
+
+def _bytes_of(coder: Coder, ids: pa.Array) -> pa.Array:
+    flat, ends = ids.flatten(), ids.offsets.to_pylist()
+    rows = (flat.slice(a - ends[0], b - a).to_pylist() for a, b in zip(ends[:-1], ends[1:]))
+    return pa.array([coder.decode(row) for row in rows], pa.binary())
+
+
+def encoder(path: str, pattern: str = public_tokenizers.PATTERN, run_bytes: int = 16 << 20) -> Callable[[Column], Column]:
     """A column function from text to ARRAY<INT> of ids."""
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(path, pattern)
         for texts in batches:
-            values, ends = [], [0]
-            for run in _runs(texts, 16 << 20):
-                for ids in coder.encode([t or "" for t in run.to_pylist()]):
-                    values.append(ids)
-                    ends.append(ends[-1] + len(ids) // 4)
-            flat = pa.array(np.frombuffer(b"".join(values), dtype="<i4"))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield _id_lists(coder, texts, run_bytes)
 
     return encode
 
@@ -251,11 +286,24 @@ def decoder(path: str, pattern: str = public_tokenizers.PATTERN) -> Callable[[Co
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(path, pattern)
         for ids in batches:
-            yield pa.array([coder.decode(row or ()) for row in ids.to_pylist()], pa.binary())
+            yield _bytes_of(coder, ids)
 
     return decode
 
 
+def round_trip(path: str, pattern: str = public_tokenizers.PATTERN, run_bytes: int = 16 << 20) -> Callable[[Column], Column]:
+    """A column function from text to its ids and the bytes these decode to, in one worker."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = _coder(path, pattern)
+        for texts in batches:
+            ids = _id_lists(coder, texts, run_bytes)
+            yield pa.StructArray.from_arrays([ids, _bytes_of(coder, ids)], names=["ids", "decoded"])
+
+    return both
+
+
 def encode_texts(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the ids of every whole text."""
     prepare(df.sparkSession)
@@ -271,8 +319,8 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark, sf) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode_texts(table(spark, sf, "documents").select("doc_id", "text"), path).drop("text")
-    return decode_ids(ids, path).select(
+    docs = table(prepare(spark), sf, "documents").select("doc_id", round_trip(path)(F.col("text")).alias("r"))
+    return docs.select("doc_id", "r.*").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),

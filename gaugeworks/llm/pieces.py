@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import sys
 
-_SPACES = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace() and c != 32]
-_BESIDE = tuple(p for c in _SPACES for p in (" " + c, c + " "))
-_BESIDE_ASCII = tuple(p for p in _BESIDE if p.isascii())
+_SPACES = frozenset(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace() and c != 32)
 
 
 def regular(text: str) -> bool:
@@ -20,4 +18,4 @@ def regular(text: str) -> bool:
         return False
     if text.isprintable():  # no white space but blanks
         return True
-    return not any(p in text for p in (_BESIDE_ASCII if text.isascii() else _BESIDE))
+    return not any(" " + c in text or c + " " in text for c in _SPACES.intersection(text))
