@@ -58,10 +58,10 @@ def range_bucket(value: Column, edges: Sequence) -> Column:
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on equal keys where null equals null; the right side's key columns are dropped.
 
-    Without keys the right side is a total over all rows, so it is a single row to broadcast.
+    Without keys all rows are one group: every left row meets every right row.
     """
     if not keys:
-        return left.join(F.broadcast(right.limit(1)))
+        return left.join(right, F.lit(True), how)
     marked = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )

@@ -22,7 +22,11 @@ def _fixed(value: Column, decimals: Column, unit: Column) -> Column:
         F.when(value < 0, "-").otherwise(""), F.floor(digits / unit).cast("string"), F.lit("."),
         F.lpad((digits % unit).cast("string"), decimals, F.lit("0")),
     )
-    return F.when(size < 1e13, text).otherwise(value.cast("string"))
+    # from 1e13 on a double has few or no digits after the point, and those print exactly
+    large = F.lit(None).cast("string")
+    for n in range(1, 7):
+        large = F.when(decimals == n, F.format_string(f"%.{n}f", value)).otherwise(large)
+    return F.when(size < 1e13, text).when(F.isnan(value) | (size == float("inf")), value.cast("string")).otherwise(large)
 
 
 def _let(value: Column, then) -> Column:

@@ -12,6 +12,7 @@ from gaugeworks.functions.ordering import MAX_GROUP_ROWS, exact_quantiles, join_
 from gaugeworks.functions.text import fixed, humanize
 
 TINY = 1e-9
+LEAST_ROWS = 4  # shorter series have no anomalies, whatever the window
 
 
 def rolling_scores(
@@ -33,6 +34,9 @@ def rolling_scores(
         )
 
     rows = over_series(series, keys, ["timestamp"], window, build, max_rows).where(F.size("__h") == window)
+    if window < LEAST_ROWS:
+        long = series.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") >= LEAST_ROWS)
+        rows = join_same(rows, long.drop("__rows"), keys, "left_semi" if keys else "inner")
     n = window
     rows = rows.withColumn("__s", F.when(F.col("__s") == 0, F.lit(TINY)).otherwise(F.col("__s")))
     rows = rows.withColumn("z_score", (F.col("value") - F.col("expected")) / F.col("__s"))

@@ -107,7 +107,12 @@ def tree_forecast(
     spark = series.sparkSession
     config = FeatureConfig(keys=list(keys), diffs=())
     pipe = FeaturePipeline(config)
-    rows = row_index(series.where("value IS NOT NULL"), keys, ["timestamp"])
+    known = series.where("value IS NOT NULL")
+    # one model for all series: each is measured in its own mean size, and scaled back at the end
+    sizes = known.groupBy(*keys).agg(F.avg(F.abs("value")).alias("__size"))
+    sizes = stage(sizes.withColumn("__size", F.when(F.col("__size") > 0, F.col("__size")).otherwise(F.lit(1.0))))
+    scaled = join_same(known, sizes, keys).withColumn("value", F.col("value") / F.col("__size")).drop("__size")
+    rows = row_index(scaled, keys, ["timestamp"])
     pipe.config.extra = ("rn",)
     feats = pipe.fit_transform(rows)
     names = [c for c in pipe.columns if c != "rn"]
@@ -141,7 +146,8 @@ def tree_forecast(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    back = [(F.col(c) * F.col("__size")).alias(c) for c in ("yhat", "lower95", "upper95")]
+    return join_same(out, sizes, keys).select(*keys, "fold", "model", "step", *back)
 
 
 def _extend(ready: DataFrame, keys, fold: int, kind: str, horizon: int, trees, names, config) -> DataFrame:

@@ -134,26 +134,31 @@ def doc_aggregate(df: DataFrame, stages: Sequence[dict]) -> DataFrame:
     return df
 
 
-def docs_to_table(df: DataFrame, json_column: str, order_by: str, max_columns: int = 2000) -> DataFrame:
+def docs_to_table(df: DataFrame, json_column: str, order_by: str, columns: Sequence[str] | None = None) -> DataFrame:
     """JSON texts with differing keys as one table: a text column per key, in first-seen order.
 
-    Only the key names reach the driver; more than ``max_columns`` of them is an error.
+    The columns of a table are part of its plan, so the key names reach the driver. Give ``columns``
+    where the keys are many or known, or use :func:`docs_to_map`, which keeps them in the rows.
     """
     doc = F.from_json(json_column, "map<string,string>")
+    kept = [c for c in df.columns if c != json_column]
+    if columns is not None:
+        return df.withColumn("__doc", doc).select(*kept, *[F.col("__doc")[c].alias(c) for c in columns])
     keys = (
         df.select(F.explode(F.map_keys(doc)).alias("k"), order_by)
         .groupBy("k")
         .agg(F.min(order_by).alias("first"))
         .orderBy("first", "k")
-        .limit(max_columns + 1)
         .collect()
     )
-    if len(keys) > max_columns:
-        raise PySparkValueError(f"more than {max_columns} distinct keys")
-    kept = [c for c in df.columns if c != json_column]
     return df.withColumn("__doc", doc).select(*kept, *[F.col("__doc")[r["k"]].alias(r["k"]) for r in keys])
 
 
+def docs_to_map(df: DataFrame, json_column: str, out: str = "doc") -> DataFrame:
+    """The JSON texts as a MAP column, for any number of differing keys."""
+    return df.withColumn(out, F.from_json(json_column, "map<string,string>"))
+
+
 # named patient queries ---------------------------------------------------------------------
 
 

@@ -182,9 +182,18 @@ def compare_windows(
 
 
 def retrain_decision(
-    compared: DataFrame, keys: Sequence[str], n_checked: int, major_needed: int = 1, minor_needed: int = 6
+    compared: DataFrame, keys: Sequence[str], n_checked: int, major_needed: int = 1, minor_needed: int = 6,
+    everyone: DataFrame | None = None,
 ) -> DataFrame:
-    """Per series: worst severity, whether to retrain, and a summary. ``n_checked`` counts skipped features too."""
+    """Per series: worst severity, whether to retrain, and a summary. ``n_checked`` counts skipped features too.
+
+    ``everyone`` names the series (one row of keys each) that must appear, also where nothing could be
+    compared; these have no drift.
+    """
+    if everyone is not None:
+        compared = join_same(everyone, compared.select(*keys, "feature", "severity"), keys).withColumn(
+            "severity", F.coalesce("severity", F.lit("none"))
+        )
     per = compared.groupBy(*keys).agg(
         F.count_if(F.col("severity") == "major").alias("n_major"),
         F.count_if(F.col("severity") == "minor").alias("n_minor"),
@@ -214,7 +223,8 @@ def drift_job(
     """All series at once: two filters on one table, severity and retrain trigger per series."""
     cols = informative(compare.pop("features", None) or numeric_columns(table, table, keys))
     found = compare_windows(table.where(reference), table.where(new), keys, cols, **compare)
-    out = retrain_decision(found, keys, len(cols))
+    everyone = table.where(reference | new).select(*keys).distinct() if keys else None
+    out = retrain_decision(found, keys, len(cols), everyone=everyone)
     need = {"none": 0, "minor": 1, "major": 2}[min_severity]
     return out.withColumn("trigger", severity_rank(F.col("overall_severity")) >= need).withColumn(
         "n_drifted", F.col("n_major") + F.col("n_minor")

@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
+from pyspark.sql.window import Window, WindowSpec
 
 from gaugeworks.functions.ordering import MAX_GROUP_ROWS, join_same, over_series
 
@@ -72,37 +72,44 @@ def diff_features(w: WindowSpec, value: str, steps: Sequence[int]) -> dict[str,
     return {f"diff_{d}": F.col(value) - F.lag(value, d).over(w) for d in steps}
 
 
-def ema_with_gaps(w: WindowSpec, value: str, alpha: float) -> Column:
-    """Exponential average of the rows before the current one, seeded with the first value.
+def ema_with_gaps(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str, alphas: Sequence[float]
+) -> DataFrame:
+    """Adds the exponential averages of the rows before the current one, seeded with the first value.
 
-    Missing values keep the average and decay its weight, so the rows are folded one by one. The
-    frame ends where older rows fall below double precision.
+    Missing values keep the average and decay its weight by the length of the gap. Values are folded
+    among themselves, so a run of missing rows, however long, takes no place in the frame; the frame
+    ends where older values fall below double precision.
     """
-    frame = F.collect_list(F.struct(F.col(value).cast("double").alias("x"))).over(w.rowsBetween(-ema_depth(alpha), -1))
-    keep = 1.0 - alpha
-    start = F.struct(F.lit(None).cast("double").alias("e"), F.lit(1.0).alias("w"))
+    missing = F.col(value).isNull()
+    series = Window.partitionBy(*keys).orderBy(*order_by)
+    # the non-null rows of a series as a window of their own
+    values = Window.partitionBy(*keys, "__missing").orderBy(*order_by)
+    rows = df.withColumn("__missing", missing).withColumn("__at", F.row_number().over(series))
+    rows = rows.withColumn("__gap", F.col("__at") - F.lag("__at").over(values))
 
-    def step(acc: Column, row: Column) -> Column:
-        x, e, weight = row["x"], acc["e"], acc["w"] * F.lit(keep)
-        mixed = (weight * e + F.lit(alpha) * x) / (weight + F.lit(alpha))
-        return F.struct(
-            F.when(e.isNull(), x).when(x.isNull(), e).otherwise(mixed).alias("e"),
-            F.when(e.isNotNull() & x.isNull(), weight).otherwise(F.lit(1.0)).alias("w"),
-        )
+    def folded(alpha: float) -> Column:
+        frame = F.collect_list(F.struct(F.col(value).cast("double").alias("x"), "__gap")).over(values.rowsBetween(-ema_depth(alpha), 0))
 
-    return F.aggregate(frame, start, step, lambda acc: acc["e"])
+        def step(e: Column, row: Column) -> Column:
+            weight = F.pow(F.lit(1.0 - alpha), row["__gap"])
+            return F.when(e.isNull(), row["x"]).otherwise((weight * e + F.lit(alpha) * row["x"]) / (weight + F.lit(alpha)))
 
+        return F.when(~F.col("__missing"), F.aggregate(frame, F.lit(None).cast("double"), step))
 
-def ema_features(df: DataFrame, w: WindowSpec, value: str, alphas: Sequence[float], gaps: bool) -> DataFrame:
-    """Adds the exponential averages of the rows before the current one.
+    rows = rows.select("*", *[folded(a).alias(f"__e{i}") for i, a in enumerate(alphas)])
+    before = series.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", *[F.last(f"__e{i}", ignorenulls=True).over(before).alias(alpha_name(a)) for i, a in enumerate(alphas)])
+    return rows.drop("__missing", "__at", "__gap", *[f"__e{i}" for i in range(len(alphas))])
+
+
+def ema_features(df: DataFrame, w: WindowSpec, value: str, alphas: Sequence[float]) -> DataFrame:
+    """Adds the exponential averages of the rows before the current one, for series without gaps.
 
     Without missing values the average is a weighted sum of earlier rows. It is put together from
     sums over ``EMA_STEP`` rows, each taken by fixed offsets: some 40 look-ups per row where a frame
     would visit hundreds of rows again and again.
     """
-    if gaps:
-        return df.select("*", *[ema_with_gaps(w, value, a).alias(alpha_name(a)) for a in alphas])
-
     def weighted(column: str, weights: Sequence[float], stride: int, first: int) -> Column:
         terms = [F.lit(x) * F.lag(column, first + i * stride, 0.0).over(w) for i, x in enumerate(weights)]
         return reduce(lambda a, b: a + b, terms)
@@ -183,9 +190,12 @@ class FeaturePipeline:
                 cols |= lag_features(w, c.target, c.lags) | rolling_features(w, c.target, c.rolling)
                 cols |= diff_features(w, c.target, c.diffs)
             out = part.select("*", *[v.alias(k) for k, v in cols.items()])
-            return ema_features(out, w, c.target, c.ema_alphas, gaps) if c.ema_alphas and c.target in part.columns else out
+            plain = c.ema_alphas and c.target in part.columns and not gaps
+            return ema_features(out, w, c.target, c.ema_alphas) if plain else out
 
         out = over_series(df, keys, [c.timestamp], c.lookback(), windows, max_rows)
+        if gaps:  # a gap may be longer than any halo, so these averages see whole series
+            out = ema_with_gaps(out, keys, [c.timestamp], c.target, c.ema_alphas)
         if c.calendar:
             out = out.select("*", *[v.alias(k) for k, v in calendar_features(c.timestamp).items()])
         if c.fourier_periods:

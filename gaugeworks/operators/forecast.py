@@ -415,11 +415,8 @@ def backtest(
 def forecast(
     series: DataFrame, keys: Sequence[str], horizon: int, folds: int = 4, test_size: int = 14,
     names: Sequence[str] | None = None, chunk: int = CHUNK, tree_rounds: int = 400,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Backtest, pick the winner per series, refit it on all rows: (forecast, scoreboard, selection).
-
-    Series whose models all failed have no forecast and show up in none of the tables.
-    """
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Backtest, pick the winner per series, refit it on all rows: (forecast, scoreboard, selection, rejects)."""
     steps = stage(infer_step(series, keys))
     packed = stage(pack_series(series, keys, chunk))
     plan = stage(backtest_folds(steps, keys, folds, test_size))
@@ -433,13 +430,31 @@ def forecast(
     ahead = all_predictions(series, packed, keys, stage(full), steps, horizon, names, chunk, tree_rounds).drop("fold")
     dated = join_same(ahead, future_timestamps(steps, keys, horizon), [*keys, "step"], "inner")
     out = join_same(dated, steps.select(*keys, F.col("n").alias("trained_on")), keys)
-    return out.select(*keys, "step", "timestamp", "yhat", "lower95", "upper95", "model", "trained_on"), board, chosen
+    return out.select(*keys, "step", "timestamp", "yhat", "lower95", "upper95", "model", "trained_on"), board, chosen, rejected(
+        series, keys, steps, plan, chosen, test_size
+    )
+
+
+def rejected(
+    series: DataFrame, keys: Sequence[str], steps: DataFrame, plan: DataFrame, chosen: DataFrame, test_size: int
+) -> DataFrame:
+    """(keys..., n, reason): the series without a forecast."""
+    everyone = series.groupBy(*keys).agg(F.count("value").alias("n"))
+    marks = [
+        (plan.groupBy(*keys).agg(F.lit(True).alias("planned")), "planned"),
+        (chosen.select(*keys, F.lit(True).alias("won")), "won"),
+    ]
+    for known, _ in marks:
+        everyone = join_same(everyone, known, keys)
+    short = F.format_string(f"%d values are too few for a backtest of {test_size}", "n")
+    reason = F.when(F.col("planned").isNull(), short).otherwise("no candidate model gave a finite score on any fold")
+    return everyone.where("won IS NULL").select(*keys, "n", reason.alias("reason"))
 
 
 def seasonal_naive(series: DataFrame, keys: Sequence[str], periods: int, season: int = 12) -> DataFrame:
     """(keys..., step, month, yhat): the value one season back, repeated; the last value for series
     shorter than a season. ``series`` has a ``month`` text column (yyyy-MM)."""
-    periods = max(1, min(24, periods))
+    periods = max(1, periods)
     w = Window.partitionBy(*keys).orderBy(F.desc("month"))
     # only the last season of each series is kept; Spark cuts to it before the shuffle
     tail = series.withColumn("back", F.row_number().over(w)).where(F.col("back") <= season)
@@ -455,7 +470,7 @@ def seasonal_naive(series: DataFrame, keys: Sequence[str], periods: int, season:
 
 def monthly_forecast(series: DataFrame, keys: Sequence[str], periods: int = 6, chunk: int = CHUNK) -> DataFrame:
     """Holt-Winters with a period of 12 on (keys..., month, value); seasonal-naive where it cannot fit."""
-    periods = max(1, min(24, periods))
+    periods = max(1, periods)
     dated = series.withColumn("timestamp", F.to_timestamp(F.concat("month", F.lit("-01"))))
     packed = pack_series(dated, keys, chunk)
     sizes = dated.where("value IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("start")).withColumn("fold", F.lit(FULL))

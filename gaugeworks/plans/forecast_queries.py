@@ -176,7 +176,7 @@ def _(spark, sf):
 
 @query("autoselect")
 def _(spark, sf):
-    _ahead, board, _chosen = fc.forecast(monthly(spark, sf), KEY, 6, 3, 6, PLAIN)
+    _ahead, board, _chosen, _rejects = fc.forecast(monthly(spark, sf), KEY, 6, 3, 6, PLAIN)
     return board
 
 

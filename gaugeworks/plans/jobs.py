@@ -72,10 +72,11 @@ def run_training(
         store.upsert("anomaly_rejects", rejects, SERIES_KEYS)
         done = join_same(done, metrics.select(*SERIES_KEYS, "flagged_pct", "n_features"), SERIES_KEYS)
     if train_forecast:
-        _ahead, board, chosen = fc.forecast(history, SERIES_KEYS, horizon, folds, test_size, models)
+        _ahead, board, chosen, rejects = fc.forecast(history, SERIES_KEYS, horizon, folds, test_size, models)
         sizes = history.groupBy(*SERIES_KEYS).agg(F.count("*").alias("n"))
         store.upsert("scoreboard", board, [*SERIES_KEYS, "model"])
         store.upsert("selection", chosen, SERIES_KEYS)
+        store.upsert("forecast_rejects", rejects, SERIES_KEYS)
         store.upsert("training_metrics", fc.training_metrics(chosen, sizes, SERIES_KEYS, horizon), SERIES_KEYS)
         done = join_same(done, chosen.select(*SERIES_KEYS, "winner"), SERIES_KEYS)
     return done
@@ -106,12 +107,13 @@ def run_predict(
     """Forecast every series into the table ``forecasts`` (one partition per KPI) and, where an
     ensemble is stored, score the last 60 rows. Returns one row per series."""
     history = check_history(history)
-    ahead, _board, chosen = fc.forecast(history, SERIES_KEYS, horizon, folds, test_size, models)
+    ahead, _board, chosen, rejects = fc.forecast(history, SERIES_KEYS, horizon, folds, test_size, models)
     rows = ahead.select(
         *SERIES_KEYS, "timestamp", "yhat", F.col("lower95").alias("yhat_lower"), F.col("upper95").alias("yhat_upper"),
         F.col("model").alias("winning_model"),
     )
     store.upsert("forecasts", rows, ["timestamp", *SERIES_KEYS], partition=["kpi_id"])
+    store.upsert("forecast_rejects", rejects, SERIES_KEYS)
     out = chosen.select(*SERIES_KEYS, "winner").withColumn("horizon", F.lit(horizon))
     if model_root and path_exists(store.spark, f"{model_root}/ensemble/state"):
         model = en.AnomalyEnsemble.load(store.spark, f"{model_root}/ensemble")

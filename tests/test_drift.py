@@ -141,3 +141,14 @@ def test_stream_equals_batch(spark, tmp_path):
     have = sorted((r["k"], r["drift_index"], r["t"]) for r in got.collect())
     batch = ad.adwin(spark.createDataFrame(rows), ["k"], ["t"], "v")
     assert have == sorted((r["k"], r["drift_index"], r["t"]) for r in batch.collect()) and have
+
+
+def test_every_series_gets_a_decision(spark):
+    from gaugeworks.operators.drift import drift_job
+    from pyspark.sql import functions as F
+
+    rows = [("long", i, float(i % 7)) for i in range(200)] + [("short", i, 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, i long, x double")
+    got = {r.k: r for r in drift_job(df, F.col("i") % 2 == 0, F.col("i") % 2 == 1, ["k"], features=["x"]).collect()}
+    assert set(got) == {"long", "short"}
+    assert (got["short"].n_major, got["short"].overall_severity, got["short"].trigger) == (0, "none", False)

@@ -82,7 +82,7 @@ def test_models_follow_a_clean_season(spark, series):
 
 
 def test_forecast_selects_refits_and_dates(series):
-    ahead, board, chosen = fc.forecast(series, KEY, 5, 2, 14, ["holt_winters", "arima"])
+    ahead, board, chosen, rejects = fc.forecast(series, KEY, 5, 2, 14, ["holt_winters", "arima"])
     pdf = ahead.where("kpi_id = 'a'").orderBy("step").toPandas()
     assert pdf["timestamp"].tolist() == list(pd.date_range("2025-06-30", periods=5))
     assert (pdf["lower95"] < pdf["yhat"]).all() and set(pdf["trained_on"]) == {180}
@@ -150,3 +150,47 @@ def test_tree_step_features_equal_the_pipeline(spark, series):
     got = bo.next_features(wave(180, 5.0, 0)[:-1], us("2025-06-29"), us("2025-01-01"), cfg)
     for name in pipe.columns:
         assert got[name] == pytest.approx(last[name]), name
+
+
+def test_backtest_without_keys_has_all_folds(spark):
+    import datetime as dt
+
+    from gaugeworks.operators import forecast as fc
+
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(i), 100.0 + i % 7) for i in range(120)]
+    df = spark.createDataFrame(rows, "timestamp timestamp, value double")
+    assert len({r.fold for r in fc.backtest(df, [], ["holt_winters"]).collect()}) == 4
+
+
+def test_short_series_are_rejected_with_a_reason(spark):
+    import datetime as dt
+
+    from gaugeworks.operators import forecast as fc
+
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(i), 100.0 + i % 7) for k, n in (("long", 120), ("short", 35)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, timestamp timestamp, value double")
+    _ahead, _board, chosen, rejects = fc.forecast(df, ["k"], 5, 2, 14, ["holt_winters"])
+    assert [r.k for r in chosen.collect()] == ["long"]
+    assert [(r.k, r.n) for r in rejects.collect()] == [("short", 35)]
+
+
+def test_trees_do_not_mix_scales(spark):
+    import datetime as dt
+    import math
+
+    from gaugeworks.operators import boosting as bo
+    from gaugeworks.operators import forecast as fc
+    from pyspark.sql import functions as F
+
+    def rows(k, size):
+        return [(k, dt.datetime(2024, 1, 1) + dt.timedelta(i), size * (100 + 10 * math.sin(i / 5))) for i in range(160)]
+
+    def ahead(data):
+        df = spark.createDataFrame(data, "k string, timestamp timestamp, value double")
+        steps = fc.infer_step(df, ["k"])
+        at = steps.select("k", F.lit(0).alias("fold"), F.col("n").alias("start"))
+        out = bo.tree_forecast(df, ["k"], at, steps, 5, "gbt", rounds=10, depth=4)
+        return {r.step: r.yhat for r in out.where("k = 'a'").collect()}
+
+    alone, mixed = ahead(rows("a", 1)), ahead(rows("a", 1) + rows("b", 1e4))
+    assert all(abs(alone[s] - mixed[s]) < 0.03 * alone[s] for s in alone)

@@ -105,3 +105,11 @@ def test_numbers_read_as_python_writes_them(spark):
             assert (r.f2, r.f1, r.s) == (f"{r.v:.2f}", f"{r.v:.1f}", f"{r.v:+.1f}")
         if abs(r.v) < 1e15:
             assert r.h == human(r.v)
+
+
+def test_join_same_without_keys(spark):
+    from gaugeworks.functions.ordering import join_same
+
+    left, right = spark.range(2).toDF("a"), spark.range(3).toDF("b")
+    assert join_same(left, right, []).count() == 6
+    assert join_same(left, right.limit(0), [], "left").count() == 2

@@ -150,3 +150,41 @@ def test_explain_number_without_filters(spark):
     rows = spark.createDataFrame([(1500.0, "Churn", "a/b", {}, [], 1234, None)], "value double, kpi_name string, formula string, filters map<string,string>, source_tables array<string>, rows_used long, period string")
     text = ins.explain_number(rows).first()["explanation"]
     assert text == "This 1.5K is the churn computed as `a/b` from the source tables, based on 1,234 rows."
+
+
+def test_averages_over_long_gaps(spark):
+    import numpy as np
+    import pandas as pd
+
+    from gaugeworks.operators.features import FeatureConfig, FeaturePipeline
+
+    rng = np.random.default_rng(0)
+    values = [float(x) for x in rng.normal(100, 5, 60)] + [None] * 300 + [float(x) for x in rng.normal(50, 5, 60)]
+    when = pd.date_range("2024-01-01", periods=len(values))
+    df = spark.createDataFrame([("a", t.to_pydatetime(), v) for t, v in zip(when, values)], "k string, timestamp timestamp, value double")
+    config = FeatureConfig(keys=["k"], ema_alphas=(0.1, 0.3))
+    got = FeaturePipeline(config).fit_transform(df).orderBy("timestamp").toPandas()
+    for alpha in (0.1, 0.3):
+        want = pd.Series(values, dtype=float).ewm(alpha=alpha, adjust=False).mean().shift(1)
+        assert np.allclose(got[f"ema_{alpha}".replace(".", "_")].astype(float), want, rtol=1e-9, equal_nan=True)
+
+
+def test_short_series_have_no_anomalies(spark):
+    import datetime as dt
+
+    from gaugeworks.operators.anomaly import rolling_anomalies
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [("a", day + dt.timedelta(i), v) for i, v in enumerate([1.0, 2.0, 99.0])]
+    rows += [("b", day + dt.timedelta(i), v) for i, v in enumerate([1.0, 2.0, 1.0, 99.0])]
+    df = spark.createDataFrame(rows, "kpi_id string, timestamp timestamp, value double")
+    assert {r.kpi_id for r in rolling_anomalies(df, window=2).collect()} == {"b"}
+
+
+def test_large_numbers_as_text(spark):
+    from gaugeworks.functions.text import fixed
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(12345678901234.5,), (-1e15,), (float("inf"),), (9999999999999.99,)], "v double")
+    got = [r[0] for r in df.select(fixed(F.col("v"), 2)).collect()]
+    assert got == ["12345678901234.50", "-1000000000000000.00", "Infinity", "9999999999999.99"]
