@@ -79,19 +79,33 @@ def pick_intent(
 def ask(
     spark: SparkSession, question: str, named: dict[str, dict[str, Callable[[], DataFrame]]], cap: int = 50
 ) -> tuple[DataFrame, dict]:
-    """Route one question, run its named query, return the cleaned rows and how it was routed."""
+    """Route one question, run its named query, return the cleaned rows and how it was routed.
+
+    ``named`` holds the queries by domain and intent; all of a domain's intents may be picked.
+    """
     from gaugeworks.operators.business import clean_result
 
     asked = spark.createDataFrame([(question,)], "text string")
     r = pick_intent(classify_questions(asked)).first()
-    rows = clean_result(named[r["domain"]][r["intent"]](), cap)
-    note = f"Routed to {r['domain'].title()} ({r['confidence']}% match) and ran the '{r['intent']}' query."
-    return rows, {
-        "domain": r["domain"], "intent": r["intent"], "confidence": r["confidence"],
-        "fallback": r["fallback"], "explanation": note,
+    answer = named[r["domain"]][r["intent"]]()
+    total = answer.count()
+    if r["fallback"]:
+        note = f"Nothing in the question names a domain; took {r['domain'].title()} and ran the '{r['intent']}' query."
+    else:
+        note = f"Routed to {r['domain'].title()} ({r['confidence']}% match) and ran the '{r['intent']}' query."
+    return clean_result(answer, cap), {
+        "question": question, "domain": r["domain"], "intent": r["intent"], "confidence": r["confidence"],
+        "fallback": r["fallback"], "candidates": [c.asDict() for c in r["candidates"]], "columns": answer.columns,
+        "row_count": total, "truncated": total > cap, "explanation": note,
     }
 
 
+def ask_all(questions: DataFrame, text: str = "text") -> DataFrame:
+    """(domain, intent, questions, fallbacks): the queries that a table of questions needs, each once."""
+    routed = pick_intent(classify_questions(questions, text), text)
+    return routed.groupBy("domain", "intent").agg(F.count("*").alias("questions"), F.count_if("fallback").alias("fallbacks"))
+
+
 # semantic lookup ---------------------------------------------------------------------------
 
 
@@ -146,13 +160,19 @@ def find_field(terms: DataFrame, fields: DataFrame, aliases: dict[str, str] | No
 
 
 def kpi_for_question(df: DataFrame, kpis: Sequence[tuple[str, str]], text: str = "text") -> DataFrame:
-    """Adds ``kpi_id``: first KPI whose full name is in the question, else first with any word of it."""
+    """Adds ``kpi_id``: first KPI whose full name is in the question, else first with any word of it.
+
+    Every word is searched once, in order of the first KPI that has it, so the first found decides. A
+    word that holds an earlier one needs no search: where it is, the earlier one is too. A full name
+    is searched only where one of its words was found.
+    """
+    first: dict[str, str] = {}
+    for kid, name in kpis:
+        for word in name.lower().split():
+            if not any(known in word for known in first):
+                first[word] = kid
     low = F.col("__q")
+    by_word = F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(k)) for w, k in first.items()])
     full = F.coalesce(*[F.when(F.contains(low, F.lit(n.lower())), F.lit(k)) for k, n in kpis])
-    words = F.coalesce(
-        *[
-            F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in dict.fromkeys(n.lower().split())]), F.lit(k))
-            for k, n in kpis
-        ]
-    )
-    return df.withColumn("__q", F.lower(text)).withColumn("kpi_id", F.coalesce(full, words)).drop("__q")
+    rows = df.withColumn("__q", F.lower(text)).withColumn("__w", by_word)
+    return rows.withColumn("kpi_id", F.when(F.col("__w").isNotNull(), F.coalesce(full, F.col("__w")))).drop("__q", "__w")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.kpi_catalog import CATALOG
 from gaugeworks.functions.vocabulary import DEFAULT_INTENT, DOMAIN_TERMS, INTENT_KEYWORDS
-from gaugeworks.operators import business as ops
 from gaugeworks.operators import documents as docs
 from gaugeworks.operators import governance as gov
 from gaugeworks.operators import routing as rt
 from gaugeworks.plans import bindings as b
-from gaugeworks.plans.business_queries import SKIP
-from gaugeworks.plans.registry import ORACLE, query
+from gaugeworks.plans.registry import ORACLE, QUERIES, query
 
 DOCS = """docs AS (SELECT event_id, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""
 PATIENTS = """patients AS (SELECT 'p' || event_id AS name, CAST(json_extract_string(props, '$.k') AS INTEGER) AS age,
@@ -265,7 +265,32 @@ def _(spark, sf):
     return counts.select(F.inline(F.array(*rows)))
 
 
+def named_queries(spark, sf) -> dict:
+    """The report of every intent, by domain, as registered."""
+    prefix = {"healthcare": "health"}
+    return {
+        domain: {intent: partial(QUERIES[f"{prefix.get(domain, domain)}_{intent}"], spark, sf) for intent in intents}
+        for domain, intents in INTENT_KEYWORDS.items()
+    }
+
+
 @query("ask", ORACLE["retail_top_customers"])
 def _(spark, sf):
-    named = {"retail": {"top_customers": lambda: ops.top_customers(b.retail_orders(spark, sf), b.customers(spark, sf), SKIP)}}
-    return rt.ask(spark, "Who is the best customer by orders?", named)[0]
+    return rt.ask(spark, "Who is the best customer by orders?", named_queries(spark, sf))[0]
+
+
+@query("ask_health", ORACLE["health_admissions"])
+def _(spark, sf):
+    return rt.ask(spark, "How many patients were admitted to the hospital?", named_queries(spark, sf))[0]
+
+
+@query("ask_all", f"""WITH {_routed(DOMAIN_TERMS, 'domain')}, kw(domain, pos, intent, word) AS (VALUES {_INTENT_ROWS}),
+  fallback_to(domain, intent) AS (VALUES {_DEFAULT_ROWS}),
+  i AS (SELECT r.conv_id, r.turn, r.domain, r.fallback, pos, intent, COUNT(*) FILTER (contains(q.low, word)) AS score
+  FROM routed r JOIN q USING (conv_id, turn) JOIN kw USING (domain) GROUP BY ALL),
+  picked AS (SELECT conv_id, turn, i.domain, ANY_VALUE(i.fallback) AS fallback,
+  CASE WHEN MAX(score) = 0 THEN ANY_VALUE(f.intent) ELSE ARG_MAX(i.intent, score * 100 - pos) END AS intent
+  FROM i JOIN fallback_to f USING (domain) GROUP BY 1, 2, 3)
+  SELECT domain, intent, COUNT(*) AS questions, COUNT(*) FILTER (fallback) AS fallbacks FROM picked GROUP BY 1, 2""")
+def _(spark, sf):
+    return rt.ask_all(b.user_questions(spark, sf))

@@ -103,6 +103,18 @@ def _(spark, sf):
     return _kpi_stream(spark, sf, "12 hours", "6 hours")
 
 
+@query("stream_sessions", """WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+  s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e)
+  SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM s
+  GROUP BY user_id, no HAVING MAX(ts) + INTERVAL 30 MINUTE <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)""")
+def _(spark, sf):
+    path, schema = _event_files(spark, sf)
+    aggs = {"n": F.count("*"), "total": F.sum(F.col("value").cast("decimal(18,2)")).cast("double")}
+    live = stm.stream_sessions(scan_stream(spark, path, schema), ["user_id"], aggs)
+    out = stm.run_to_table(live, scratch(spark, "sessions"), scratch(spark, "progress"))
+    return b.time_text(out, "session_start").drop("session_end")
+
+
 @query("stream_adwin")
 def _(spark, sf):
     path, schema = _event_files(spark, sf)

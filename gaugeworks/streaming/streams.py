@@ -39,6 +39,19 @@ def stream_kpi_windows(
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *aggregates)
 
 
+def stream_sessions(
+    stream: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], ts: str = "ts", gap: str = "30 minutes",
+    delay: str = "1 hour",
+) -> DataFrame:
+    """Aggregates per session of a key: events with less than ``gap`` between neighbours. A session
+    appears once the watermark has passed its end, the last event plus the gap."""
+    out = (
+        event_time(stream, ts).withWatermark(ts, delay).groupBy(*keys, F.session_window(ts, gap).alias("s"))
+        .agg(*[a.alias(n) for n, a in aggregates.items()])
+    )
+    return out.select(*keys, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), *aggregates)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process what is there, append it as Parquet below ``path`` and return the table."""
     query = (
@@ -104,4 +117,4 @@ def stream_upsert(
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-__all__ = ["MAX_WINDOW", "event_time", "run_to_table", "stream_adwin", "stream_kpi_windows", "stream_upsert"]
+__all__ = ["MAX_WINDOW", "event_time", "run_to_table", "stream_adwin", "stream_kpi_windows", "stream_sessions", "stream_upsert"]
