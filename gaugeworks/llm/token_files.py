@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -159,15 +160,24 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
-        self.most, self.starts = most, {}
+        self.most, self.starts, self.code = most, {}, "H" if self.kind == "<u2" else "I"
         self.split, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        # how the library spells each byte of a word
+        self.spell = {b: self.split(bytes([b]).decode("latin-1"))[0][0][-1] for b in range(128)}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
-        ids = [t.id for word, _ in self.split(piece) for t in self.merge(word)]
-        return np.array(ids, dtype=self.kind).tobytes()
+        return array(self.code, [t.id for word, _ in self.split(piece) for t in self.merge(word)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = out = self._ids(" " + piece)
+        """A piece with its blank. Plain letters are one word, and a mark after letters is another."""
+        if piece.isascii() and piece.isalpha():
+            out = array(self.code, [t.id for t in self.merge(self.spell[32] + piece)]).tobytes()
+        elif piece[-1] in ",.;:!?" and piece[:-1].isalpha():
+            out = self[piece[:-1]] + (self.marks.get(piece[-1]) or self.marks.setdefault(piece[-1], self._ids(piece[-1])))
+        else:
+            out = self._ids(" " + piece)
+        self[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
