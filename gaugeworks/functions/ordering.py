@@ -1,9 +1,8 @@
 """Row order, prefix sums and exact quantiles without putting a group into one task.
 
 A window over a series key is one task per key. That is right for short series; for a key that
-holds a large share of the rows the helpers here cut the key into ranges of its order column. The
-range edges are a fixed-size list taken from an approximate quantile sketch; they steer balance
-only, every number returned is exact whatever the edges are.
+holds a large share of the rows the helpers here cut the key into ranges of its order. Where the
+ranges end steers balance only, every number returned is exact.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from gaugeworks.session import stage
@@ -22,37 +20,17 @@ from gaugeworks.session import stage
 MAX_GROUP_ROWS = 500_000
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """The order column as a number that keeps its order."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(name)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name)
-    return F.col(name)
+def in_ranges(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` written once in ranges of (keys, order), with the number of the range in ``__b``.
 
-
-def range_edges(df: DataFrame, name: str, buckets: int | None = None) -> list:
-    """At most ``buckets - 1`` increasing cut points, so the driver gets a list of fixed size."""
-    if buckets is None:
-        buckets = max(8, min(128, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(_number(df, name), shares, buckets * 50).alias("e")).first()
-    return sorted(set(row["e"])) if row["e"] else []
-
-
-def range_bucket(value: Column, edges: Sequence) -> Column:
-    """Number of the range a value falls in: a balanced tree of comparisons over the cut points."""
-
-    def branch(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value <= F.lit(edges[mid]), branch(lo, mid)).otherwise(branch(mid + 1, hi))
-
-    return branch(0, len(edges))
+    A long key has many ranges, short ones share a range. Spark samples the whole order tuple for the
+    borders, and a running number at its end lets it cut between equal tuples. The number of ranges
+    follows the size of the data (adaptive execution joins small ones), unless ``parts`` is given.
+    """
+    marked = df.withColumn("__i", F.monotonically_increasing_id())
+    columns = [*keys, *order_by, "__i"]
+    ranged = marked.repartitionByRange(parts, *columns) if parts else marked.repartitionByRange(*columns)
+    return stage(ranged.withColumn("__b", F.spark_partition_id()))
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -81,16 +59,16 @@ def ordered_index(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[str], name: str = "rn", buckets: int | None = None
 ) -> DataFrame:
     """Exact 1-based row number per key, in order of ``order_by``, computed range by range."""
-    cut = df.withColumn("__b", range_bucket(_number(df, order_by[0]), range_edges(df, order_by[0], buckets)))
+    cut = in_ranges(df, keys, order_by, buckets)
     sizes = cut.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    local = Window.partitionBy(*keys, "__b").orderBy(*order_by)
+    local = Window.partitionBy(*keys, "__b").orderBy(*order_by, "__i")
     numbered = cut.withColumn("__local", F.row_number().over(local))
     return (
         join_same(numbered, offsets, [*keys, "__b"], "inner")
         .withColumn(name, (F.col("__before") + F.col("__local")).cast("long"))
-        .drop("__b", "__local", "__before")
+        .drop("__b", "__i", "__local", "__before")
     )
 
 
@@ -118,7 +96,7 @@ def running_sums(
     if small:
         upto = Window.partitionBy(*keys).orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
-    cut = df.withColumn("__b", range_bucket(_number(df, order_by), range_edges(df, order_by, buckets)))
+    cut = in_ranges(df, keys, [order_by], buckets).drop("__i")
     totals = cut.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -113,3 +113,15 @@ def test_join_same_without_keys(spark):
     left, right = spark.range(2).toDF("a"), spark.range(3).toDF("b")
     assert join_same(left, right, []).count() == 6
     assert join_same(left, right.limit(0), [], "left").count() == 2
+
+
+def test_ranges_are_even_when_one_order_value_is_frequent(spark):
+    import collections
+
+    from gaugeworks.functions.ordering import in_ranges, ordered_index
+
+    df = spark.range(20_000).selectExpr("'a' AS k", "CASE WHEN id % 10 = 0 THEN id ELSE 7 END AS t", "id AS i")
+    sizes = collections.Counter(r["__b"] for r in in_ranges(df, ["k"], ["t"], 8).select("__b").collect())
+    assert max(sizes.values()) <= 2 * 20_000 / 8
+    got = [r["rn"] for r in ordered_index(df, ["k"], ["t"], buckets=8).select("rn").collect()]
+    assert sorted(got) == list(range(1, 20_001))
