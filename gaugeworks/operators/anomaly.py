@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from gaugeworks.functions import sentences as say
 from gaugeworks.functions.ordering import MAX_GROUP_ROWS, exact_quantiles, join_same, over_series
 from gaugeworks.functions.text import fixed, humanize
 
@@ -213,15 +214,15 @@ def explain_detection() -> Column:
 
     parts = F.concat_ws(
         "; ",
-        part("isolation_forest", "isolation forest detected feature-space outlier"),
-        part("xgboost", "supervised model classified as anomalous"),
-        part("statistical", "value is statistically extreme vs history"),
+        part("isolation_forest", say.FOREST_REASON),
+        part("xgboost", say.MODEL_REASON),
+        part("statistical", say.HISTORY_REASON),
     )
     fused = fixed(F.col("fused_score"), 2)
-    return F.when(F.size(flags) == 0, F.concat(F.lit("Normal point (fused score "), fused, F.lit(")."))).otherwise(
+    return F.when(F.size(flags) == 0, F.concat(F.lit(say.NORMAL_POINT), fused, F.lit(")."))).otherwise(
         F.concat(
-            F.lit("⚠️ Anomaly @ "), fixed(F.col("value"), 2), F.lit(": "), parts,
-            F.lit(". Fused confidence: "), fused, F.lit("."),
+            F.lit(say.ANOMALY_AT), fixed(F.col("value"), 2), F.lit(": "), parts,
+            F.lit(say.FUSED_CONFIDENCE), fused, F.lit("."),
         )
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gaugeworks.functions import sentences as say
 from gaugeworks.functions.ordering import MAX_GROUP_ROWS, join_same, row_index
 from gaugeworks.functions.text import humanize, signed
 
@@ -121,16 +122,16 @@ def compose_digest(
     def section(title: Column, lines: Column) -> Column:
         return F.struct(title.alias("title"), lines.alias("bullets"))
 
-    big = section(F.lit("The big picture"), F.array(*[F.lit(h) for h in headlines]).cast("array<string>"))
+    big = section(F.lit(say.BIG_PICTURE), F.array(*[F.lit(h) for h in headlines]).cast("array<string>"))
     title = F.concat(
-        F.lit("⚠️ "), n.cast("string"), F.when(n == 1, " thing that need attention").otherwise(" things that need attention")
+        F.lit("⚠️ "), n.cast("string"), F.when(n == 1, say.ONE_THING).otherwise(say.MANY_THINGS)
     )
-    quiet = F.array(F.lit("Nothing materially out of bounds in the last period."))
+    quiet = F.array(F.lit(say.NOTHING_FOUND))
     wanted = [
         F.when(F.lit(bool(headlines)), big),
         F.when(n > 0, section(title, F.col("__alerts"))),
-        F.when(all_n > n, section(F.lit("Heads up"), F.col("__quiet"))),
-        F.when(all_n == 0, section(F.lit("✅ All quiet"), quiet)),
+        F.when(all_n > n, section(F.lit(say.HEADS_UP), F.col("__quiet"))),
+        F.when(all_n == 0, section(F.lit(say.ALL_QUIET), quiet)),
     ]
     end = F.lit(period_end).cast("date")
     return rows.select(
