@@ -182,3 +182,11 @@ def _(spark, sf):
     pipe = FeaturePipeline(FeatureConfig(keys=KEY, lags=(1,), rolling=(), diffs=(), ema_alphas=(), calendar=False, fourier_periods=()))
     guess = pipe.fit_transform(rows).where("lag_1 IS NOT NULL").select("kpi_id", "timestamp", F.col("lag_1").alias("yhat"))
     return ad.residual_drift(guess, rows, KEY)
+
+
+@query("drift_job_all_series", "SELECT user_id, COUNT(DISTINCT user_id) AS n_features_checked FROM events GROUP BY 1")
+def _(spark, sf):
+    """Also users with too few events to compare get a decision."""
+    events = b.table(spark, sf, "events").select("user_id", "ts", "value")
+    early = F.col("ts") < "2024-01-16"
+    return dr.drift_job(events, early, ~early, ["user_id"], features=["value"]).select("user_id", F.col("n_features_checked").cast("long").alias("n_features_checked"))

@@ -191,3 +191,11 @@ def _(spark, sf):
     return fc.forecast(monthly(spark, sf), KEY, 6, 3, 6, ["holt_winters", "prophet"])[2]
 
 
+
+
+@query("forecast_rejects", """SELECT user_id, COUNT(*) AS n, CAST(COUNT(*) AS VARCHAR) || ' values are too few for a backtest of 14' AS reason
+  FROM (SELECT user_id, CAST(ts AS DATE) AS day FROM events GROUP BY 1, 2) GROUP BY 1""")
+def _(spark, sf):
+    """A month of days is too short for a backtest, and every such series says so."""
+    days = b.table(spark, sf, "events").groupBy("user_id", F.to_date("ts").cast("timestamp").alias("timestamp")).agg(F.sum("value").alias("value"))
+    return fc.forecast(days, ["user_id"], 7, 4, 14, ["holt_winters"])[3]

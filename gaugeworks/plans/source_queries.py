@@ -188,3 +188,26 @@ def _(spark, sf):
 @query("preview_size", f"SELECT COUNT(*) AS row_count, 5 AS column_count, {_cols('customer')} AS columns FROM customer")
 def _(spark, sf):
     return rd.preview_size(b.table(spark, sf, "customer"))
+
+
+@query("upsert_partial_columns", """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders""")
+def _(spark, sf):
+    """Updates that carry one column leave the others as they are."""
+    store = st.TableStore(spark, scratch(spark, "store"))
+    base = _orders(spark, sf)
+    store.upsert("orders", base, ["o_orderkey"])
+    store.upsert("orders", base.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("U").alias("o_orderstatus")), ["o_orderkey"])
+    return store.read("orders")
+
+
+@query("upsert_text_partition", """SELECT LPAD(CAST(c_nationkey AS VARCHAR), 3, '0') AS nation, c_custkey, c_acctbal + CASE WHEN c_nationkey < 5 THEN 1 ELSE 0 END AS c_acctbal FROM customer""")
+def _(spark, sf):
+    """Keys such as '007' stay text and are found again by the second upsert."""
+    store = st.TableStore(spark, scratch(spark, "store"))
+    rows = b.table(spark, sf, "customer").select(
+        F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("nation"), "c_custkey", "c_acctbal"
+    )
+    key = ["nation", "c_custkey"]
+    store.upsert("customers", rows, key, partition=["nation"])
+    store.upsert("customers", rows.where("nation < '005'").withColumn("c_acctbal", F.col("c_acctbal") + 1), key, partition=["nation"])
+    return store.read("customers")
