@@ -4,20 +4,22 @@ Similar documents are gathered into groups of bounded size, each group stands fo
 members' tokens, and two groups are opened only if a bound on their overlap allows a link.
 
 1. Every document becomes the set of its shingle hashes. Equal sets are one class; only classes go on.
-2. The tokens of a set are dealt into parts by hash. Two sets of similarity t differ in at most
+2. All sets together are the first group: a set whose tokens occur too rarely in other sets cannot be
+   linked with any. Of most texts that is all that is ever asked.
+3. The tokens of a remaining set are dealt into parts by hash. Two sets of similarity t differ in at most
    d = (1-t)/(1+t) (|x|+|y|) tokens, so of d + 2 parts at least two are equal, whatever the sets. The
    matrix has a row for each (part of a set); sets without a common row cannot be linked. (d + 2, not
    d + 1, so that one empty part need not count. A set with more of them lists its empty parts too.)
-3. Sets that share rows, directly or through others, are a family. A family is one group, or more if
+   Sets that share rows, directly or through others, are a family. A family is one group, or more if
    it holds more than ``group_size`` sets or ``group_tokens`` tokens.
-4. Groups are compared inside, and with each other if they share a row. First every group with itself
-   and with the family's first group; groups that are then wholly in one component need not meet, the
-   other pairs do. For a pair, the tokens of one group that are in the other's union bound every
-   member's overlap; members that cannot reach it are left out, the rest is counted exactly as a
-   product of 0/1 matrices.
-
-No step emits the pairs of a group: a comparison returns a spanning forest of its links. Texts move
-once, and only the sets of families are built again for step 4. A large group of copies is one class; a
+4. Groups are opened. Inside a group, and between two of a family, the union of the other members'
+   tokens bounds a member's overlap with any of them; members that cannot reach the limit are left out,
+   until no more go, and only if any remain are overlaps counted, exactly. Every group is compared with
+   itself and with the family's first group; groups that are then wholly in one component need not meet
+   each other, the rest do.
+
+No step emits the pairs of a group: a comparison returns a spanning forest of its links. Texts are read
+for steps 1 and 2, and move once, for the sets that step 2 leaves. A large group of copies is one class; a
 large family is cut by hash of its members.
 
 Tokens and sets are told apart by hashes (64 bits, 48 in the comparison). Defined results: a text of
@@ -32,6 +34,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +46,9 @@ from gaugeworks.llm.shingles import shingle_sets
 from gaugeworks.plans.bindings import table
 from gaugeworks.session import prepare, stage
 
-_RUN = 16 << 20  # bytes of text handled at once
+_RUN = 4 << 20  # bytes of text handled at once
 _TOKEN_BYTES = 6
+_SEGMENT_ROWS = 1_000_000  # matrix rows one task gathers, about
 
 
 def bands(percent: int, largest: int = 1 << 31) -> np.ndarray:
@@ -89,28 +94,127 @@ def _class_hash(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(ends[upto] - ends[upto - sizes] + sizes.astype(np.uint64)).view(np.int64)
 
 
-def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+def describe(docs: DataFrame, width: int) -> DataFrame:
+    """Per row of (id, text): id, hash of the text, number of shingles, class."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in _slices(batch, "text", _RUN):
+                tokens, sizes = shingle_sets(run.column("text"), width)
+                yield pa.RecordBatch.from_arrays(
+                    [run.column("id"), run.column("text_hash"), pa.array(sizes), pa.array(_class_hash(tokens, sizes))],
+                    names=["id", "text_hash", "n", "class"],
+                )
+
+    rows = docs.select("id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(work, "id long, text_hash long, n long, class long")
 
-def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row of (id, text): id, hash of the text, number of shingles, class, keys."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _narrow(numbers: np.ndarray, width: int) -> bytes:
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _widen(parts: list[bytes], width: int) -> np.ndarray:
+    low = np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(-1, width)
+    out = np.zeros((len(low), 8), dtype=np.uint8)
+    out[:, :width] = low
+    return out.view("<u8").ravel()
+
+
+def _by_segment(numbers: np.ndarray, segments: int) -> tuple[np.ndarray, list[int]]:
+    """Places in order of the segments of hashes, and the bounds of the segments."""
+    segment = ((numbers >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+    return np.argsort(segment, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(segment, minlength=segments))]).tolist()
+
+
+def repeated_tokens(docs: DataFrame, width: int, segments: int) -> DataFrame:
+    """(class, n, repeated): how many tokens of a set occur in another run's or document's set too.
+
+    Tokens travel packed by segment, 32 bits each beside the segment, with the numbers of their
+    documents in the run; the answer is one bit a token. Two tokens that fall together only make a count
+    too large. So do copies of a class in different runs.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, squeeze = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for run in _slices(batch, "text", _RUN):
                 tokens, sizes = shingle_sets(run.column("text"), width)
-                keys, n = matrix_rows(tokens, sizes, percent)
+                classes = _class_hash(tokens, sizes)
+                once = np.zeros(len(sizes), dtype=bool)
+                once[np.unique(classes, return_index=True)[1]] = True
+                once &= sizes > 0
+                tokens, sizes, classes = tokens[np.repeat(once, sizes)], sizes[once], classes[once]
+                owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+                order, bounds = _by_segment(tokens, segments)
+                tokens, owner = tokens[order], owner[order]
+                full = [s for s in range(segments) if bounds[s + 1] > bounds[s]]
+                heads = [classes.astype("<i8").tobytes() + sizes.astype("<i8").tobytes()] + [b""] * len(full)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        run.column("id"), run.column("text_hash"), pa.array(sizes), pa.array(_class_hash(tokens, sizes)),
-                        _lists(keys.view(np.int64), n),
+                        pa.array(full, pa.int64()), pa.array([part << 32 | number] * len(full), pa.int64()),
+                        pa.array([_narrow(tokens[bounds[s] : bounds[s + 1]], 4) for s in full], pa.binary()),
+                        pa.array([squeeze(owner[bounds[s] : bounds[s + 1]].astype("<u4").tobytes()) for s in full], pa.binary()),
+                        pa.array(heads[: len(full)], pa.binary()),
                     ],
-                    names=["id", "text_hash", "n", "class", "keys"],
+                    names=["segment", "run", "tokens", "owners", "head"],
                 )
+                number += 1
 
-    rows = docs.select("id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(work, "id long, text_hash long, n long, class long, keys array<long>")
+    def look(parts: pd.DataFrame) -> pd.DataFrame:
+        size = np.array([len(t) // 4 for t in parts["tokens"]])
+        _, at, often = np.unique(np.frombuffer(b"".join(parts["tokens"]), dtype="<u4"), return_inverse=True, return_counts=True)
+        again, ends = often[at] > 1, np.cumsum(size)
+        bits = [np.packbits(again[z - k : z]).tobytes() for z, k in zip(ends.tolist(), size.tolist())]
+        return pd.DataFrame({"run": parts["run"], "owners": parts["owners"], "bits": bits, "head": parts["head"]})
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        head = np.frombuffer(b"".join(parts["head"]), dtype="<i8").reshape(2, -1)
+        total, expand = np.zeros(head.shape[1], dtype=np.int64), zstandard.ZstdDecompressor().decompress
+        for owners, bits in zip(parts["owners"], parts["bits"]):
+            owner = np.frombuffer(expand(owners), dtype="<u4")
+            total += np.bincount(owner[np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(owner)) == 1], minlength=len(total))
+        return pd.DataFrame({"class": head[0], "n": head[1], "repeated": total})
+
+    rows = docs.select("text").mapInArrow(ask, "segment long, run long, tokens binary, owners binary, head binary")
+    bits = rows.groupBy("segment").applyInPandas(look, "run long, owners binary, bits binary, head binary")
+    return bits.groupBy("run").applyInPandas(add, "class long, n long, repeated long")
+
+
+def shared_rows(sets: DataFrame, percent: int, segments: int) -> DataFrame:
+    """The matrix rows that more than one class lists: (class, low), the smallest class of the row."""
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in _slices(batch, "tokens", _RUN):
+                raw = run.column("tokens").to_pylist()
+                sizes = np.array([len(t) // _TOKEN_BYTES for t in raw], dtype=np.int64)
+                keys, n = matrix_rows(mix(_widen(raw, _TOKEN_BYTES)), sizes, percent)
+                member = np.repeat(run.column("class").to_numpy(), n)
+                order, bounds = _by_segment(keys, segments)
+                keys, member = keys[order], member[order]
+                full = [s for s in range(segments) if bounds[s + 1] > bounds[s]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(full, pa.int64()),
+                        pa.array([keys[bounds[s] : bounds[s + 1]].astype("<u8").tobytes() for s in full], pa.binary()),
+                        pa.array([member[bounds[s] : bounds[s + 1]].astype("<i8").tobytes() for s in full], pa.binary()),
+                    ],
+                    names=["segment", "keys", "members"],
+                )
+
+    def gather(parts: pd.DataFrame) -> pd.DataFrame:
+        key, member = np.frombuffer(b"".join(parts["keys"]), dtype="<u8"), np.frombuffer(b"".join(parts["members"]), dtype="<i8")
+        order = np.lexsort((member, key))
+        key, member = key[order], member[order]
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = key[1:] != key[:-1]
+        start = np.flatnonzero(first)
+        low = np.repeat(member[start], np.diff(np.append(start, len(key))))
+        return pd.DataFrame({"class": member[member != low], "low": low[member != low]}).drop_duplicates()
+
+    rows = sets.select("class", "tokens").mapInArrow(listing, "segment long, keys binary, members binary")
+    return rows.groupBy("segment").applyInPandas(gather, "class long, low long")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -121,14 +225,12 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
             for run in _slices(batch, "text", _RUN):
                 tokens, sizes = shingle_sets(run.column("text"), width)
                 ok = _class_hash(tokens, sizes) == run.column("class").to_numpy()
-                raw = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_TOKEN_BYTES].tobytes()
+                raw = _narrow(tokens, _TOKEN_BYTES)
                 ends = np.concatenate([[0], np.cumsum(sizes)]) * _TOKEN_BYTES
                 rows = [raw[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [run.column("class"), run.column("group"), pa.array(rows, pa.binary())], names=["class", "group", "tokens"]
-                ).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([run.column("class"), pa.array(rows, pa.binary())], names=["class", "tokens"]).filter(pa.array(ok))
 
-    return texts.mapInArrow(work, "class long, group string, tokens binary")
+    return texts.mapInArrow(work, "class long, tokens binary")
 
 
 class Group:
@@ -137,10 +239,7 @@ class Group:
     def __init__(self, classes, tokens):
         self.classes = np.asarray(classes, dtype=np.int64)
         self.sizes = np.array([len(t) // _TOKEN_BYTES for t in tokens], dtype=np.int64)
-        low = np.frombuffer(b"".join(tokens), dtype=np.uint8).reshape(-1, _TOKEN_BYTES)
-        wide = np.zeros((len(low), 8), dtype=np.uint8)
-        wide[:, :_TOKEN_BYTES] = low
-        self.tokens = wide.view("<u8").ravel()
+        self.tokens = _widen(list(tokens), _TOKEN_BYTES)
         self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
     def reaching(self, union: np.ndarray, percent: int) -> np.ndarray:
@@ -149,64 +248,118 @@ class Group:
         return 100 * inside >= percent * self.sizes
 
 
-def overlaps(a: Group, b: Group, step: int = 4096) -> np.ndarray:
-    """Sizes of all intersections, as a sum of products of 0/1 matrices over runs of common tokens."""
-    common = np.intersect1d(a.tokens, b.tokens)
-    total = np.zeros((len(a.sizes), len(b.sizes)), dtype=np.int64)
-    at_a, at_b = np.searchsorted(common, a.tokens), np.searchsorted(common, b.tokens)
-    in_a, in_b = np.isin(a.tokens, common), np.isin(b.tokens, common)
-    for low in range(0, len(common), step):
-        x = np.zeros((len(a.sizes), step), dtype=np.float32)
-        y = np.zeros((len(b.sizes), step), dtype=np.float32)
-        for g, at, inside, m in ((a, at_a, in_a, x), (b, at_b, in_b, y)):
-            pick = inside & (at >= low) & (at < low + step)
-            m[g.owner[pick], at[pick] - low] = 1
-        total += (x @ y.T).astype(np.int64)
-    return total
-
-
-def _forest(linked: np.ndarray, classes: np.ndarray) -> list[tuple[int, int]]:
-    """A link to the smallest member for every node of a symmetric matrix of links."""
-    n = len(classes)
-    np.fill_diagonal(linked, True)
-    label = np.arange(n)
-    while True:
-        lower = np.where(linked, label[None, :], n).min(axis=1)
-        if (lower == label).all():
-            return [(int(classes[i]), int(classes[j])) for i, j in enumerate(label) if i != j]
-        label = lower
+    def only(self, keep: np.ndarray) -> Group:
+        """The group of some members."""
+        out = object.__new__(Group)
+        out.classes, out.sizes = self.classes[keep], self.sizes[keep]
+        inside = keep[self.owner]
+        out.tokens = self.tokens[inside]
+        out.owner = np.repeat(np.arange(len(out.sizes)), out.sizes)
+        return out
+
+    def repeated(self, percent: int) -> Group:
+        """Without the members whose overlap with the union of all others is too small for any link."""
+        out = self
+        while len(out.sizes):
+            _, at, often = np.unique(out.tokens, return_inverse=True, return_counts=True)
+            keep = 100 * np.bincount(out.owner[often[at] > 1], minlength=len(out.sizes)) >= percent * out.sizes
+            if keep.all():
+                break
+            out = out.only(keep)
+        return out
+
+
+def overlap_rows(a: Group, b: Group, rows: int = 512, step: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+    """Sizes of the intersections of all members of a with all of b, in runs of rows of a.
+
+    Tokens that many members of b hold are counted by products of 0/1 matrices, the others by going
+    through the members that hold them.
+    """
+    common, inverse, held = np.unique(b.tokens, return_inverse=True, return_counts=True)
+    m = len(b.sizes)
+    dense = held > max(8, m // 32)
+    column = np.cumsum(dense) - 1  # of a frequent token in the matrices
+    width = int(dense.sum())
+    by_token = b.owner[np.argsort(inverse, kind="stable")]
+    begin = np.cumsum(held) - held
+    often = dense[inverse]
+    b_member, b_column = b.owner[often], column[inverse[often]]
+    spot = np.minimum(np.searchsorted(common, a.tokens), max(len(common) - 1, 0))
+    known = common[spot] == a.tokens if len(common) else np.zeros(len(a.tokens), dtype=bool)
+    starts = np.concatenate([[0], np.cumsum(a.sizes)])
+    for low in range(0, len(a.sizes), rows):
+        n = min(rows, len(a.sizes) - low)
+        part = slice(starts[low], starts[low + n])
+        token, member = spot[part][known[part]], a.owner[part][known[part]] - low
+        total = np.zeros(n * m, dtype=np.int64)
+        rare = ~dense[token] if len(token) else np.zeros(0, dtype=bool)
+        t, i = token[rare], member[rare]
+        for at in range(0, len(t), 200_000):
+            k = held[t[at : at + 200_000]]
+            first = np.repeat(begin[t[at : at + 200_000]] - (np.cumsum(k) - k), k)
+            total += np.bincount(np.repeat(i[at : at + 200_000], k) * m + by_token[first + np.arange(len(first))], minlength=n * m)
+        total = total.reshape(n, m)
+        j, i = column[token[~rare]], member[~rare]
+        for at in range(0, width, step):
+            x, y = np.zeros((n, step), dtype=np.float32), np.zeros((m, step), dtype=np.float32)
+            here = (j >= at) & (j < at + step)
+            x[i[here], j[here] - at] = 1
+            here = (b_column >= at) & (b_column < at + step)
+            y[b_member[here], b_column[here] - at] = 1
+            total += (x @ y.T).astype(np.int64)
+        yield low, total
+
+
+class Forest:
+    """Components of members, merged link by link."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def labels(self) -> np.ndarray:
+        while True:
+            further = self.up[self.up]
+            if (further == self.up).all():
+                return self.up
+            self.up = further
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        label = self.labels()
+        pairs = np.unique(label[left] * len(label) + label[right])
+        for x, y in zip((pairs // len(label)).tolist(), (pairs % len(label)).tolist()):
+            x, y = self.top(x), self.top(y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
 
 
 def links(a: Group, b: Group | None, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links inside a group, or between two groups."""
     if b is None:
-        both = overlaps(a, a)
-        size = a.sizes[:, None] + a.sizes[None, :] - both
-        return _forest(100 * both >= percent * size, a.classes)
-    mine = np.flatnonzero(a.reaching(np.unique(b.tokens), percent))
-    if not len(mine):
-        return []
-    a = _part(a, mine)
-    theirs = np.flatnonzero(b.reaching(np.unique(a.tokens), percent))
-    if not len(theirs):
+        a = b = a.repeated(percent)
+    else:
+        before = -1
+        while before != len(a.sizes) + len(b.sizes):
+            before = len(a.sizes) + len(b.sizes)
+            a = a.only(a.reaching(b.tokens, percent))
+            b = b.only(b.reaching(a.tokens, percent))
+    if not len(a.sizes) or not len(b.sizes):
         return []
-    b = _part(b, theirs)
-    both = overlaps(a, b)
-    linked = 100 * both >= percent * (a.sizes[:, None] + b.sizes[None, :] - both)
-    n, m = linked.shape
-    square = np.zeros((n + m, n + m), dtype=bool)
-    square[:n, n:], square[n:, :n] = linked, linked.T
-    return _forest(square, np.concatenate([a.classes, b.classes]))
-
-
-def _part(g: Group, keep: np.ndarray) -> Group:
-    out = object.__new__(Group)
-    out.classes, out.sizes = g.classes[keep], g.sizes[keep]
-    new = np.full(len(g.sizes), -1)
-    new[keep] = np.arange(len(keep))
-    inside = new[g.owner] >= 0
-    out.tokens, out.owner = g.tokens[inside], new[g.owner[inside]]
-    return out
+    own = a is b
+    n = len(a.sizes)
+    classes = a.classes if own else np.concatenate([a.classes, b.classes])
+    forest = Forest(len(classes))
+    for low, both in overlap_rows(a, b):
+        union = a.sizes[low : low + len(both), None] + b.sizes[None, :] - both
+        left, right = np.nonzero(100 * both >= percent * union)
+        forest.join(left + low, right if own else right + n)
+    label = forest.labels()
+    return [(int(classes[i]), int(classes[j])) for i, j in enumerate(label.tolist()) if i != j]
 
 
 _EDGE = "left long, right long"
@@ -240,24 +393,28 @@ def link_classes(
     rows: DataFrame, docs: DataFrame, width: int, percent: int, group_size: int, group_tokens: int
 ) -> DataFrame:
     """(node, component) of all classes that are linked with another; ``rows`` from :func:`describe`."""
-    listed = rows.where(F.size("keys") > 0)
-    pairs = listed.select("class", F.explode("keys").alias("key"))
-    shared = pairs.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "low")
-    member = stage(pairs.join(shared, "key").select("key", "class", "low").distinct())
-    family = components(member, "class", "low").withColumnRenamed("node", "class").withColumnRenamed("component", "family")
-    # one row of documents for each class of a family
-    one = rows.groupBy("class").agg(F.min_by(F.struct("id", "text_hash", "n"), F.struct("id", "text_hash")).alias("r"))
-    one = one.join(family, "class").select("class", "family", "r.*")
-    sizes = one.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
-    cuts = F.greatest(F.ceil(F.col("members") / group_size), F.ceil(F.col("tokens") / group_tokens)).cast("long")
-    placed = one.join(sizes.select("family", cuts.alias("cuts")), "family").withColumn(
+    tokens = rows.agg(F.sum("n")).first()[0] or 0
+    counts = repeated_tokens(docs, width, max(16, tokens // _SEGMENT_ROWS))
+    open_ = counts.where(100 * F.col("repeated") >= percent * F.col("n")).select("class").distinct()
+    # one row of documents for each class that can have a link
+    one = rows.groupBy("class").agg(F.min_by(F.struct("id", "text_hash"), F.struct("id", "text_hash")).alias("r"))
+    one = stage(one.join(open_, "class").select("class", "r.*"))
+    same = (F.col("d.id").eqNullSafe(F.col("p.id"))) & (F.col("d.text_hash") == F.col("p.text_hash"))
+    # the texts move whatever the size of the other side
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).alias("d").join(one.hint("shuffle_hash").alias("p"), same)
+    sets = stage(_sets(texts.select("p.class", "d.text"), width).dropDuplicates(["class"]))
+    size = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    segments = max(16, 4 * (100 - percent) * size // ((100 + percent) * _TOKEN_BYTES * _SEGMENT_ROWS))
+    star = stage(shared_rows(sets, percent, segments))
+    family = components(star, "class", "low").toDF("class", "family")
+    placed = sets.join(family, "class").withColumn("n", F.octet_length("tokens") / _TOKEN_BYTES)
+    sizes = placed.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
+    cuts = F.greatest(F.ceil(F.col("members") / group_size), F.ceil(F.col("n") / group_tokens)).cast("long")
+    placed = placed.drop("n").join(sizes.select("family", cuts.alias("cuts")), "family").withColumn(
         "no", F.pmod(F.xxhash64("class"), F.col("cuts"))
     )
     placed = stage(placed.withColumn("group", F.concat_ws(":", "family", "no")))
-    same = (F.col("d.id").eqNullSafe(F.col("p.id"))) & (F.col("d.text_hash") == F.col("p.text_hash"))
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).alias("d").join(placed.alias("p"), same)
-    sets = _sets(texts.select("p.class", "p.group", "d.text"), width).dropDuplicates(["class"])
-    groups = stage(sets)
+    groups = placed.select("class", "group", "tokens")
 
     large = placed.where("cuts > 1").select("family", "no", "group", "class")
     numbered = large.select("family", "no", "group").distinct()
@@ -268,27 +425,25 @@ def link_classes(
         return components(found, "left", "right")
     label = components(found, "left", "right")
     # a group that lies in one component meets only groups outside it
-    whole = large.join(label, F.col("class") == F.col("node"), "left").groupBy("group").agg(
+    whole = large.where("no > 0").join(label, F.col("class") == F.col("node"), "left").groupBy("family", "group").agg(
         F.min(F.coalesce("component", "class")).alias("low"), F.max(F.coalesce("component", "class")).alias("high")
     )
-    tag = whole.select("group", F.when(F.col("low") == F.col("high"), F.col("low").cast("string")).otherwise(F.col("group")).alias("tag"))
-    held = member.join(large.where("no > 0").select("class", "group"), "class").select("key", "group").distinct().join(tag, "group")
-    mixed = held.groupBy("key").agg(F.min("tag").alias("l"), F.max("tag").alias("h")).where("l <> h").select("key")
-    held = stage(held.join(mixed, "key", "left_semi"))
-    other = held.select("key", F.col("group").alias("b"), F.col("tag").alias("other"))
-    rest = held.withColumnRenamed("group", "a").join(other, "key").where("a < b AND tag <> other").select("a", "b").distinct()
+    single = F.when(F.col("low") == F.col("high"), F.col("low").cast("string")).otherwise(F.col("group"))
+    tagged = stage(whole.select("family", F.col("group").alias("a"), single.alias("tag")))
+    other = tagged.toDF("family", "b", "other")
+    rest = tagged.join(other, "family").where("a < b AND tag <> other").select("a", "b")
     more = stage(_between(stage(rest), groups, percent))
     return components(found.union(more), "left", "right")
 
 
 def jaccard_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90,
-    group_size: int = 256, group_tokens: int = 1_000_000,
+    group_size: int = 20_000, group_tokens: int = 4_000_000,
 ) -> DataFrame:
     """Per row: id, hash of the text, n_shingles and component_id, the smallest id that links lead to."""
     prepare(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stage(describe(docs, width, percent))
+    rows = stage(describe(docs, width))
     label = link_classes(rows, docs, width, percent, group_size, group_tokens)
     named = rows.select("id", "text_hash", "n", "class").join(label, F.col("class") == F.col("node"), "left")
     named = named.select("id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("c"))

@@ -86,19 +86,48 @@ def test_every_pair_above_the_limit_shares_a_row():
             assert np.intersect1d(keys[: size[0]], keys[size[0] :]).size
 
 
-def test_bound_drops_members_but_no_link():
-    rng = np.random.default_rng(2)
-    tokens = [np.unique(rng.integers(0, 60, 50)) for _ in range(12)]
+def _groups(tokens):
     raw = [jj._narrow(t.astype(np.uint64), 6) for t in tokens]
-    a, b = jj.Group(range(6), raw[:6]), jj.Group(range(6, 12), raw[6:])
-    up = {i: i for i in range(12)}
-    for x, y in jj.links(a, b, 50):
-        up[x] = y
-    for i in range(6):
-        for j in range(6, 12):
+    return raw
+
+
+def test_overlaps_are_exact():
+    rng = np.random.default_rng(3)
+    tokens = [np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(0, 10**6, 20)])) for _ in range(70)]
+    raw = _groups(tokens)
+    a, b = jj.Group(range(30), raw[:30]), jj.Group(range(30, 70), raw[30:])
+    for x, y, first in ((a, b, 30), (a, a, 0)):
+        for low, total in jj.overlap_rows(x, y, rows=7, step=16):
+            for i, row in enumerate(total):
+                assert row.tolist() == [len(np.intersect1d(tokens[low + i], tokens[first + j])) for j in range(len(y.sizes))]
+
+
+@pytest.mark.parametrize("split", [None, 9])
+def test_bound_drops_members_but_no_link(split):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 10**9, 60)
+    tokens = []
+    for i in range(25):
+        own = base.copy()
+        own[rng.choice(60, int(rng.integers(0, 9)), replace=False)] = rng.integers(0, 10**9)
+        tokens.append(np.unique(own))
+    raw, up = _groups(tokens), {i: i for i in range(25)}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    one = jj.Group(range(25), raw) if split is None else jj.Group(range(split), raw[:split])
+    other = None if split is None else jj.Group(range(split, 25), raw[split:])
+    for x, y in jj.links(one, other, 90):
+        up[top(x)] = top(y)
+    for i in range(25):
+        for j in range(i):
             both = len(np.intersect1d(tokens[i], tokens[j]))
-            if 100 * both >= 50 * (len(tokens[i]) + len(tokens[j]) - both):
-                assert up[i] == up[j]
+            crosses = split is None or (i < split) != (j < split)
+            if crosses and 100 * both >= 90 * (len(tokens[i]) + len(tokens[j]) - both):
+                assert top(i) == top(j)
 
 
 def test_shingles():
