@@ -5,7 +5,8 @@ members' tokens, and two groups are opened only if a bound on their overlap allo
 
 1. Every document becomes the set of its shingle hashes. Equal sets are one class; only classes go on.
 2. All sets together are the first group: a set whose tokens occur too rarely in other sets cannot be
-   linked with any. Of most texts that is all that is ever asked.
+   linked with any. Of most texts that is all that is ever asked. The sets that stay are asked again
+   among themselves.
 3. The tokens of a remaining set are dealt into parts by hash. Two sets of similarity t differ in at most
    d = (1-t)/(1+t) (|x|+|y|) tokens, so of d + 2 parts at least two are equal, whatever the sets. The
    matrix has a row for each (part of a set); sets without a common row cannot be linked. (d + 2, not
@@ -127,24 +128,40 @@ def _by_segment(numbers: np.ndarray, segments: int) -> tuple[np.ndarray, list[in
     return np.argsort(segment, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(segment, minlength=segments))]).tolist()
 
 
-def repeated_tokens(docs: DataFrame, width: int, segments: int) -> DataFrame:
-    """(class, n, repeated): how many tokens of a set occur in another run's or document's set too.
+def _sets_of_texts(run: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, sizes and classes of the different sets of a run of texts."""
+    tokens, sizes = shingle_sets(run.column("text"), width)
+    classes = _class_hash(tokens, sizes)
+    once = np.zeros(len(sizes), dtype=bool)
+    once[np.unique(classes, return_index=True)[1]] = True
+    once &= sizes > 0
+    return tokens[np.repeat(once, sizes)], sizes[once], classes[once]
+
+
+def _sets_of_rows(run: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of rows of (class, tokens)."""
+    raw = run.column("tokens").to_pylist()
+    sizes = np.array([len(t) // _TOKEN_BYTES for t in raw], dtype=np.int64)
+    return mix(_widen(raw, _TOKEN_BYTES)), sizes, run.column("class").to_numpy()
+
+
+def repeated_tokens(rows: DataFrame, width: int, segments: int) -> DataFrame:
+    """(class, n, repeated): how many tokens of a set occur in another set too. ``rows`` has texts, or
+    classes and their tokens.
 
     Tokens travel packed by segment, 32 bits each beside the segment, with the numbers of their
     documents in the run; the answer is one bit a token. Two tokens that fall together only make a count
     too large. So do copies of a class in different runs.
     """
 
+    column, take = ("tokens", _sets_of_rows) if "tokens" in rows.columns else ("text", _sets_of_texts)
+    rows = rows.select("class", "tokens") if column == "tokens" else rows.select("text")
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, squeeze = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for run in _slices(batch, "text", _RUN):
-                tokens, sizes = shingle_sets(run.column("text"), width)
-                classes = _class_hash(tokens, sizes)
-                once = np.zeros(len(sizes), dtype=bool)
-                once[np.unique(classes, return_index=True)[1]] = True
-                once &= sizes > 0
-                tokens, sizes, classes = tokens[np.repeat(once, sizes)], sizes[once], classes[once]
+            for run in _slices(batch, column, _RUN):
+                tokens, sizes, classes = take(run, width)
                 owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
                 order, bounds = _by_segment(tokens, segments)
                 tokens, owner = tokens[order], owner[order]
@@ -176,8 +193,8 @@ def repeated_tokens(docs: DataFrame, width: int, segments: int) -> DataFrame:
             total += np.bincount(owner[np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(owner)) == 1], minlength=len(total))
         return pd.DataFrame({"class": head[0], "n": head[1], "repeated": total})
 
-    rows = docs.select("text").mapInArrow(ask, "segment long, run long, tokens binary, owners binary, head binary")
-    bits = rows.groupBy("segment").applyInPandas(look, "run long, owners binary, bits binary, head binary")
+    asked = rows.mapInArrow(ask, "segment long, run long, tokens binary, owners binary, head binary")
+    bits = asked.groupBy("segment").applyInPandas(look, "run long, owners binary, bits binary, head binary")
     return bits.groupBy("run").applyInPandas(add, "class long, n long, repeated long")
 
 
@@ -269,7 +286,7 @@ class Group:
         return out
 
 
-def overlap_rows(a: Group, b: Group, rows: int = 512, step: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+def overlap_rows(a: Group, b: Group, rows: int = 128, step: int = 512) -> Iterator[tuple[int, np.ndarray]]:
     """Sizes of the intersections of all members of a with all of b, in runs of rows of a.
 
     Tokens that many members of b hold are counted by products of 0/1 matrices, the others by going
@@ -403,6 +420,10 @@ def link_classes(
     # the texts move whatever the size of the other side
     texts = docs.withColumn("text_hash", F.xxhash64("text")).alias("d").join(one.hint("shuffle_hash").alias("p"), same)
     sets = stage(_sets(texts.select("p.class", "d.text"), width).dropDuplicates(["class"]))
+    # once more among these: now every class is there once, and the tokens of others are gone
+    counts = repeated_tokens(sets, width, max(16, tokens // _SEGMENT_ROWS))
+    open_ = counts.where(100 * F.col("repeated") >= percent * F.col("n")).select("class")
+    sets = stage(sets.join(open_.hint("shuffle_hash"), "class", "left_semi"))
     size = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     segments = max(16, 4 * (100 - percent) * size // ((100 + percent) * _TOKEN_BYTES * _SEGMENT_ROWS))
     star = stage(shared_rows(sets, percent, segments))
@@ -438,7 +459,7 @@ def link_classes(
 
 def jaccard_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90,
-    group_size: int = 20_000, group_tokens: int = 4_000_000,
+    group_size: int = 8_000, group_tokens: int = 2_000_000,
 ) -> DataFrame:
     """Per row: id, hash of the text, n_shingles and component_id, the smallest id that links lead to."""
     prepare(df.sparkSession)
