@@ -47,7 +47,7 @@ _END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end token
 _START = np.uint64(0xD1B54A32D192ED03)  # context of a first word
 _WORD = np.uint64(0x2545F4914F6CDD1D)
 _KEY_BITS, _KEY_BYTES = np.uint64(32), 4
-_SEGMENT_ITEMS = 2_000_000
+_SEGMENT_ITEMS = 1_000_000
 
 _BLOCK = "block long, ids array<long>, held array<boolean>, lengths binary, codes binary, hashes binary, tokens long, trained long"
 
@@ -309,7 +309,7 @@ def build_filter(blocks: DataFrame, filter_bits: int, tokens: int) -> LogFrequen
 
 def score(
     df: DataFrame, is_held: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = 1000.0,
-    filter_bits: int = 1 << 29, block_bytes: int = 8 << 20,
+    filter_bits: int = 1 << 29, block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = prepare(df.sparkSession)
