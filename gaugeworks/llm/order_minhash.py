@@ -1,19 +1,20 @@
 """Order MinHash fingerprints, in DataFrame expressions alone.
 
-A text's k-mers (runs of ``K`` bytes of its UTF-8 form) are numbered by occurrence, so that a repeated
-k-mer counts as often as it occurs. A hash of (k-mer, number) deals them into 64 bins and orders them
+A text is cut into pieces of up to three characters, anew at every word, white space before a word with
+its first piece; an edit so shifts the pieces of one word only. A text's k-mers, runs of ``K`` pieces,
+are numbered by occurrence, so that a repeated k-mer counts as often as it occurs. A hash of (k-mer, number) deals them into 64 bins and orders them
 inside a bin. Of each bin the two smallest are selected, put back into the order they have in the text,
 and hashed as a pair: one value of the fingerprint. Two texts share a value if the same k-mers are
 smallest and stand in the same order, so moving text lowers the likeness, not only changing it.
 
-Everything is a function of one row: three projections, with two sorts of an array of 64-bit numbers
+Everything is a function of one row: four projections, with two sorts of an array of 64-bit numbers
 that hold hash (36 bits) and position (28 bits). Nothing is shuffled, and the fingerprint has 64 values
 of 32 bits at most. The likeness of two fingerprints is the number of common values over the number of
 bins that either of them fills; no pair of documents is compared that the caller does not ask for.
 
 Defined results: a null or empty text has an empty fingerprint, like another empty one (1) and unlike
 any other (0); a text shorter than a k-mer is its own only k-mer; equal texts have equal fingerprints;
-in a text of over 2^28 bytes positions repeat, which only blurs the order of a pair.
+in a text of over 2^28 pieces positions repeat, which only blurs the order of a pair.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from gaugeworks.llm.registry import query
 from gaugeworks.plans.bindings import table
 from gaugeworks.session import prepare, stage
 
-#: Bytes of a k-mer.
-K = 8
+#: Pieces of a k-mer.
+K = 4
+_PIECE = r"\s*\S{1,3}|\s+"
 _PLACE_BITS = 28
 _PLACE = (1 << _PLACE_BITS) - 1
 _BIN_BITS = 6
@@ -52,13 +54,16 @@ def _packed(h: Column, place: Column) -> Column:
 
 def add_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: the fingerprint of a text column as ARRAY<BIGINT> of values below 2^32."""
-    raw, size = F.col(text).cast("binary"), F.octet_length(text)
+    cut = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_PIECE), F.lit(0))
+    found = df.withColumn("__c", cut)
+    size, pieces = F.size("__c"), F.col("__c")
+    # pieces past the end are null and do not count
     grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(size - (K - 1), F.lit(1))),
-        lambda i: _packed(F.xxhash64(F.substring(raw, i, F.lit(K))), i),
+        F.sequence(F.lit(0), F.greatest(size - K, F.lit(0))),
+        lambda i: _packed(F.xxhash64(*[F.get(pieces, i + k) for k in range(K)]), i),
     )
     # hash and place of every k-mer; equal ones stand together, in text order
-    found = df.withColumn("__s", F.sort_array(F.when(size > 0, grams).otherwise(F.array().cast("array<bigint>"))))
+    found = found.withColumn("__s", F.sort_array(F.when(size > 0, grams).otherwise(F.array().cast("array<bigint>")))).drop("__c")
     s = F.col("__s")
 
     def occurrence(x: Column, j: Column) -> Column:

@@ -40,7 +40,7 @@ def test_repetition_counts(spark):
 
 
 def test_numbers_by_occurrence_against_a_plain_count(spark):
-    """Of a text with one k-mer only, the number of different (k-mer, number) is its length."""
+    """A text with one k-mer only still fills all bins, by the numbers."""
     got = om.add_fingerprint(spark.createDataFrame([("a" * 5000,)], "t string"), "t", "f").first().f
     assert len(got) == 64 and len(set(got)) == 64
 
