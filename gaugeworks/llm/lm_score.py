@@ -10,11 +10,14 @@ j steps only if j probes are wrong in a row. Probabilities are smoothed from suc
 How it runs
 * Texts are tokenised once. Blocks of documents (about ``block_bytes`` of text) are written as rows:
   word codes, and the hash of each code. A document is never cut; a block never holds the corpus.
-* n-gram keys are counted per block, packed, and summed per filter segment. The number of segments
-  follows the number of tokens, so a task's share has a fixed size. Each task returns the bits of its
-  segment; the driver joins them. The filter has ``filter_bits`` bits whatever the corpus, which
-  bounds what is broadcast; more n-grams in it mean more wrong probes, not more memory.
-* Exact word counts, for the base score, are never broadcast: every block sends its own different words
+* Nothing is broadcast. Every block sends its own different n-grams, packed, with their training counts
+  to the filter segments they fall into. A segment's task sums the counts, builds the segment's bits
+  and sends back the level that probing gives for each n-gram asked. The number of segments follows
+  the number of tokens, so a task's share has a fixed size.
+* A segment has ``BITS_PER_LEVEL`` bits for each (n-gram, level) that is stored in it, so the filter grows
+  with the corpus, and a probe that should fail succeeds about once in 200 times at any size
+  (:func:`wrong_probes`).
+* Exact word counts, for the base score, go the same way: every block sends its own different words
   with their counts to the words' segments, and gets the sums back.
 
 Words are told apart by 64-bit hashes. Defined results: a null or empty text is the end token alone; a
@@ -43,6 +46,7 @@ from gaugeworks.session import prepare, stage
 
 BASE = 1.5  # of the logarithmic scale
 _PROBES = 4
+BITS_PER_LEVEL = 13  # 26.5 % of the bits on, 0.5 % wrong probes
 _END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end token
 _START = np.uint64(0xD1B54A32D192ED03)  # context of a first word
 _WORD = np.uint64(0x2545F4914F6CDD1D)
@@ -72,6 +76,16 @@ def steps(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
+def wrong_probes(bits_per_level: float) -> float:
+    """Share of the probes that succeed and should not."""
+    return (1.0 - np.exp(-_PROBES / bits_per_level)) ** _PROBES
+
+
+def segment_size(counts: np.ndarray, bits_per_level: float = BITS_PER_LEVEL) -> int:
+    """Bits of a segment that stores these counts, in whole bytes."""
+    return max(64, int(np.ceil(bits_per_level * steps(counts).sum() / 8)) * 8)
+
+
 def _step_means(most: int = 160) -> np.ndarray:
     """The count that step q stands for: the mean of the whole numbers in it (0 for step 0)."""
     out = [0.0]
@@ -95,6 +109,10 @@ class LogFrequencyFilter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Count of each key as far as the filter knows it."""
+        return self.means[self.levels(keys)]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Step of each key's count, 0 for a key that is not there."""
         segment = (keys >> _KEY_BITS) % np.uint64(self.segments)
         start, low = segment * np.uint64(self.segment_bits // 8), keys & np.uint64((1 << int(_KEY_BITS)) - 1)
         level, alive = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
@@ -107,7 +125,7 @@ class LogFrequencyFilter:
             level[alive] = q
             if not len(alive):
                 break
-        return self.means[level]
+        return level
 
 
 def segment_bits_of(keys: np.ndarray, counts: np.ndarray, size: int) -> bytes:
@@ -204,6 +222,11 @@ class Block:
     def keys_of(self, pairs: np.ndarray) -> np.ndarray:
         return pair_keys(self.contexts[pairs // len(self.hashes)], self.hashes[pairs % len(self.hashes)])
 
+    def ngrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different pairs, the pair of each code, and the keys of all pairs, then of all contexts."""
+        pairs, at = self.pairs(return_inverse=True)
+        return pairs, at, np.concatenate([self.keys_of(pairs), word_keys(self.contexts)])
+
     @property
     def trained(self) -> np.ndarray:
         return np.repeat(~self.held, self.lengths)
@@ -217,7 +240,15 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def _by_segment(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of a block's words in order of their segment, and the bounds of the segments."""
-    segment = (mix(hashes ^ _START) % np.uint64(segments)).astype(np.int64)
+    return _in_order((mix(hashes ^ _START) % np.uint64(segments)).astype(np.int64), segments)
+
+
+def _by_filter_segment(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a block's n-gram keys."""
+    return _in_order(((keys >> _KEY_BITS) % np.uint64(segments)).astype(np.int64), segments)
+
+
+def _in_order(segment: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(segment, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(segment, minlength=segments))])
 
 
@@ -259,60 +290,80 @@ def count_words(blocks: DataFrame, segments: int) -> DataFrame:
     return asked.groupBy("segment").applyInPandas(answer, "block long, segment long, counts binary, known long")
 
 
-def build_filter(blocks: DataFrame, filter_bits: int, tokens: int) -> LogFrequencyFilter:
-    """The filter over all one- and two-word counts of the training texts."""
-    segments = _segments(tokens)
-    size = max(64, filter_bits // segments // 8 * 8)
+def _widen(keys: bytes) -> np.ndarray:
+    low = np.frombuffer(keys, dtype=np.uint8).reshape(-1, _KEY_BYTES)
+    wide = np.zeros((len(low), 8), dtype=np.uint8)
+    wide[:, :_KEY_BYTES] = low
+    return wide.view("<u8").ravel()
+
+
+def answer_segment(keys: np.ndarray, counts: np.ndarray, size: int | None = None) -> np.ndarray:
+    """Build a segment from the counts of keys, which may repeat, and probe it for each of them.
+
+    Keys whose counts sum to 0 are only asked for. ``size`` is the segment's bits, if they are given.
+    """
+    unique, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, weights=counts, minlength=len(unique))
+    known = total > 0
+    size = size or segment_size(total[known])
+    bits = np.frombuffer(segment_bits_of(unique[known], total[known], size), dtype=np.uint8)
+    return LogFrequencyFilter(1, size, bits).levels(unique)[at]
+
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def filter_levels(blocks: DataFrame, segments: int, filter_bits: int | None) -> DataFrame:
+    """What the filter over all one- and two-word training counts answers: (block, segment, levels), a byte
+    for each of the block's n-grams in the segment, in the order of :meth:`Block.ngrams`."""
+    size = None if filter_bits is None else max(64, filter_bits // segments // 8 * 8)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             b = Block(row["codes"], row["lengths"], row["hashes"], row["held"])
-            pairs, often = b.pairs(b.trained, return_counts=True)
-            single = np.bincount(b.codes[b.trained], minlength=len(b.hashes))
-            start = np.array([int((~b.held).sum())])  # how often a text begins
-            key = np.concatenate([b.keys_of(pairs), word_keys(b.hashes[single > 0]), word_keys(np.array([_START]))])
-            n = np.concatenate([often, single[single > 0], start]).astype(np.int64)
-            key, n = key[n > 0], n[n > 0]
-            segment = ((key >> _KEY_BITS) % np.uint64(segments)).astype(np.int64)
-            order = np.argsort(segment, kind="stable")
-            key, n, bounds = key[order], n[order], np.concatenate([[0], np.cumsum(np.bincount(segment, minlength=segments))])
-            low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
-            more = n > 1
-            out = [
-                (s, low[a:z].tobytes(), np.flatnonzero(more[a:z]).astype("<u4").tobytes(), n[a:z][more[a:z]].astype("<u4").tobytes())
-                for s, (a, z) in enumerate(zip(bounds[:-1], bounds[1:])) if z > a
-            ]
-            yield pa.RecordBatch.from_pylist([dict(zip(("segment", "keys", "at", "n"), r)) for r in out]) if out else pa.RecordBatch.from_arrays(
-                [pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 3], names=["segment", "keys", "at", "n"]
+            pairs, at, key = b.ngrams()
+            n = np.concatenate([
+                np.bincount(at[b.trained], minlength=len(pairs)), np.bincount(b.codes[b.trained], minlength=len(b.hashes)),
+                [int((~b.held).sum())],  # how often a text begins
+            ])
+            order, bounds = _by_filter_segment(key, segments)
+            low, n = key[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES], n[order]
+            other = n != 1
+            full = np.flatnonzero(np.diff(bounds)).tolist()
+            runs = [slice(bounds[s], bounds[s + 1]) for s in full]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(full, pa.int64()), pa.array([row["block"]] * len(full), pa.int64()),
+                    pa.array([low[r].tobytes() for r in runs], pa.binary()),
+                    pa.array([np.flatnonzero(other[r]).astype("<u4").tobytes() for r in runs], pa.binary()),
+                    pa.array([n[r][other[r]].astype("<u4").tobytes() for r in runs], pa.binary()),
+                ],
+                names=["segment", "block", "keys", "at", "n"],
             )
 
-    def gather(parts: pd.DataFrame) -> pd.DataFrame:
-        key, n = [], []
-        for r in parts.itertuples():
-            low = np.frombuffer(r.keys, dtype=np.uint8).reshape(-1, _KEY_BYTES)
-            wide = np.zeros((len(low), 8), dtype=np.uint8)
-            wide[:, :_KEY_BYTES] = low
-            one = np.ones(len(low), dtype=np.int64)
-            one[np.frombuffer(r.at, dtype="<u4")] = np.frombuffer(r.n, dtype="<u4")
-            key.append(wide.view("<u8").ravel())
-            n.append(one)
-        unique, at = np.unique(np.concatenate(key), return_inverse=True)
-        bits = segment_bits_of(unique, np.bincount(at, weights=np.concatenate(n)), size)
-        return pd.DataFrame({"segment": [int(parts["segment"].iloc[0])], "bits": [bits]})
-
-    parts = blocks.select("codes", "lengths", "hashes", "held").mapInArrow(keys, "segment long, keys binary, at binary, n binary")
-    bits = np.zeros((segments, size // 8), dtype=np.uint8)
-    for row in parts.groupBy("segment").applyInPandas(gather, "segment long, bits binary").collect():  # filter_bits in all
-        bits[row["segment"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return LogFrequencyFilter(segments, size, bits.ravel())
+    def answer(parts: pd.DataFrame) -> pd.DataFrame:
+        ends = np.cumsum([len(k) // _KEY_BYTES for k in parts["keys"]])
+        n = np.ones(ends[-1], dtype=np.int64)
+        for z, k, at, other in zip(ends.tolist(), parts["keys"], parts["at"], parts["n"]):
+            n[z - len(k) // _KEY_BYTES + np.frombuffer(at, dtype="<u4").astype(np.int64)] = np.frombuffer(other, dtype="<u4")
+        level = answer_segment(_widen(b"".join(parts["keys"])), n, size).astype(np.uint8)
+        return pd.DataFrame({
+            "block": parts["block"], "segment": parts["segment"],
+            "levels": [level[z - len(k) // _KEY_BYTES : z].tobytes() for z, k in zip(ends.tolist(), parts["keys"])],
+        })
+
+    asked = blocks.select("block", "codes", "lengths", "hashes", "held").mapInArrow(
+        ask, "segment long, block long, keys binary, at binary, n binary"
+    )
+    return asked.groupBy("segment").applyInPandas(answer, "block long, segment long, levels binary")
 
 
 def score(
     df: DataFrame, is_held: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = 1000.0,
-    filter_bits: int = 1 << 29, block_bytes: int = 4 << 20,
+    filter_bits: int | None = None, block_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = prepare(df.sparkSession)
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+
+    The filter is sized by the n-grams it stores; ``filter_bits`` sets its bits whatever the corpus.
+    """
+    prepare(df.sparkSession)
     docs = df.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(is_held, F.lit(False)).alias("held"), F.col(text_col).alias("text")
     )
@@ -322,24 +373,24 @@ def score(
     segments = _segments(tokens)
     counts = stage(count_words(blocks, segments))
     v = counts.agg(F.sum("known")).first()[0] or 0
-    model = build_filter(blocks, filter_bits, tokens)
-    shared = spark.sparkContext.broadcast((model.segments, model.segment_bits, model.bits))
-    del model
+    means = _step_means()
 
     def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        bloom = LogFrequencyFilter(*shared.value)
         for row in left.itertuples():
             b = Block(row.codes, row.lengths, row.hashes, row.held)
             order, _ = _by_segment(b.hashes, segments)
             exact = np.zeros(len(b.hashes))
-            exact[order] = np.frombuffer(b"".join(right.sort_values("segment")["counts"]), dtype="<i8")
+            right = right.sort_values("segment")
+            exact[order] = np.frombuffer(b"".join(right["answer"][~right["filter"]]), dtype="<i8")
             base = np.log10(exact + 1.0) - np.log10(n + v + 1.0)
-            single = bloom.counts(word_keys(b.contexts))
+            pairs, at, key = b.ngrams()
+            known = np.zeros(len(key))
+            known[_by_filter_segment(key, segments)[0]] = means[np.frombuffer(b"".join(right["answer"][right["filter"]]), dtype=np.uint8)]
+            both, single = known[: len(pairs)], known[len(pairs) :]
             alone = (single[:-1] + 1.0) / (n + v + 1.0)
-            pairs, at = b.pairs(return_inverse=True)
             context, follow = pairs // len(b.hashes), pairs % len(b.hashes)
-            both = np.minimum(bloom.counts(b.keys_of(pairs)), np.minimum(single[context], single[follow]))
+            both = np.minimum(both, np.minimum(single[context], single[follow]))
             each = np.log10((both + mu * alone[follow]) / (single[context] + mu))
             out.append(pd.DataFrame({
                 "id": pd.array(row.ids, dtype="Int64"), "held_out": b.held, "n_tokens": b.lengths,
@@ -350,8 +401,9 @@ def score(
             columns=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         )
 
-    asked, known = blocks.drop("tokens", "trained"), counts.select("block", "segment", "counts")
-    scored = asked.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
+    levels = filter_levels(blocks, segments, filter_bits).select("block", "segment", F.lit(True).alias("filter"), F.col("levels").alias("answer"))
+    answers = counts.select("block", "segment", F.lit(False).alias("filter"), F.col("counts").alias("answer")).union(levels)
+    scored = blocks.drop("tokens", "trained").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         judge, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return scored.withColumnRenamed("id", id_col)
