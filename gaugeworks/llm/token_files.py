@@ -153,12 +153,15 @@ class Encoder(dict):
 
     A byte-level tokenizer with a pre-tokenizer never merges across a blank between two characters that
     are not white space, and the blank belongs to what follows. Such pieces are encoded once and kept,
-    up to ``most`` pieces; a text with other white space next to a blank is encoded as a whole.
+    up to ``most`` pieces; a text with other white space next to a blank is encoded as a whole, and so is
+    one with the string of an added token, which the library finds before it splits. With
+    ``special_as_text`` the strings of special tokens are ordinary text instead.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 600_000, special_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.kind = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
         self.most, self.starts, self.code = most, {}, "H" if self.kind == "<u2" else "I"
         self.split, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
@@ -183,7 +186,7 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not regular(text):
+        if not regular(text) or any(token in text for token in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
         first, *rest = text.split(" ")
         start = self.starts.get(first)
@@ -200,8 +203,8 @@ class Encoder(dict):
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    return Encoder(path)
+    """One encoder per worker process and vocabulary; it gives the library's ids."""
+    return Encoder(path, special_as_text=False)
 
 
 _FILE = "part int, number int, path string, documents long, ids long"

@@ -71,3 +71,16 @@ def test_files_hold_the_corpus_in_order(odd, tmp_path):
 
 def test_empty_table(empty, tmp_path):
     assert _run(empty, tmp_path)[1] == []
+
+
+SPECIAL = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b c", "x <|endoftext|>\n y", "<|endoftext| > z", "plain text"]
+
+
+def test_added_tokens_are_those_of_the_unmodified_library(docs_of, tmp_path):
+    whole, at = Tokenizer.from_file(PATH), 0
+    assert whole.encode(SPECIAL[0], add_special_tokens=False).ids == [505, 220, 50256, 734]
+    _, got = _run(docs_of(list(enumerate(SPECIAL))), tmp_path)
+    for text, r in zip(SPECIAL, sorted(got, key=lambda r: r.doc_id), strict=True):
+        ids = whole.encode(text, add_special_tokens=False).ids + [0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
