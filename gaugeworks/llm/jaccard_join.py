@@ -19,7 +19,8 @@ members' tokens, and two groups are opened only if a bound on their overlap allo
    itself and with the family's first group; groups that are then wholly in one component need not meet
    each other, the rest do.
 
-No step emits the pairs of a group: a comparison returns a spanning forest of its links. Texts are read
+No step emits the pairs of a group: a comparison returns a spanning forest of its links and, for each
+member, how many documents its links reach. Where links are counted, all groups of a family meet. Texts are read
 for steps 1 and 2, and move once, for the sets that step 2 leaves. A large group of copies is one class; a
 large family is cut by hash of its members.
 
@@ -253,9 +254,10 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 class Group:
     """Members of a group and their tokens."""
 
-    def __init__(self, classes, tokens):
+    def __init__(self, classes, tokens, copies=None):
         self.classes = np.asarray(classes, dtype=np.int64)
         self.sizes = np.array([len(t) // _TOKEN_BYTES for t in tokens], dtype=np.int64)
+        self.copies = np.ones(len(self.sizes), dtype=np.int64) if copies is None else np.asarray(copies, dtype=np.int64)
         self.tokens = _widen(list(tokens), _TOKEN_BYTES)
         self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
@@ -268,7 +270,7 @@ class Group:
     def only(self, keep: np.ndarray) -> Group:
         """The group of some members."""
         out = object.__new__(Group)
-        out.classes, out.sizes = self.classes[keep], self.sizes[keep]
+        out.classes, out.sizes, out.copies = self.classes[keep], self.sizes[keep], self.copies[keep]
         inside = keep[self.owner]
         out.tokens = self.tokens[inside]
         out.owner = np.repeat(np.arange(len(out.sizes)), out.sizes)
@@ -357,6 +359,11 @@ class Forest:
 
 def links(a: Group, b: Group | None, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links inside a group, or between two groups."""
+    return compare(a, b, percent)[0]
+
+
+def compare(a: Group, b: Group | None, percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The same forest, and of every class with links the number of documents they lead to."""
     if b is None:
         a = b = a.repeated(percent)
     else:
@@ -366,29 +373,38 @@ def links(a: Group, b: Group | None, percent: int) -> list[tuple[int, int]]:
             a = a.only(a.reaching(b.tokens, percent))
             b = b.only(b.reaching(a.tokens, percent))
     if not len(a.sizes) or not len(b.sizes):
-        return []
+        return [], []
     own = a is b
     n = len(a.sizes)
     classes = a.classes if own else np.concatenate([a.classes, b.classes])
-    forest = Forest(len(classes))
+    forest, reached = Forest(len(classes)), np.zeros(len(classes), dtype=np.int64)
     for low, both in overlap_rows(a, b):
         union = a.sizes[low : low + len(both), None] + b.sizes[None, :] - both
-        left, right = np.nonzero(100 * both >= percent * union)
+        linked = 100 * both >= percent * union
+        if own:
+            linked[np.arange(len(both)), np.arange(low, low + len(both))] = False
+        reached[low : low + len(both)] += linked @ b.copies
+        if not own:
+            reached[n:] += a.copies[low : low + len(both)] @ linked
+        left, right = np.nonzero(linked)
         forest.join(left + low, right if own else right + n)
     label = forest.labels()
-    return [(int(classes[i]), int(classes[j])) for i, j in enumerate(label.tolist()) if i != j]
+    edges = [(int(classes[i]), int(classes[j])) for i, j in enumerate(label.tolist()) if i != j]
+    return edges, [(int(classes[i]), int(reached[i])) for i in np.flatnonzero(reached).tolist()]
 
 
-_EDGE = "left long, right long"
+_EDGE = "left long, right long, reached long"
 
 
-def _frame(found: list[tuple[int, int]]) -> pd.DataFrame:
-    return pd.DataFrame(found, columns=["left", "right"]).astype("int64")
+def _frame(edges: list[tuple[int, int]], reached: list[tuple[int, int]]) -> pd.DataFrame:
+    """Links, and a row of a class with itself for the documents it reaches."""
+    rows = [(x, y, 0) for x, y in edges] + [(x, x, n) for x, n in reached]
+    return pd.DataFrame(rows, columns=["left", "right", "reached"]).astype("int64")
 
 
 def _inside(groups: DataFrame, percent: int) -> DataFrame:
     def work(part: pd.DataFrame) -> pd.DataFrame:
-        return _frame(links(Group(part["class"], part["tokens"]), None, percent))
+        return _frame(*compare(Group(part["class"], part["tokens"], part["copies"]), None, percent))
 
     return groups.groupBy("group").applyInPandas(work, _EDGE)
 
@@ -398,24 +414,29 @@ def _between(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return _frame([])
-        return _frame(links(Group(left["class"], left["tokens"]), Group(right["class"], right["tokens"]), percent))
+            return _frame([], [])
+        a, b = (Group(x["class"], x["tokens"], x["copies"]) for x in (left, right))
+        return _frame(*compare(a, b, percent))
 
-    left = pairs.join(groups.toDF("class", "a", "tokens"), "a")
-    right = pairs.toDF("a", "b").join(groups.toDF("class", "b", "tokens"), "b")
+    left = pairs.join(groups.toDF("class", "a", "tokens", "copies"), "a")
+    right = pairs.toDF("a", "b").join(groups.toDF("class", "b", "tokens", "copies"), "b")
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(work, _EDGE)
 
 
 def link_classes(
-    rows: DataFrame, docs: DataFrame, width: int, percent: int, group_size: int, group_tokens: int
+    rows: DataFrame, docs: DataFrame, width: int, percent: int, group_size: int, group_tokens: int, count: bool = False
 ) -> DataFrame:
-    """(node, component) of all classes that are linked with another; ``rows`` from :func:`describe`."""
+    """(node, component, reached) of all classes that are linked with another; ``rows`` from :func:`describe`.
+
+    ``reached``, the number of documents of the classes that a class is linked with, is complete only if
+    ``count`` is set: then groups meet that lie in one component too.
+    """
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     counts = repeated_tokens(docs, width, max(16, tokens // _SEGMENT_ROWS))
     open_ = counts.where(100 * F.col("repeated") >= percent * F.col("n")).select("class").distinct()
     # one row of documents for each class that can have a link
-    one = rows.groupBy("class").agg(F.min_by(F.struct("id", "text_hash"), F.struct("id", "text_hash")).alias("r"))
-    one = stage(one.join(open_, "class").select("class", "r.*"))
+    one = rows.groupBy("class").agg(F.min_by(F.struct("id", "text_hash"), F.struct("id", "text_hash")).alias("r"), F.count("*").alias("copies"))
+    one = stage(one.join(open_, "class").select("class", "r.*", "copies"))
     same = (F.col("d.id").eqNullSafe(F.col("p.id"))) & (F.col("d.text_hash") == F.col("p.text_hash"))
     # the texts move whatever the size of the other side
     texts = docs.withColumn("text_hash", F.xxhash64("text")).alias("d").join(one.hint("shuffle_hash").alias("p"), same)
@@ -434,44 +455,59 @@ def link_classes(
     placed = placed.drop("n").join(sizes.select("family", cuts.alias("cuts")), "family").withColumn(
         "no", F.pmod(F.xxhash64("class"), F.col("cuts"))
     )
+    placed = placed.join(one.select("class", "copies"), "class")
     placed = stage(placed.withColumn("group", F.concat_ws(":", "family", "no")))
-    groups = placed.select("class", "group", "tokens")
+    groups = placed.select("class", "group", "tokens", "copies")
 
     large = placed.where("cuts > 1").select("family", "no", "group", "class")
     numbered = large.select("family", "no", "group").distinct()
     first = numbered.where("no = 0").select("family", F.col("group").alias("a"))
     star = numbered.where("no > 0").join(first, "family").select("a", F.col("group").alias("b"))
     found = stage(_inside(groups, percent).union(_between(star, groups, percent)))
-    if large.isEmpty():
-        return components(found, "left", "right")
     label = components(found, "left", "right")
-    # a group that lies in one component meets only groups outside it
+    if large.isEmpty():
+        return _with_reached(label, found)
+    # a group that lies in one component meets only groups outside it, unless links are counted
     whole = large.where("no > 0").join(label, F.col("class") == F.col("node"), "left").groupBy("family", "group").agg(
         F.min(F.coalesce("component", "class")).alias("low"), F.max(F.coalesce("component", "class")).alias("high")
     )
     single = F.when(F.col("low") == F.col("high"), F.col("low").cast("string")).otherwise(F.col("group"))
-    tagged = stage(whole.select("family", F.col("group").alias("a"), single.alias("tag")))
+    tagged = stage(whole.select("family", F.col("group").alias("a"), (F.col("group") if count else single).alias("tag")))
     other = tagged.toDF("family", "b", "other")
     rest = tagged.join(other, "family").where("a < b AND tag <> other").select("a", "b")
-    more = stage(_between(stage(rest), groups, percent))
-    return components(found.union(more), "left", "right")
+    found = found.union(stage(_between(stage(rest), groups, percent)))
+    return _with_reached(components(found, "left", "right"), found)
+
+
+def _with_reached(label: DataFrame, found: DataFrame) -> DataFrame:
+    total = found.where("reached > 0").groupBy(F.col("left").alias("node")).agg(F.sum("reached").alias("reached"))
+    return label.join(total, "node", "left")
 
 
 def jaccard_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90,
-    group_size: int = 8_000, group_tokens: int = 2_000_000,
+    group_size: int = 8_000, group_tokens: int = 2_000_000, count_links: bool = False,
 ) -> DataFrame:
-    """Per row: id, hash of the text, n_shingles and component_id, the smallest id that links lead to."""
+    """Per row: id, hash of the text, n_shingles and component_id, the smallest id that links lead to.
+
+    With ``count_links`` also n_links, the number of other rows a row is linked with, copies among them.
+    """
     prepare(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = stage(describe(docs, width))
-    label = link_classes(rows, docs, width, percent, group_size, group_tokens)
+    label = link_classes(rows, docs, width, percent, group_size, group_tokens, count_links)
+    extra = []
+    if count_links:  # classes without links or copies need no row
+        copies = rows.where("n > 0").groupBy(F.col("class").alias("node")).agg(F.count("*").alias("copies")).where("copies > 1")
+        label = label.join(copies, "node", "full")
+        n_links = F.coalesce("reached", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
+        extra = [F.when(F.col("n") > 0, n_links).otherwise(F.lit(0)).cast("long").alias("n_links")]
     named = rows.select("id", "text_hash", "n", "class").join(label, F.col("class") == F.col("node"), "left")
-    named = named.select("id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("c"))
+    named = named.select("id", "text_hash", "n", *extra, F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("c"))
     low = named.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("least"))
     return named.join(low, "c", "left").select(
         F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"),
-        F.coalesce("least", "id").alias("component_id"),
+        F.coalesce("least", "id").alias("component_id"), *(["n_links"] if count_links else []),
     )
 
 
@@ -486,4 +522,4 @@ def one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark, sf) -> DataFrame:
-    return jaccard_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(table(spark, sf, "documents"), count_links=True).select("doc_id", "n_shingles", "component_id", "n_links")

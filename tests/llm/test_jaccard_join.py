@@ -139,3 +139,14 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (200, 200)], "a long, b long")
     got = {r.node: r.component for r in components(edges, "a", "b").collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("width,percent,size", [(3, 90, 256), (3, 90, 2), (5, 80, 3)])
+def test_links_are_counted(docs_of, width, percent, size):
+    """Copies and groups that already lie in one component count too."""
+    rows = families(width + size, percent) + [(900 + i, "one two three four five six seven") for i in range(4)] + [(990, None), (991, "")]
+    sets = [set_of(t, width) for _, t in rows]
+    linked = lambda x, y: bool(x) and 100 * len(x & y) >= percent * len(x | y)
+    want = sorted((rows[i][0], sum(linked(x, y) for j, y in enumerate(sets) if j != i)) for i, x in enumerate(sets))
+    got = jj.jaccard_components(docs_of(rows), width=width, percent=percent, group_size=size, count_links=True).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == want and max(n for _, n in want) > 2
