@@ -18,21 +18,35 @@ from gaugeworks.session import stage
 
 # Rows one task may hold for one key before the key is cut into chunks.
 MAX_GROUP_ROWS = 500_000
+# Rows a range of the order holds, about.
+RANGE_ROWS = 250_000
 
 
 def in_ranges(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], parts: int | None = None) -> DataFrame:
     """``df`` written once in ranges of (keys, order), with the number of the range in ``__b``.
 
     A long key has many ranges, short ones share a range. Spark samples the whole order tuple for the
-    borders, and a running number at its end lets it cut between equal tuples. The number of ranges
-    follows the size of the data (adaptive execution joins small ones), unless ``parts`` is given.
+    borders, and a running number at its end lets it cut between equal tuples. The number of ranges is
+    that of the rows divided by ``RANGE_ROWS`` (adaptive execution joins small ones), unless ``parts``
+    is given.
     """
     marked = df.withColumn("__i", F.monotonically_increasing_id())
     columns = [*keys, *order_by, "__i"]
+    if parts is None:
+        wanted = -(-df.count() // RANGE_ROWS)
+        parts = wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
     ranged = marked.repartitionByRange(parts, *columns) if parts else marked.repartitionByRange(*columns)
     return stage(ranged.withColumn("__b", F.spark_partition_id()))
 
 
+def carried(cut: DataFrame, keys: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """(keys..., __b, names) of rows cut by :func:`in_ranges`: each sum over the earlier ranges of the
+    key. One row a key and range goes into the window."""
+    totals = cut.groupBy(*keys, "__b").agg(*[c.alias(f"__t_{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*keys, "__b", *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(n) for n in sums])
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on equal keys where null equals null; the right side's key columns are dropped.
 
@@ -60,9 +74,7 @@ def ordered_index(
 ) -> DataFrame:
     """Exact 1-based row number per key, in order of ``order_by``, computed range by range."""
     cut = in_ranges(df, keys, order_by, buckets)
-    sizes = cut.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    offsets = carried(cut, keys, {"__before": F.count("*")})
     local = Window.partitionBy(*keys, "__b").orderBy(*order_by, "__i")
     numbered = cut.withColumn("__local", F.row_number().over(local))
     return (
@@ -97,11 +109,7 @@ def running_sums(
         upto = Window.partitionBy(*keys).orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
     cut = in_ranges(df, keys, [order_by], buckets).drop("__i")
-    totals = cut.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "__b", *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in sums]
-    )
+    offsets = carried(cut, keys, {f"__o_{n}": F.sum(c) for n, c in sums.items()})
     upto = Window.partitionBy(*keys, "__b").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select("*", *[F.sum(c).over(upto).alias(f"__l_{n}") for n, c in sums.items()])
     joined = join_same(local, offsets, [*keys, "__b"], "inner")
