@@ -1,8 +1,9 @@
-"""Row order, prefix sums and exact quantiles without putting a group into one task.
+"""Row order, prefix sums, exact quantiles and windows without putting a group into one task.
 
-A window over a series key is one task per key. That is right for short series; for a key that
-holds a large share of the rows the helpers here cut the key into ranges of its order. Where the
-ranges end steers balance only, every number returned is exact.
+A window over a series key is one task per key. Here rows are cut into ranges of (key, order) instead:
+short keys share a range, a long key has many. Every operation works inside (key, range) and takes what
+the ranges before add to it: a count, a sum, or the last few rows. There is one path for all sizes.
+Where the ranges end steers balance only, every number returned is exact.
 """
 
 from __future__ import annotations
@@ -16,19 +17,20 @@ from pyspark.sql.window import Window, WindowSpec
 
 from gaugeworks.session import stage
 
-# Rows one task may hold for one key before the key is cut into chunks.
-MAX_GROUP_ROWS = 500_000
 # Rows a range of the order holds, about.
 RANGE_ROWS = 250_000
 
 
-def in_ranges(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], parts: int | None = None) -> DataFrame:
+def in_ranges(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], parts: int | None = None,
+    local: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """``df`` written once in ranges of (keys, order), with the number of the range in ``__b``.
 
     A long key has many ranges, short ones share a range. Spark samples the whole order tuple for the
     borders, and a running number at its end lets it cut between equal tuples. The number of ranges is
     that of the rows divided by ``RANGE_ROWS`` (adaptive execution joins small ones), unless ``parts``
-    is given.
+    is given. ``local`` may add columns to the rows of a range, which it then sees in order.
     """
     marked = df.withColumn("__i", F.monotonically_increasing_id())
     columns = [*keys, *order_by, "__i"]
@@ -36,6 +38,8 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], parts
         wanted = -(-df.count() // RANGE_ROWS)
         parts = wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
     ranged = marked.repartitionByRange(parts, *columns) if parts else marked.repartitionByRange(*columns)
+    if local:
+        ranged = local(ranged.sortWithinPartitions(*columns))
     return stage(ranged.withColumn("__b", F.spark_partition_id()))
 
 
@@ -61,14 +65,6 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(marked, same, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key: partial counts per task, then one number to the driver."""
-    if not keys:
-        return df.count()
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
-
-
 def ordered_index(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[str], name: str = "rn", buckets: int | None = None
 ) -> DataFrame:
@@ -84,30 +80,10 @@ def ordered_index(
     )
 
 
-def row_index(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], name: str = "rn", max_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """Row number per key: one window when the largest key is small, :func:`ordered_index` beyond."""
-    if keys and largest_group(df, keys) <= max_rows:
-        w = Window.partitionBy(*keys).orderBy(*order_by)
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
-    return ordered_index(df, keys, order_by, name)
-
-
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order_by: str, sums: dict[str, str], max_rows: int = MAX_GROUP_ROWS,
-    buckets: int | None = None, small: bool | None = None,
+    df: DataFrame, keys: Sequence[str], order_by: str, sums: dict[str, str], buckets: int | None = None
 ) -> DataFrame:
-    """Inclusive prefix sums ``{new: column}``; one row per (keys, order_by) is expected.
-
-    One window per key while the largest key has at most ``max_rows`` rows, range by range beyond.
-    A caller that has measured the groups says so with ``small``.
-    """
-    if small is None:
-        small = bool(keys) and largest_group(df, keys) <= max_rows
-    if small:
-        upto = Window.partitionBy(*keys).orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
+    """Inclusive prefix sums ``{new: column}``; one row per (keys, order_by) is expected."""
     cut = in_ranges(df, keys, [order_by], buckets).drop("__i")
     offsets = carried(cut, keys, {f"__o_{n}": F.sum(c) for n, c in sums.items()})
     upto = Window.partitionBy(*keys, "__b").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
@@ -150,13 +126,12 @@ def quantiles_of_placed(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], max_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], buckets: int | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles per key: ``(keys..., q ARRAY<DOUBLE>, n)`` in order of ``probs``.
 
-    Equal values collapse into counts before the shuffle. While no key has more than ``max_rows``
-    distinct values the built-in weighted percentile finishes the job; beyond that prefix sums place
-    the counts range by range. Nulls and NaN are left out.
+    Equal values collapse into counts before the shuffle, prefix sums place the counts range by range.
+    Nulls and NaN are left out.
     """
     v = F.col(value).cast("double")
     counts = (
@@ -164,17 +139,12 @@ def exact_quantiles(
         .groupBy(*keys, (v + F.lit(0.0)).alias("__x"))
         .agg(F.count("*").alias("__c"))
     )
-    counts = stage(counts)
-    if largest_group(counts, keys) <= max_rows:
-        shares = F.array(*[F.lit(float(p)) for p in probs])
-        out = counts.groupBy(*keys).agg(F.percentile("__x", shares, F.col("__c")).alias("q"), F.sum("__c").alias("n"))
-        return out.where("n IS NOT NULL")
-    placed = running_sums(counts, keys, "__x", {"__hi": "__c"}, small=False)
+    placed = running_sums(stage(counts), keys, "__x", {"__hi": "__c"}, buckets)
     return quantiles_of_placed(stage(placed), keys, "__x", "__c", "__hi", probs)
 
 
 def chunk_with_halo(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], halo: int, chunk: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], halo: int, chunk: int
 ) -> DataFrame:
     """Cut each key into chunks of ``chunk`` rows; each chunk also gets the ``halo`` rows before it.
 
@@ -194,21 +164,41 @@ def chunk_with_halo(
     )
 
 
-def over_series(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str],
-    lookback: int,
-    build: Callable[[DataFrame, WindowSpec], DataFrame],
-    max_rows: int = MAX_GROUP_ROWS,
+def rows_before(cut: DataFrame, keys: Sequence[str], order_by: Sequence[str], lookback: int) -> DataFrame:
+    """The last ``lookback`` rows before each range of a key that starts in an earlier one, with that
+    range in ``__b``: at most ``lookback`` rows a range, as no more than one key crosses a border."""
+    sizes = cut.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    following = F.lead("__b").over(Window.partitionBy(*keys).orderBy("__b"))
+    spans = sizes.select("*", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__s"), following.alias("__next"))
+    spans = stage(spans.where("__s > 0 OR __next IS NOT NULL"))
+    last = Window.partitionBy(*keys, "__b").orderBy(*[F.desc(c) for c in order_by], F.desc("__i"))
+    giving = join_same(cut, spans.where("__next IS NOT NULL"), [*keys, "__b"], "inner")
+    ends = giving.withColumn("__r", F.row_number().over(last)).where(F.col("__r") <= lookback)
+    ends = ends.withColumn("__rn", F.col("__s") + F.col("__n") - F.col("__r") + 1).drop("__b", "__s", "__n", "__next", "__r")
+    # a range wants the rows numbered s - lookback + 1 to s, which lie in two blocks of ``lookback`` numbers
+    blocks = F.array_distinct(F.array(F.floor((F.col("__s") - lookback) / lookback), F.floor((F.col("__s") - 1) / lookback)))
+    asking = spans.where("__s > 0").select(*keys, "__b", F.col("__s").alias("__upto"), F.explode(blocks).alias("__at"))
+    ends = ends.withColumn("__at", F.floor((F.col("__rn") - 1) / lookback))
+    found = join_same(ends, asking, [*keys, "__at"], "inner")
+    return found.where((F.col("__rn") <= F.col("__upto")) & (F.col("__rn") > F.col("__upto") - lookback)).drop("__rn", "__upto", "__at")
+
+
+def over_ranges(
+    cut: DataFrame, keys: Sequence[str], order_by: Sequence[str], lookback: int, build: Callable[[DataFrame, WindowSpec], DataFrame]
 ) -> DataFrame:
-    """Apply ``build(df, window)`` to frames that reach at most ``lookback`` rows back.
+    """Apply ``build(df, window)`` to frames that reach at most ``lookback`` rows back, on rows cut by
+    :func:`in_ranges`. A window sees one key in one range and the rows before it."""
+    rows = cut.withColumn("__own", F.lit(True))
+    if lookback:
+        rows = rows.unionByName(rows_before(cut, keys, order_by, lookback).withColumn("__own", F.lit(False)))
+    out = build(rows, Window.partitionBy(*keys, "__b").orderBy(*order_by))
+    return out.where("__own").drop("__b", "__i", "__own")
 
-    Short series share one window per key. Where the largest series is longer than ``max_rows``
-    the same expressions run per chunk with a halo of ``lookback`` rows.
-    """
-    if keys and largest_group(df, keys) <= max_rows:
-        return build(df, Window.partitionBy(*keys).orderBy(*order_by))
-    parts = chunk_with_halo(df, keys, order_by, lookback, max(max_rows, lookback))
-    out = build(parts, Window.partitionBy(*keys, "__chunk").orderBy(*order_by))
-    return out.where("__own").drop("rn", "__chunk", "__own")
+
+def over_series(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], lookback: int,
+    build: Callable[[DataFrame, WindowSpec], DataFrame], buckets: int | None = None,
+) -> DataFrame:
+    """:func:`over_ranges` of ``df``."""
+    return over_ranges(in_ranges(df, keys, order_by, buckets), keys, order_by, lookback, build)

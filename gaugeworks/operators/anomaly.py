@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from gaugeworks.functions import sentences as say
-from gaugeworks.functions.ordering import MAX_GROUP_ROWS, exact_quantiles, join_same, over_series
+from gaugeworks.functions.ordering import exact_quantiles, join_same, over_series
 from gaugeworks.functions.text import fixed, humanize
 
 TINY = 1e-9
@@ -17,7 +17,7 @@ LEAST_ROWS = 4  # shorter series have no anomalies, whatever the window
 
 
 def rolling_scores(
-    series: DataFrame, keys: Sequence[str], window: int = 12, max_rows: int = MAX_GROUP_ROWS
+    series: DataFrame, keys: Sequence[str], window: int = 12, buckets: int | None = None
 ) -> DataFrame:
     """Mean, population deviation, z and quartile fences of the ``window`` rows before each row.
 
@@ -34,7 +34,7 @@ def rolling_scores(
             F.stddev_pop("value").over(frame).alias("__s"),
         )
 
-    rows = over_series(series, keys, ["timestamp"], window, build, max_rows).where(F.size("__h") == window)
+    rows = over_series(series, keys, ["timestamp"], window, build, buckets).where(F.size("__h") == window)
     if window < LEAST_ROWS:
         long = series.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") >= LEAST_ROWS)
         rows = join_same(rows, long.drop("__rows"), keys, "left_semi" if keys else "inner")
@@ -53,11 +53,11 @@ def rolling_anomalies(
     higher_is_better: bool = True,
     window: int = 12,
     z_threshold: float = 2.0,
-    max_rows: int = MAX_GROUP_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Rows whose z reaches the threshold or that leave the quartile fence, with kind, severity and text."""
     z, v = F.col("z_score"), F.col("value")
-    rows = rolling_scores(series, keys, window, max_rows)
+    rows = rolling_scores(series, keys, window, buckets)
     rows = rows.where((F.abs(z) >= z_threshold) | (v < F.col("fence_low")) | (v > F.col("fence_high")))
     rows = rows.withColumn(
         "delta_pct", F.coalesce(F.try_divide(v - F.col("expected"), F.col("expected")) * 100.0, F.lit(0.0))

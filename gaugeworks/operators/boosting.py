@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions.ordering import join_same, row_index
+from gaugeworks.functions.ordering import join_same, ordered_index
 from gaugeworks.operators.features import FeatureConfig, FeaturePipeline, drop_incomplete
 from gaugeworks.session import checkpoint_root, stage
 
@@ -112,7 +112,7 @@ def tree_forecast(
     sizes = known.groupBy(*keys).agg(F.avg(F.abs("value")).alias("__size"))
     sizes = stage(sizes.withColumn("__size", F.when(F.col("__size") > 0, F.col("__size")).otherwise(F.lit(1.0))))
     scaled = join_same(known, sizes, keys).withColumn("value", F.col("value") / F.col("__size")).drop("__size")
-    rows = row_index(scaled, keys, ["timestamp"])
+    rows = ordered_index(scaled, keys, ["timestamp"])
     pipe.config.extra = ("rn",)
     feats = pipe.fit_transform(rows)
     names = [c for c in pipe.columns if c != "rn"]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions.ordering import MAX_GROUP_ROWS, join_same, largest_group, quantiles_of_placed, running_sums
+from gaugeworks.functions.ordering import join_same, quantiles_of_placed, running_sums
 from gaugeworks.session import stage
 
 # Features that are functions of the timestamp alone and always differ between windows.
@@ -62,16 +62,12 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
 
 
 def feature_scores(
-    reference: DataFrame, new: DataFrame, keys: Sequence[str], features: Sequence[str], bins: int = 10,
-    max_rows: int = MAX_GROUP_ROWS,
+    reference: DataFrame, new: DataFrame, keys: Sequence[str], features: Sequence[str], bins: int = 10, buckets: int | None = None
 ) -> DataFrame:
     """(keys..., feature, psi, ks, p, ref STRUCT<mean,std,n>, new STRUCT<mean,std,n>)."""
     by = [*keys, "feature"]
     counts = stage(value_counts(reference, new, keys, features))
-    small = largest_group(counts, by) <= max_rows
-    placed = running_sums(counts, by, "x", {"c_ref": "n_ref", "c_new": "n_new"}, small=small)
-    if not small:
-        placed = stage(placed)
+    placed = stage(running_sums(counts, by, "x", {"c_ref": "n_ref", "c_new": "n_new"}, buckets))
 
     x = F.col("x")
     probs = [i / bins for i in range(bins + 1)]
@@ -82,10 +78,8 @@ def feature_scores(
         F.try_divide(F.sum(x * F.col("n_new")), F.sum("n_new")).alias("mean_new"),
         F.min("x").alias("x_lo"),
         F.max("x").alias("x_hi"),
-        *([F.percentile("x", F.array(*[F.lit(p) for p in probs]), F.col("n_ref")).alias("q")] if small else []),
     )
-    if not small:
-        totals = join_same(totals, quantiles_of_placed(placed, by, "x", "n_ref", "c_ref", probs).drop("n"), by)
+    totals = join_same(totals, quantiles_of_placed(placed, by, "x", "n_ref", "c_ref", probs).drop("n"), by)
     totals = totals.withColumn("edges", F.array_distinct("q")).drop("q")
     lo, hi = F.col("x_lo"), F.col("x_hi")
     even = F.array(*[lo + F.lit(float(i)) * ((hi - lo) / F.lit(float(bins))) for i in range(bins)], hi)
@@ -167,13 +161,12 @@ def compare_windows(
     min_rows: int = 30,
     include_calendar: bool = False,
     drifted_only: bool = False,
-    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Severity per feature; features with fewer than ``min_rows`` values on a side are skipped."""
     cols = list(features) if features else numeric_columns(reference, new, keys)
     if not include_calendar:
         cols = informative(cols)
-    rows = feature_scores(reference, new, keys, cols, max_rows=max_rows)
+    rows = feature_scores(reference, new, keys, cols)
     rows = rows.where((F.col("ref.n") >= min_rows) & (F.col("new.n") >= min_rows))
     rows = rows.withColumn("psi_severity", psi_severity(F.col("psi"), psi_minor, psi_major))
     rows = rows.withColumn("ks_severity", ks_severity(F.col("p"), alpha))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gaugeworks.functions.ordering import MAX_GROUP_ROWS, exact_quantiles, join_same, over_series, row_index
+from gaugeworks.functions.ordering import exact_quantiles, join_same, ordered_index, over_series
 from gaugeworks.operators import boosting as bo
 from gaugeworks.operators import models as mo
 from gaugeworks.session import stage
@@ -31,14 +31,14 @@ FULL = -1  # the fold that trains on all rows
 # steps, folds, metrics ---------------------------------------------------------------------
 
 
-def infer_step(series: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def infer_step(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Median microseconds between consecutive rows per series; one day for a single row."""
 
     def gaps(part, w):
         us = F.unix_micros(F.col("timestamp").cast("timestamp"))
         return part.withColumn("__gap", (us - F.lag(us).over(w)).cast("double"))
 
-    rows = over_series(series.select(*keys, "timestamp"), keys, ["timestamp"], 1, gaps, max_rows)
+    rows = over_series(series.select(*keys, "timestamp"), keys, ["timestamp"], 1, gaps)
     q = exact_quantiles(rows, keys, "__gap", [0.5]).select(*keys, F.element_at("q", 1).alias("__q"))
     known = rows.groupBy(*keys).agg(F.max("timestamp").alias("last"), F.count("*").alias("n"))
     out = join_same(known, q, keys)
@@ -136,7 +136,7 @@ def training_metrics(selected: DataFrame, sizes: DataFrame, keys: Sequence[str],
 def pack_series(series: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
     """(keys..., chunk, y, t, halo): arrays of at most ``chunk`` values in time order, and the values
     before them. Rows without a value are left out."""
-    rows = row_index(series.where("value IS NOT NULL"), keys, ["timestamp"])
+    rows = ordered_index(series.where("value IS NOT NULL"), keys, ["timestamp"])
     us = F.unix_micros(F.col("timestamp").cast("timestamp"))
     cut = rows.withColumn("chunk", F.floor((F.col("rn") - 1) / F.lit(chunk)).cast("long"))
     packed = cut.groupBy(*keys, "chunk").agg(
@@ -357,7 +357,7 @@ def predict(fits: DataFrame, keys: Sequence[str], steps: DataFrame, horizon: int
 
 def fold_actuals(series: DataFrame, keys: Sequence[str], folds: DataFrame, test_size: int) -> DataFrame:
     """(keys..., fold, step, timestamp, value): the test rows of every fold."""
-    rows = row_index(series.where("value IS NOT NULL"), keys, ["timestamp"])
+    rows = ordered_index(series.where("value IS NOT NULL"), keys, ["timestamp"])
     at = join_same(rows, folds.select(*keys, "fold", "start"), keys, "inner")
     step = (F.col("rn") - F.col("start")).cast("int")
     return at.where((step >= 1) & (step <= test_size)).select(*keys, "fold", step.alias("step"), "timestamp", "value")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeworks.functions import sentences as say
-from gaugeworks.functions.ordering import MAX_GROUP_ROWS, join_same, row_index
+from gaugeworks.functions.ordering import join_same, ordered_index
 from gaugeworks.functions.text import humanize, signed
 
 
@@ -176,9 +176,9 @@ def shock_of(changes: dict[str, float]) -> float:
     return reduce(lambda a, b: a * b, parts, 1.0)
 
 
-def fit_trend(series: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def fit_trend(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Least-squares line on the row number per series, its residual deviation and the last value."""
-    rows = row_index(series, keys, ["timestamp"], "rn", max_rows)
+    rows = ordered_index(series, keys, ["timestamp"])
     x = (F.col("rn") - 1).cast("double")
     fit = rows.groupBy(*keys).agg(
         F.count("value").alias("n"),
@@ -206,10 +206,9 @@ def simulate(
     horizon: int = 12,
     label: str = "FY26",
     sensitivity: float = 1.0,
-    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Project every series by its trend and apply every scenario. Series of fewer than 4 rows give none."""
-    fit = fit_trend(series, keys, max_rows).where(F.col("n") >= 4)
+    fit = fit_trend(series, keys).where(F.col("n") >= 4)
     table = F.array(*[F.struct(F.lit(name).alias("scenario"), F.lit(shock_of(ch)).alias("shock")) for name, ch in scenarios.items()])
     rows = fit.select("*", F.inline(table))
     base = F.col("slope") * (F.col("n") - 1 + horizon) + F.col("intercept")

@@ -64,8 +64,8 @@ def _(spark, sf):
 
 @query("exact_quantiles_ranged", _QUANTILES)
 def _(spark, sf):
-    """The path for keys with very many distinct values."""
-    return _quantiles(spark, sf, max_rows=0)
+    """The same table with the values cut into many ranges."""
+    return _quantiles(spark, sf, buckets=32)
 
 
 # features ----------------------------------------------------------------------------------
@@ -146,8 +146,8 @@ def _(spark, sf):
 
 @query("feature_pipeline_chunked", _ALL)
 def _(spark, sf):
-    """The same table with every series cut into chunks of 400 rows."""
-    return _round_features(features(spark, sf, FeatureConfig(keys=KEY), max_rows=400))
+    """The same table with the series cut into many ranges."""
+    return _round_features(features(spark, sf, FeatureConfig(keys=KEY), buckets=24))
 
 
 @query("drop_incomplete", f"SELECT kpi_id, COUNT(*) AS n, MIN(day) AS first FROM ({_ALL}) WHERE lag_28 IS NOT NULL GROUP BY 1")
@@ -227,7 +227,7 @@ def _(spark, sf):
 
 @query("rolling_anomalies_chunked", f"WITH {_anomalies(SERIES)} SELECT {_ANOMALY_COLS} FROM anomalies")
 def _(spark, sf):
-    return _anomaly_rows(an.rolling_anomalies(daily(spark, sf), max_rows=300))
+    return _anomaly_rows(an.rolling_anomalies(daily(spark, sf), buckets=24))
 
 
 @query("alert_worthy", f"WITH {_anomalies(MONTHS)} SELECT {_ANOMALY_COLS} FROM anomalies WHERE severity >= 0.5")

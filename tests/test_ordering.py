@@ -39,25 +39,25 @@ def test_ordered_index_with_ties_and_null_key(spark):
         assert part["rn"].tolist() == list(range(1, 51))
 
 
-def test_row_index_without_keys(hot):
+def test_ordered_index_without_keys(hot):
     df, pdf = hot
-    got = od.row_index(df, [], ["timestamp", "k"]).toPandas().sort_values(["timestamp", "k"])
+    got = od.ordered_index(df, [], ["timestamp", "k"]).toPandas().sort_values(["timestamp", "k"])
     assert got["rn"].tolist() == list(range(1, len(pdf) + 1))
 
 
-@pytest.mark.parametrize("max_rows", [0, 10**6])
-def test_running_sums(hot, max_rows):
+@pytest.mark.parametrize("buckets", [None, 16])
+def test_running_sums(hot, buckets):
     df, pdf = hot
-    got = collect(od.running_sums(df.withColumn("one", F.lit(1)), ["k"], "timestamp", {"c": "one", "s": "value"}, max_rows, 16), "k", "timestamp")
+    got = collect(od.running_sums(df.withColumn("one", F.lit(1)), ["k"], "timestamp", {"c": "one", "s": "value"}, buckets), "k", "timestamp")
     assert (got["c"].to_numpy() == pdf.groupby("k").cumcount().to_numpy() + 1).all()
     assert np.allclose(got["s"], pdf.groupby("k")["value"].cumsum())
 
 
-@pytest.mark.parametrize("max_rows", [0, 10**6])
-def test_exact_quantiles(hot, max_rows):
+@pytest.mark.parametrize("buckets", [None, 16])
+def test_exact_quantiles(hot, buckets):
     df, pdf = hot
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = od.exact_quantiles(df, ["k"], "value", probs, max_rows).toPandas().set_index("k")
+    got = od.exact_quantiles(df, ["k"], "value", probs, buckets).toPandas().set_index("k")
     for key, part in pdf.groupby("k"):
         assert np.allclose(got.loc[key, "q"], np.quantile(part["value"], probs))
         assert got.loc[key, "n"] == len(part)
@@ -65,8 +65,8 @@ def test_exact_quantiles(hot, max_rows):
 
 def test_quantiles_skip_null_and_nan_and_weigh_repeats(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, 1.0, 1.0, 5.0, None, float("nan"))], "k string, v double")
-    for limit in (0, 100):
-        row = od.exact_quantiles(df, ["k"], "v", [0.5, 1.0], limit).first()
+    for buckets in (None, 4):
+        row = od.exact_quantiles(df, ["k"], "v", [0.5, 1.0], buckets).first()
         assert list(row["q"]) == [1.0, 5.0] and row["n"] == 4
 
 
@@ -77,8 +77,12 @@ def test_chunks_with_halo_equal_one_window(hot):
         return part.select("*", F.avg("value").over(w.rowsBetween(-28, -1)).alias("m"), F.lag("value", 28).over(w).alias("l"))
 
     whole = collect(build(df, Window.partitionBy("k").orderBy("timestamp")), "k", "timestamp")
-    cut = collect(od.over_series(df, ["k"], ["timestamp"], 28, build, max_rows=100), "k", "timestamp")
-    pd.testing.assert_frame_equal(whole, cut[whole.columns])
+    for buckets in (None, 3, 40, 300):  # ranges of 11 rows are shorter than the frames
+        cut = collect(od.over_series(df, ["k"], ["timestamp"], 28, build, buckets), "k", "timestamp")
+        pd.testing.assert_frame_equal(whole, cut[whole.columns])
+    alone = build(df.drop("k"), Window.orderBy("timestamp", "value"))
+    cut = od.over_series(df.drop("k"), [], ["timestamp", "value"], 28, build, 20)
+    pd.testing.assert_frame_equal(collect(alone, "timestamp", "value"), collect(cut, "timestamp", "value")[alone.columns])
 
 
 def test_order_of_input_rows_does_not_matter(hot):

@@ -59,7 +59,7 @@ def test_averages_with_missing_values_match_pandas(spark):
 def test_long_series_has_the_same_features(series):
     whole = FeaturePipeline(FeatureConfig(keys=KEY)).fit_transform(series).toPandas().sort_values([*KEY, "timestamp"])
     rng = FeatureConfig(keys=KEY)
-    cut = FeaturePipeline(rng).fit_transform(series, max_rows=50).toPandas().sort_values([*KEY, "timestamp"])
+    cut = FeaturePipeline(rng).fit_transform(series, buckets=20).toPandas().sort_values([*KEY, "timestamp"])
     pd.testing.assert_frame_equal(whole.reset_index(drop=True), cut[whole.columns].reset_index(drop=True))
 
 
@@ -169,6 +169,44 @@ def test_averages_over_long_gaps(spark):
         assert np.allclose(got[f"ema_{alpha}".replace(".", "_")].astype(float), want, rtol=1e-9, equal_nan=True)
 
 
+def test_averages_where_one_key_has_most_rows_and_a_gap_spans_ranges(spark):
+    rng = np.random.default_rng(1)
+    parts = []
+    for key, values in (
+        ("hot", [*rng.normal(100, 5, 5000), *[np.nan] * 10_000, *rng.normal(-50, 5, 5000), np.inf, 3.0, *[np.nan] * 40]),
+        ("late", [np.nan] * 900 + [7.0, 8.0, np.nan, 9.0]), ("none", [np.nan] * 300), ("one", [1.0]), (None, list(rng.normal(0, 1, 900))),
+    ):
+        parts.append(pd.DataFrame({"k": key, "timestamp": pd.date_range("2020-01-01", periods=len(values), freq="h"), "value": values}))
+    pdf = pd.concat(parts, ignore_index=True)
+    df = spark.createDataFrame(pdf.astype({"k": object}), "k string, timestamp timestamp, value double").repartition(5)
+    df = df.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    config = FeatureConfig(keys=["k"], lags=(), rolling=(), diffs=(), calendar=False, fourier_periods=(), ema_alphas=(0.3, 0.1, 0.999, 1.0))
+    for buckets in (None, 3, 97):
+        got = FeaturePipeline(config).fit_transform(df, buckets).toPandas()
+        assert len(got) == len(pdf)
+        for key, part in pdf.groupby("k", dropna=False):
+            mine = got[got["k"].isna() if key is None or key != key else got["k"] == key].sort_values("timestamp")
+            for a in config.ema_alphas:
+                want = part["value"].replace(np.inf, np.nan).ewm(alpha=a, adjust=False).mean().shift(1)
+                assert np.allclose(mine[f"ema_{a}".replace(".", "_")].astype(float), want, rtol=1e-9, equal_nan=True), (key, a, buckets)
+    single = FeaturePipeline(FeatureConfig(keys=(), lags=(), rolling=(), diffs=(), calendar=False, fourier_periods=()))
+    got = single.fit_transform(df.where("k = 'hot'").drop("k"), 9).toPandas().sort_values("timestamp")
+    want = parts[0]["value"].replace(np.inf, np.nan).ewm(alpha=0.1, adjust=False).mean().shift(1)
+    assert np.allclose(got["ema_0_1"].astype(float), want, rtol=1e-9, equal_nan=True)
+
+
+def test_affine_prefix_equals_the_loop():
+    from gaugeworks.operators.features import affine_prefix
+
+    rng = np.random.default_rng(2)
+    c, d = rng.choice([0.0, 0.3, 0.9, 1.0], 700, p=[0.01, 0.3, 0.3, 0.39]), rng.normal(size=(2, 700))
+    got_c, got_d = affine_prefix(c, d)
+    e = np.array([3.0, -1.0])
+    for i in range(700):
+        e = c[i] * e + d[:, i]
+        assert np.allclose(got_c[i] * np.array([3.0, -1.0]) + got_d[:, i], e, rtol=1e-12, atol=1e-12)
+
+
 def test_short_series_have_no_anomalies(spark):
     import datetime as dt
 
