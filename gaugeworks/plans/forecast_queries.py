@@ -152,17 +152,14 @@ def _(spark, sf):
     return fits.select("kpi_id", "model", "start", F.round("sigma", 3).alias("sigma"), "reason")
 
 
-PLAIN = ("arima", "sarima", "holt_winters", "prophet")
-
-
 def _trees(kind: str) -> None:
     @query(f"forecast_{kind}")
     def _(spark, sf):
-        """A small tree model on the features of all daily series, two weeks ahead."""
+        """A tree model for every daily series, two weeks ahead: 400 rounds of depth 6."""
         rows = daily(spark, sf)
         steps = stage(fc.infer_step(rows, KEY))
         full = steps.select("kpi_id", F.lit(fc.FULL).alias("fold"), F.col("n").alias("start"))
-        return bo.tree_forecast(rows, KEY, full, steps, TEST, kind, rounds=8, depth=4).drop("fold")
+        return bo.tree_forecast(rows, KEY, full, steps, TEST, kind).drop("fold")
 
 
 for _name in bo.KINDS:
@@ -171,18 +168,18 @@ for _name in bo.KINDS:
 
 @query("backtest")
 def _(spark, sf):
-    return fc.backtest(daily(spark, sf), KEY, PLAIN, 2, TEST)
+    return fc.backtest(daily(spark, sf), KEY)
 
 
 @query("autoselect")
 def _(spark, sf):
-    _ahead, board, _chosen, _rejects = fc.forecast(monthly(spark, sf), KEY, 6, 3, 6, PLAIN)
+    _ahead, board, _chosen, _rejects = fc.forecast(monthly(spark, sf), KEY, 6)
     return board
 
 
 @query("forecast")
 def _(spark, sf):
-    return fc.forecast(monthly(spark, sf), KEY, 6, 3, 6, PLAIN)[0]
+    return fc.forecast(monthly(spark, sf), KEY, 6)[0]
 
 
 @query("forecast_selected_models")
