@@ -116,11 +116,12 @@ def _pipeline() -> FeaturePipeline:
 @query("isolation_forest_fit")
 def _(spark, sf):
     """Trees of every series: how many, their sample and their size."""
-    pipe = FeaturePipeline(FeatureConfig(keys=KEY, lags=(1, 7), rolling=(7,), ema_alphas=(), fourier_periods=()))
+    pipe = _pipeline()
     rows = drop_incomplete(pipe.fit_transform(daily(spark, sf)), pipe.columns)
     matrix = stage(rows.select("kpi_id", "timestamp", F.array(*[F.col(c).cast("double") for c in pipe.columns]).alias("x")))
-    forest = iso.fit_forest(matrix, KEY, ["kpi_id", "timestamp"], 50)
-    return forest.groupBy("kpi_id").agg(F.count("*").alias("trees"), F.max("psi").alias("sample"), F.sum(F.size("feature")).alias("nodes"))
+    forest = iso.fit_forest(matrix, KEY, ["kpi_id", "timestamp"])
+    nodes = 2 * F.size(F.filter("feature", lambda f: f >= 0)) + 1
+    return forest.groupBy("kpi_id").agg(F.count("*").alias("trees"), F.max("psi").alias("sample"), F.sum(nodes).alias("nodes"))
 
 
 @query("isolation_forest_score")

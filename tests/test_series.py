@@ -122,6 +122,61 @@ def test_forest_does_not_depend_on_partitioning(series):
     assert np.allclose(left, right)
 
 
+def test_sample_is_the_rows_of_smallest_hash(spark):
+    from gaugeworks.operators.histogram_trees import draws
+
+    rows = spark.createDataFrame([("long", i) for i in range(5000)] + [("short", i) for i in range(30)] + [(None, 7)], "k string, i long")
+    got = iso.sample_rows(rows.repartition(6), ["k"], ["k", "i"], trees=12, sample=64, seed=42).toPandas()
+    hashes = rows.select("k", "i", F.xxhash64("k", "i").alias("h")).toPandas()
+    by = {t: set() for t in range(12)}
+    for r in got.itertuples():
+        for t in r.trees:
+            by[t].add((r.k, r.i))
+    for t in range(12):
+        luck = draws(hashes["h"].to_numpy().astype(np.uint64), t, 42)
+        for k, part in hashes.assign(luck=luck).groupby("k", dropna=False):
+            want = {(None if k != k else k, i) for i in part.nsmallest(64, "luck")["i"]}
+            assert {x for x in by[t] if x[0] == (None if k != k else k)} == want
+
+
+def _plain_depths(x, rows, tree, seed, slots, limit, probe):
+    """Path lengths by recursion over the same draws."""
+    from gaugeworks.operators.histogram_trees import draws
+
+    def walk(rows, level, node, v):
+        lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
+        usable = np.flatnonzero(hi > lo)
+        if level >= limit or len(rows) <= 1 or not len(usable):
+            return level + float(iso._mean_depth(len(rows)))
+        one, two = (draws(np.array([tree * slots + node]), n, seed)[0] for n in (0, 1))
+        f = usable[int(one * len(usable))]
+        cut = lo[f] + two * (hi[f] - lo[f])
+        cut = cut if cut > lo[f] else hi[f]
+        left = v[f] < cut
+        return walk(rows[(x[rows, f] < cut) == left], level + 1, 2 * node + (1 if left else 2), v)
+
+    return np.array([walk(np.array(rows), 0, 0, v) for v in probe])
+
+
+def test_level_wise_trees_equal_recursion():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(70, 3)).round(1)
+    x[:, 2] = 1.0
+    pairs = [(r, t) for t in (3, 8, 11) for r in rng.permutation(70)[: {3: 64, 8: 1, 11: 40}[t]]]
+    row, tree = np.array(pairs).T
+    grown = iso.grow_trees(x, row, tree, 42)
+    shuffled = rng.permutation(len(row))
+    again = iso.grow_trees(x, row[shuffled], tree[shuffled], 42)
+    assert all(np.array_equal(grown[t]["cut"], again[t]["cut"]) for t in grown)
+    probe, total = rng.normal(size=(25, 3)), 0
+    for t in grown:
+        own = row[tree == t]
+        want = _plain_depths(x, own, t, 42, 127, int(np.ceil(np.log2(max(len(own), 2)))), probe)
+        assert np.allclose(iso.mean_depths(probe, pd.DataFrame([grown[t]])), want)
+        total = total + want
+    assert np.allclose(iso.mean_depths(probe, pd.DataFrame(list(grown.values())), step=7), total / 3)
+
+
 def test_fused_flags():
     assert an.DETECTORS == ("isolation_forest", "statistical", "xgboost")
 
