@@ -6,14 +6,13 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeworks.functions.ordering import join_same
 from gaugeworks.operators import anomaly as an
+from gaugeworks.operators import classifier as cl
 from gaugeworks.operators import isolation as iso
 from gaugeworks.operators.features import FeaturePipeline, drop_incomplete
 from gaugeworks.session import stage
@@ -35,7 +34,7 @@ class EnsembleConfig:
 
 @dataclass
 class AnomalyEnsemble:
-    """Fitted tables, one row per series (and feature or tree); the classifier is shared by all series."""
+    """Fitted tables, one row per series (and feature, tree or block of labelled rows)."""
 
     keys: Sequence[str]
     columns: Sequence[str]
@@ -44,7 +43,7 @@ class AnomalyEnsemble:
     scaler: DataFrame
     forest: DataFrame
     values: DataFrame
-    classifier: GBTClassificationModel | None = None
+    classifier: DataFrame | None = None
 
     def _matrix(self, features: DataFrame, medians: DataFrame) -> DataFrame:
         """(keys..., timestamp, value, label?, x): imputed and standardized features as one array."""
@@ -64,10 +63,7 @@ class AnomalyEnsemble:
         rows = an.statistical_score(rows, self.values, self.keys)
         detectors = ["isolation_forest", "statistical"]
         if self.classifier is not None:
-            rows = self.classifier.transform(rows.withColumn("features", array_to_vector("x")))
-            rows = rows.withColumn("xgboost", vector_to_array("probability")[1]).drop(
-                "features", "rawPrediction", "probability", "prediction"
-            )
+            rows = cl.score_classifiers(rows, self.classifier, self.keys, ident, self.config.boost_rounds)
             detectors.append("xgboost")
         return an.fuse_scores(rows.drop("x"), detectors, self.config.threshold, self.config.agreeing)
 
@@ -75,7 +71,7 @@ class AnomalyEnsemble:
         for name in ("medians", "scaler", "forest", "values"):
             getattr(self, name).write.mode("overwrite").parquet(f"{root}/{name}")
         if self.classifier is not None:
-            self.classifier.write().overwrite().save(f"{root}/classifier")
+            self.classifier.write.mode("overwrite").parquet(f"{root}/classifier")
         spark = self.medians.sparkSession
         state = json.dumps({"keys": list(self.keys), "columns": list(self.columns), "config": vars(self.config)})
         spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").text(f"{root}/state")
@@ -84,25 +80,10 @@ class AnomalyEnsemble:
     def load(cls, spark: SparkSession, root: str) -> AnomalyEnsemble:
         state = json.loads(spark.read.text(f"{root}/state").first()["value"])
         tables = {n: spark.read.parquet(f"{root}/{n}") for n in ("medians", "scaler", "forest", "values")}
-        boosted = GBTClassificationModel.load(f"{root}/classifier") if path_exists(spark, f"{root}/classifier") else None
+        boosted = spark.read.parquet(f"{root}/classifier") if path_exists(spark, f"{root}/classifier") else None
         return cls(state["keys"], state["columns"], EnsembleConfig(**state["config"]), **tables, classifier=boosted)
 
 
-def fit_classifier(matrix: DataFrame, config: EnsembleConfig) -> GBTClassificationModel | None:
-    """Boosted trees on labelled rows of all series; None below ``min_labels`` positive labels."""
-    known = matrix.where("label IS NOT NULL").select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
-    seen = known.agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
-    if not seen["pos"] or seen["pos"] < config.min_labels:
-        return None
-    weight = max(1.0, (seen["n"] - seen["pos"]) / seen["pos"])
-    rows = known.withColumn("w", F.when(F.col("label") == 1, weight).otherwise(1.0))
-    boost = GBTClassifier(
-        labelCol="label", featuresCol="features", weightCol="w", maxIter=config.boost_rounds, maxDepth=config.boost_depth,
-        stepSize=config.boost_step, seed=config.seed, checkpointInterval=10,
-    )
-    return boost.fit(rows)
-
-
 def fit_ensemble(
     features: DataFrame, keys: Sequence[str], columns: Sequence[str], config: EnsembleConfig | None = None
 ) -> AnomalyEnsemble:
@@ -119,7 +100,10 @@ def fit_ensemble(
     matrix = stage(model._matrix(features, medians))
     model.forest = stage(iso.fit_forest(matrix, keys, [*keys, "timestamp"], config.trees, config.sample, config.seed))
     if "label" in matrix.columns:
-        model.classifier = fit_classifier(matrix, config)
+        model.classifier = stage(cl.fit_classifiers(
+            matrix, keys, [*keys, "timestamp"], min_labels=config.min_labels, rounds=config.boost_rounds, depth=config.boost_depth,
+            rate=config.boost_step, seed=config.seed,
+        ))
     return model
 
 

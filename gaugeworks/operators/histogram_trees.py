@@ -36,6 +36,20 @@ class Forest:
         return self.start + self.leaf[t, m, at].sum(axis=0)
 
 
+def forest_values(feature: np.ndarray, above: np.ndarray, leaf: np.ndarray, x: np.ndarray, step: int = 2000) -> np.ndarray:
+    """The sum of one model's trees (trees x nodes) for every row of ``x``."""
+    t, inner, out = np.arange(len(feature))[None, :], feature.shape[1], np.empty(len(x))
+    for lo in range(0, len(x), step):
+        part = x[lo : lo + step]
+        line, at, first = np.arange(len(part))[:, None], np.zeros((len(part), len(feature)), dtype=np.int64), 0
+        while first < inner:
+            node = first + at
+            at = 2 * at + (part[line, feature[t, node]] > above[t, node])
+            first = 2 * first + 1
+        out[lo : lo + step] = leaf[t, at].sum(axis=1)
+    return out
+
+
 def bin_features(x: np.ndarray, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
     """(edges, codes) of one model's features: a code counts the edges below the value."""
     edges = np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], axis=0, method="lower").T
@@ -67,34 +81,42 @@ def best_cuts(g: np.ndarray, h: np.ndarray, ridge: float, least: float) -> tuple
 def fit_forest(
     x: list[np.ndarray], y: list[np.ndarray], place: list[np.ndarray], kind: str = "gbt", rounds: int = 400, depth: int = 6,
     rate: float = 0.05, rows: float = 0.85, columns: float = 0.85, ridge: float = 1.0, least: float = 1.0, seed: int = 42, bins: int = BINS,
+    weights: list[np.ndarray] | None = None,
 ) -> tuple[Forest, list[np.ndarray]]:
     """Fit one model to each (x, y); returns the models and the fitted values.
 
     ``gbt``: squared error, each round a tree on the residuals of a share of rows and features.
-    ``random_forest``: each tree on rows drawn with replacement (Poisson weights), averaged.
+    ``logistic``: the same for a label 0 or 1, with slopes and curvatures of the log-loss; values are
+    log-odds. ``random_forest``: each tree on rows drawn with replacement (Poisson weights), averaged.
     """
     models, width, inner = len(x), x[0].shape[1], 2**depth - 1
     cut = [bin_features(v, bins) for v in x]
     edges = np.stack([np.concatenate([e, np.full((width, 1), np.inf)], axis=1) for e, _ in cut])  # the last cut sends nothing right
     codes, value, where = np.concatenate([c for _, c in cut]), np.concatenate(y), np.concatenate(place)
     model = np.repeat(np.arange(models), [len(v) for v in y])
-    line, boosted = np.arange(len(value)), kind == "gbt"
-    if kind not in ("gbt", "random_forest"):
+    line, boosted = np.arange(len(value)), kind != "random_forest"
+    given = np.ones(len(value)) if weights is None else np.concatenate(weights)
+    if kind not in ("gbt", "logistic", "random_forest"):
         raise ValueError(f"unknown tree model {kind}")
-    start = np.bincount(model, value) / np.bincount(model) if boosted else np.zeros(models)
+    start = np.bincount(model, value) / np.bincount(model) if kind == "gbt" else np.zeros(models)
     fitted = start[model]
     out = Forest(start, np.zeros((rounds, models, inner), dtype=np.int16), np.full((rounds, models, inner), np.inf), np.zeros((rounds, models, inner + 1)))
     ridge, rate = (ridge, rate) if boosted else (1e-9, 1.0 / rounds)
     for turn in range(rounds):
         luck = draws(where, turn, seed)
         if boosted:
-            weight, target = (luck < rows).astype(float), value - fitted
+            weight = (luck < rows) * given
             some = np.sort(np.random.default_rng([seed, turn]).permutation(width)[: max(1, round(columns * width))])
         else:  # the inverse distribution of a Poisson draw of mean 1
-            weight, target = np.searchsorted([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582], luck, side="right").astype(float), value
+            weight = np.searchsorted([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582], luck, side="right") * given
             some = np.arange(width)
-        slope, at, own = -weight * target, np.zeros(len(value), dtype=np.int64), codes[:, some]
-        spread = np.repeat(slope, len(some)), np.repeat(weight, len(some))
+        if kind == "logistic":
+            p = 1.0 / (1.0 + np.exp(-fitted))
+            slope, bend = weight * (p - value), weight * np.maximum(p * (1 - p), 1e-16)
+        else:
+            slope, bend = weight * (fitted - value if boosted else -value), weight
+        at, own = np.zeros(len(value), dtype=np.int64), codes[:, some]
+        spread = np.repeat(slope, len(some)), np.repeat(bend, len(some))
         for level in range(depth):
             nodes = 2**level
             cell = (((model * nodes + at) * len(some))[:, None] + np.arange(len(some))[None, :]) * bins + own
@@ -108,7 +130,7 @@ def fit_forest(
             node = model * nodes + at
             at = 2 * at + (codes[line, feature[node]] > border[node])
         ends = model * (inner + 1) + at
-        g, h = (np.bincount(ends, s, models * (inner + 1)) for s in (slope, weight))
+        g, h = (np.bincount(ends, s, models * (inner + 1)) for s in (slope, bend))
         leaf = -rate * g / (h + ridge)
         out.leaf[turn] = leaf.reshape(models, inner + 1)
         fitted = fitted + leaf[ends]

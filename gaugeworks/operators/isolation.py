@@ -7,7 +7,7 @@ scored by cogrouping parts of its rows with its trees.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -163,25 +163,36 @@ def fit_forest(
     return dealt.groupBy(*keys, "block").applyInPandas(build, schema)
 
 
-def score_forest(rows: DataFrame, forest: DataFrame, keys: Sequence[str], row_id: Sequence[str], out: str = "raw") -> DataFrame:
-    """Adds the anomaly score 2^(-mean depth / expected depth); higher is more isolated.
+def score_by_parts(
+    rows: DataFrame, models: DataFrame, keys: Sequence[str], row_id: Sequence[str], out: str,
+    value: Callable[[np.ndarray, pd.DataFrame], np.ndarray],
+) -> DataFrame:
+    """Adds ``out``, the value of every row's ``x`` under its series' models, null where there are none.
 
-    Rows are spread over hash groups of about ``SCORE_ROWS``; a series' trees go to each of its groups.
+    Rows are spread over hash groups of about ``SCORE_ROWS``; a series' models go to each of its groups.
     """
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(SCORE_ROWS)).cast("int").alias("__g"))
     part = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), F.col("__g")).cast("int")
     spread = join_same(rows, sizes, keys).withColumn("__part", part).drop("__g")
-    copies = join_same(forest, sizes, keys).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__g") - 1))).drop("__g")
+    copies = join_same(models, sizes, keys, "inner").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__g") - 1))).drop("__g")
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
     by = [*keys, "__part"]
 
-    def score(pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or trees.empty:
+    def score(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
             return pd.DataFrame(columns=schema.names)
-        mean = mean_depths(np.stack(list(pdf["x"])), trees.sort_values("tree"))
-        expected = float(_mean_depth(trees["psi"].max()))
-        pdf = pdf.copy()
-        pdf[out] = 2.0 ** (-mean / expected) if expected else 0.0
-        return pdf[schema.names]
+        found = value(np.stack(list(pdf["x"])), own) if len(own) else None
+        return pdf.assign(**{out: found})[schema.names]
 
     return spread.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(score, schema)
+
+
+def score_forest(rows: DataFrame, forest: DataFrame, keys: Sequence[str], row_id: Sequence[str], out: str = "raw") -> DataFrame:
+    """Adds the anomaly score 2^(-mean depth / expected depth); higher is more isolated. Rows of series
+    without a forest are left out."""
+
+    def value(x: np.ndarray, trees: pd.DataFrame) -> np.ndarray:
+        expected = float(_mean_depth(trees["psi"].max()))
+        return 2.0 ** (-mean_depths(x, trees.sort_values("tree")) / expected) if expected else np.zeros(len(x))
+
+    return score_by_parts(rows, forest, keys, row_id, out, value).where(F.col(out).isNotNull())

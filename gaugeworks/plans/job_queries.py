@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import forecast as fc
-from gaugeworks.operators.features import FeatureConfig
 from gaugeworks.plans import bindings as b
 from gaugeworks.plans import jobs
 from gaugeworks.plans.drift_queries import _JOB_SOURCE, _decision, _shifted_series, scores_sql
-from gaugeworks.plans.ensemble_queries import SMALL
 from gaugeworks.plans.registry import query
 from gaugeworks.plans.series_queries import MONTHS, SERIES, daily, monthly
 from gaugeworks.plans.source_queries import scratch
@@ -43,24 +41,18 @@ def _(spark, sf):
     return jobs.run_drift_check(_owned(_shifted_series(spark, sf)), t < "1999-01-01", t >= "1999-01-01")[1]
 
 
-_FEW = ["holt_winters", "prophet"]
-
-
 @query("run_training")
 def _(spark, sf):
-    store = TableStore(spark, scratch(spark, "store"))
-    cfg = FeatureConfig(keys=jobs.SERIES_KEYS, lags=(1, 7), rolling=(7,), ema_alphas=(0.3,), fourier_periods=(7,))
-    return jobs.run_training(store, _owned(daily(spark, sf)), scratch(spark, "models"), 14, 2, 14, _FEW, config=SMALL, features=cfg)
+    return jobs.run_training(TableStore(spark, scratch(spark, "store")), _owned(daily(spark, sf)), scratch(spark, "models"))
 
 
 @query("run_predict")
 def _(spark, sf):
-    """Train, then forecast and score the last rows with the stored ensemble."""
+    """Train the ensemble, then forecast and score the last rows with it."""
     store, models = TableStore(spark, scratch(spark, "store")), scratch(spark, "models")
     rows = _owned(daily(spark, sf))
-    cfg = FeatureConfig(keys=jobs.SERIES_KEYS, lags=(1, 7), rolling=(7,), ema_alphas=(0.3,), fourier_periods=(7,))
-    jobs.run_training(store, rows, models, 14, 2, 14, _FEW, train_forecast=False, config=SMALL, features=cfg)
-    return jobs.run_predict(store, rows, models, 14, 2, 14, _FEW)
+    jobs.run_training(store, rows, models, train_forecast=False)
+    return jobs.run_predict(store, rows, models)
 
 
 # streams -----------------------------------------------------------------------------------

@@ -127,12 +127,13 @@ def test_seasonal_naive_short_series(spark):
     assert method == {"seasonal_naive"}
 
 
-def _plain_trees(x, y, place, rounds, depth, rate=0.05, ridge=1.0, seed=42):
+def _plain_trees(x, y, place, rounds, depth, rate=0.05, ridge=1.0, seed=42, given=None):
     """The boosted trees of one series by loops over nodes, features and cuts."""
     from gaugeworks.operators import histogram_trees as ht
 
     edges, codes = ht.bin_features(x)
-    fitted, trees = np.full(len(y), y.mean()), []
+    start = y.mean() if given is None else 0.0  # weights are given for labels
+    fitted, trees = np.full(len(y), start), []
 
     def grow(rows, all_rows, g, w, some, level):
         if level == depth:
@@ -160,11 +161,15 @@ def _plain_trees(x, y, place, rounds, depth, rate=0.05, ridge=1.0, seed=42):
 
     for turn in range(rounds):
         w = (ht.draws(place, turn, seed) < 0.85).astype(float)
+        g = -w * (y - fitted)
+        if given is not None:
+            p = 1 / (1 + np.exp(-fitted))
+            g, w = w * given * (p - y), w * given * p * (1 - p)
         some = np.sort(np.random.default_rng([seed, turn]).permutation(x.shape[1])[: max(1, round(0.85 * x.shape[1]))])
-        tree = grow(list(range(len(y))), None, -w * (y - fitted), w, some.tolist(), 0)
+        tree = grow(list(range(len(y))), None, g, w, some.tolist(), 0)
         trees.append(tree)
         fitted = fitted + np.array([walk(tree, v) for v in x])
-    return fitted, lambda v: y.mean() + sum(walk(t, v) for t in trees)
+    return fitted, lambda v: start + sum(walk(t, v) for t in trees)
 
 
 def test_trees_equal_plain_loops_whatever_the_batch():
@@ -184,6 +189,20 @@ def test_trees_equal_plain_loops_whatever_the_batch():
         assert np.array_equal(own[0], fitted[i]) and alone.predict(probe[i : i + 1])[0] == got[i]
 
 
+def test_labels_are_fitted_as_by_plain_loops():
+    from gaugeworks.operators import histogram_trees as ht
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(80, 3)).round(1)
+    y = (x[:, 0] + rng.normal(0, 0.3, 80) > 0.8).astype(float)
+    given = np.where(y == 1, 3.0, 1.0)
+    forest, fitted = ht.fit_forest([x], [y], [np.arange(80)], "logistic", rounds=5, depth=3, weights=[given])
+    want, ahead = _plain_trees(x, y, np.arange(80), 5, 3, given=given)
+    assert np.allclose(fitted[0], want, rtol=1e-9, atol=1e-9)
+    values = ht.forest_values(forest.feature[:, 0], forest.above[:, 0], forest.leaf[:, 0], x, step=7)
+    assert np.allclose(values, want) and np.allclose(values[:5], [ahead(v) for v in x[:5]])
+
+
 @pytest.mark.parametrize("kind", ["gbt", "random_forest"])
 def test_trees_learn_and_draw_the_same_rows(kind):
     from gaugeworks.operators import histogram_trees as ht

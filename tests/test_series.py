@@ -105,6 +105,23 @@ def test_ensemble_ranks_the_spike(series, tmp_path):
     assert np.allclose(again.loc[pdf["timestamp"]], pdf["severity"])
 
 
+def test_every_labelled_series_has_its_own_classifier(series, tmp_path):
+    """Series a has labels, series b has too few."""
+    high = series.where("kpi_id = 'a'").agg(F.percentile("value", 0.6)).first()[0]
+    labels = series.where("kpi_id = 'a' OR dayofmonth(timestamp) = 1").select(*KEY, "timestamp", (F.col("value") > high).cast("int").alias("label"))
+    config = en.EnsembleConfig(trees=5, boost_rounds=20, boost_depth=3, min_labels=20)
+    model, scored, metrics, _rejects = en.train_anomaly(series, FeaturePipeline(FeatureConfig(keys=KEY)), labels, config)
+    assert {r.kpi_id: r.xgb_used for r in metrics.collect()} == {"a": True, "b": False}
+    pdf = scored.toPandas()
+    a = pdf[pdf["kpi_id"] == "a"]
+    assert pdf[pdf["kpi_id"] == "b"]["xgboost"].isna().all() and ((a["xgboost"] > 0.5) == (a["value"] > high)).mean() > 0.95
+    model.save(str(tmp_path))
+    again = en.AnomalyEnsemble.load(series.sparkSession, str(tmp_path))
+    feats = FeaturePipeline(FeatureConfig(keys=KEY)).fit_transform(series).where("lag_28 IS NOT NULL")
+    got = again.score(feats).where("kpi_id = 'a'").toPandas().set_index("timestamp")["xgboost"]
+    assert np.allclose(got.loc[a["timestamp"]], a["xgboost"])
+
+
 def test_short_series_are_rejected_with_a_reason(spark, series):
     both = series.unionByName(spark.createDataFrame(wave(40, None).assign(kpi_id="short")))
     _m, scored, _metrics, rejects = en.train_anomaly(both, FeaturePipeline(FeatureConfig(keys=KEY)), config=en.EnsembleConfig(trees=5))
