@@ -108,7 +108,11 @@ class TableStore:
         found = self._manifests(table)
         if not found:
             raise FileNotFoundError(f"{self.root}/{table}")
-        return json.loads(self._text(found[-1]))
+        return json.loads(self._text(found[-1])) | {"number": self._number(found[-1])}
+
+    @staticmethod
+    def _number(path) -> int:
+        return int(path.getName()[len("manifest-") : -len(".json")])
 
     def _text(self, path) -> str:
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -119,10 +123,9 @@ class TableStore:
             source.close()
 
     def _commit(self, table: str, manifest: dict) -> None:
-        """Write the next manifest under another name and move it; the move fails if another writer was
-        faster."""
-        found = self._manifests(table)
-        number = int(found[-1].getName()[len("manifest-") : -len(".json")]) + 1 if found else 0
+        """Write the manifest that follows the one that was read, under another name, and move it; the
+        move fails if another writer has committed since."""
+        number = manifest.pop("number", -1) + 1
         fs, target = _fs_path(self.spark, f"{self.root}/{table}/manifest-{number:012d}.json")
         _, draft = _fs_path(self.spark, f"{self.root}/{table}/.draft-{uuid.uuid4().hex}")
         out = fs.create(draft)
@@ -142,7 +145,10 @@ class TableStore:
 
     def folders(self, table: str, buckets: Sequence[int] | None = None) -> list[str]:
         """The data folders of a table, or of some of its buckets; folders of appended rows always."""
-        m = self._manifest(table)
+        return self._folders(self._manifest(table), buckets)
+
+    @staticmethod
+    def _folders(m: dict, buckets: Sequence[int] | None = None) -> list[str]:
         wanted = m["parts"] if buckets is None else [str(b) for b in buckets if str(b) in m["parts"]]
         return [f"{m['parts'][b]}/__bucket={b}" for b in wanted] + m["appended"]
 
@@ -152,7 +158,8 @@ class TableStore:
         return self.spark.read.schema(self._schema(manifest)).parquet(*folders)
 
     def read(self, table: str) -> DataFrame:
-        return self._read(self._manifest(table), self.folders(table))
+        m = self._manifest(table)
+        return self._read(m, self._folders(m))
 
     def scan(self, sql: str, tables: Sequence[str], args: dict | None = None) -> DataFrame:
         """Run SQL over stored tables, each visible as a view of its own name."""
@@ -173,12 +180,18 @@ class TableStore:
         return True
 
     def append(self, table: str, df: DataFrame) -> None:
-        """Add rows without looking at the stored ones; new columns are added to the table."""
+        """Add rows without looking at the stored ones; new columns are added to the table. If another
+        writer commits meanwhile, the rows are added to what that one left."""
         self.ensure_table(table, df)
         folder, fresh = self._folder(table), to_stored(df)
         fresh.write.parquet(folder)
-        m = self._manifest(table)
-        self._commit(table, m | {"schema": _wider(self._schema(m), fresh.schema).jsonValue(), "appended": [*m["appended"], folder]})
+        for attempt in range(20):
+            m = self._manifest(table)
+            try:
+                return self._commit(table, m | {"schema": _wider(self._schema(m), fresh.schema).jsonValue(), "appended": [*m["appended"], folder]})
+            except RuntimeError:
+                if attempt == 19:
+                    raise
 
     def upsert(
         self,
@@ -218,7 +231,7 @@ class TableStore:
             touched = list(range(m["buckets"]))
         else:
             touched = sorted(r[0] for r in fresh.select(bucket).distinct().collect())  # a few numbers
-        existing = self._read(m, self.folders(table, touched))
+        existing = self._read(m, self._folders(m, touched))
         merged = merge_by_key(existing, fresh, key, dedupe_by)
         folder = self._folder(table)
         placed = merged.withColumn("__bucket", bucket)

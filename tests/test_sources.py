@@ -151,6 +151,30 @@ def test_column_policy_specificity():
     assert gov.column_policy(role, "hr", "salary").action == "deny"
     assert gov.column_policy(role, "pay", "salary").action == "mask"
     assert gov.column_policy(role, "pay", "name") is None
+    rules = [("*", "redact"), ("*_id", "hash"), ("hr.s*", "mask"), ("hr.*", "allow"), ("salary", "deny"), ("hr.*", "hash")]
+    role = gov.Role("r", tuple(gov.ColumnPolicy(*r) for r in rules))
+    want = {("hr", "salary"): "deny", ("hr", "size"): "mask", ("hr", "user_id"): "allow", ("pay", "user_id"): "hash", ("pay", "x"): "redact"}
+    assert {k: gov.column_policy(role, *k).action for k in want} == want
+
+
+def test_two_writers_lose_no_rows(spark, tmp_path):
+    """One writer commits between another's reading and committing: an upsert raises, an append starts over."""
+    one, two = (TableStore(spark, str(tmp_path / "store")) for _ in range(2))
+    one.upsert("t", rows(spark, [(1, "a")]), ["k"])
+    commit = one._commit
+
+    def meanwhile(table, manifest):
+        one._commit = commit
+        two.append("t", rows(spark, [(2, "b")]))
+        commit(table, manifest)
+
+    one._commit = meanwhile
+    with pytest.raises(RuntimeError):
+        one.upsert("t", rows(spark, [(3, "c")]), ["k"])
+    assert sorted(r.k for r in one.read("t").collect()) == [1, 2]
+    one._commit = meanwhile
+    one.append("t", rows(spark, [(4, "d")]))
+    assert sorted(r.k for r in one.read("t").collect()) == [1, 2, 2, 4]
 
 
 def test_enforce(spark):
