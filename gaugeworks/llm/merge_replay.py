@@ -170,17 +170,36 @@ class Merges:
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
+class _Places(dict):
+    """The place of a piece's ids; a new piece gets the next place and waits for its ids."""
+
+    def __init__(self, coder: Coder, blank: str):
+        self.coder, self.blank = coder, blank
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = place = len(self.coder.coded) + len(self.coder.fresh)
+        self.coder.fresh.append((self.blank, piece))
+        return place
+
+
 class Coder:
     """Texts to ids and back, with the words a worker process has met."""
 
-    def __init__(self, path: str, pattern: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.merges = Merges(load_ranks(path))
-        self.tokens = [b""] * (max(self.merges.ranks.values()) + 1)
+        tokens = [b""] * (max(self.merges.ranks.values()) + 1)
         for token, rank in self.merges.ranks.items():
-            self.tokens[rank] = token
-        self.find = regex.compile(pattern).findall
+            tokens[rank] = token
+        self.tokens = pa.array(tokens, pa.binary())
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.most, self.known, self.bare = most, {}, {}  # ids of pieces after a blank, and of others
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.coded: list[bytes] = []  # the ids of every piece met
+        self.fresh: list[tuple[str, str]] = []  # pieces without ids yet, those last met
+        self.bare, self.known = _Places(self, ""), _Places(self, " ")  # places of bare pieces and of those after a blank
 
     def words(self, text: str) -> list[str]:
         if _COMMON.search(text):  # letters that only one of the tables may know
@@ -197,13 +216,11 @@ class Coder:
         first, *rest = text.split(" ")
         return [first], rest
 
-    def _learn(self, bare: set[str], after_blank: set[str]) -> None:
-        words, spelled, places = {}, [], []
-        for known, pieces, blank in ((self.bare, bare, ""), (self.known, after_blank, " ")):
-            for piece in pieces:
-                own = [blank + piece] if piece.isascii() and piece.isalpha() else self.words(blank + piece)
-                spelled.append([words.setdefault(w, len(words)) for w in own])
-                places.append((known, piece))
+    def _learn(self) -> None:
+        words, spelled = {}, []
+        for blank, piece in self.fresh:
+            own = [blank + piece] if piece.isascii() and piece.isalpha() else self.words(blank + piece)
+            spelled.append([words.setdefault(w, len(words)) for w in own])
         raw = [w.encode("utf-8", "replace") for w in words]
         coded = [self.merges.ranks.get(w) for w in raw]
         parts = [i for i, r in enumerate(coded) if r is None]
@@ -213,34 +230,33 @@ class Coder:
             flat, ends = ids.astype("<i4").tobytes(), (np.cumsum(counts) * 4).tolist()
             for i, a, b in zip(parts, [0, *ends], ends):
                 coded[i] = flat[a:b]
-        for (known, piece), at in zip(places, spelled):
-            known[piece] = coded[at[0]] if len(at) == 1 else b"".join([coded[i] for i in at])
+        self.coded += [coded[at[0]] if len(at) == 1 else b"".join([coded[i] for i in at]) for at in spelled]
+        self.fresh.clear()
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        if len(self.known) + len(self.bare) > self.most:
-            self.known.clear()
-            self.bare.clear()
-        bare, after_blank = set(), set()
-        for text in texts:
-            one, rest = self._cut(text)
-            bare.update(one)
-            after_blank.update(rest)
-        bare -= self.bare.keys()
-        after_blank -= self.known.keys()
-        if bare or after_blank:
-            self._learn(bare, after_blank)
+        if len(self.coded) > self.most:
+            self._forget()
+        places = []
         for text in texts:
             one, rest = self._cut(text)
-            yield b"".join([*map(self.bare.__getitem__, one), *map(self.known.__getitem__, rest)])
+            places.append([*map(self.bare.__getitem__, one), *map(self.known.__getitem__, rest)])
+        if self.fresh:
+            self._learn()
+        for own in places:
+            yield b"".join(map(self.coded.__getitem__, own))
 
-    def decode(self, ids: Sequence[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+        """The bytes of lists of ids that lie one after the other between ``ends``."""
+        parts = self.tokens.take(ids)
+        _, offsets, data = parts.buffers()
+        at = np.frombuffer(offsets, dtype="<i4", count=len(ids) + 1)[ends] if len(ids) else np.zeros(len(ends), dtype="<i4")
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at.astype("<i4").tobytes()), data or pa.py_buffer(b"")])
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str, pattern: str) -> Coder:
-    return Coder(path, pattern)
+def _coder(path: str) -> Coder:
+    return Coder(path)
 
 
 def _runs(values: pa.Array, most: int) -> Iterator[pa.Array]:
@@ -262,41 +278,40 @@ def _id_lists(coder: Coder, texts: pa.Array, run_bytes: int) -> pa.Array:
 
 
 def _bytes_of(coder: Coder, ids: pa.Array) -> pa.Array:
-    flat, ends = ids.flatten(), ids.offsets.to_pylist()
-    rows = (flat.slice(a - ends[0], b - a).to_pylist() for a, b in zip(ends[:-1], ends[1:]))
-    return pa.array([coder.decode(row) for row in rows], pa.binary())
+    ends = ids.offsets.to_numpy()
+    return coder.decode(ids.flatten(), ends - ends[0])
 
 
-def encoder(path: str, pattern: str = public_tokenizers.PATTERN, run_bytes: int = 16 << 20) -> Callable[[Column], Column]:
+def encoder(path: str, run_bytes: int = 8 << 20) -> Callable[[Column], Column]:
     """A column function from text to ARRAY<INT> of ids."""
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = _coder(path, pattern)
+        coder = _coder(path)
         for texts in batches:
             yield _id_lists(coder, texts, run_bytes)
 
     return encode
 
 
-def decoder(path: str, pattern: str = public_tokenizers.PATTERN) -> Callable[[Column], Column]:
+def decoder(path: str) -> Callable[[Column], Column]:
     """A column function from ids to the bytes they stand for."""
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = _coder(path, pattern)
+        coder = _coder(path)
         for ids in batches:
             yield _bytes_of(coder, ids)
 
     return decode
 
 
-def round_trip(path: str, pattern: str = public_tokenizers.PATTERN, run_bytes: int = 16 << 20) -> Callable[[Column], Column]:
+def round_trip(path: str, run_bytes: int = 8 << 20) -> Callable[[Column], Column]:
     """A column function from text to its ids and the bytes these decode to, in one worker."""
 
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = _coder(path, pattern)
+        coder = _coder(path)
         for texts in batches:
             ids = _id_lists(coder, texts, run_bytes)
             yield pa.StructArray.from_arrays([ids, _bytes_of(coder, ids)], names=["ids", "decoded"])

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -17,16 +18,22 @@ def library():
 
 @pytest.fixture(scope="module")
 def coder():
-    return mr.Coder(PATH, P.PATTERN)
+    return mr.Coder(PATH)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aabc é'1\n\t !日ß"), st.characters(codec="utf-8")), max_size=60), max_size=6))
 def test_equals_the_library(coder, library, texts):
-    for text, ids in zip(texts, coder.encode(texts)):
-        ids = np.frombuffer(ids, "<i4").tolist()
-        assert ids == library.encode_ordinary(text)
-        assert coder.decode(ids) == text.encode()
+    coded = [np.frombuffer(ids, "<i4") for ids in coder.encode(texts)]
+    assert [ids.tolist() for ids in coded] == [library.encode_ordinary(text) for text in texts]
+    flat, ends = np.concatenate([*coded, np.zeros(0, "<i4")]), np.cumsum([0, *map(len, coded)])
+    assert coder.decode(pa.array(flat, pa.int32()), ends).to_pylist() == [text.encode() for text in texts]
+
+
+def test_a_full_memory_of_pieces_starts_anew(library):
+    small = mr.Coder(PATH, most=3)
+    for text in ["one two three four five", "one two", "six seven eight", "one six nine ten eleven", "one two three"]:
+        assert np.frombuffer(next(small.encode([text])), "<i4").tolist() == library.encode_ordinary(text)
 
 
 def test_small_vocabularies_with_odd_orders():
