@@ -288,7 +288,7 @@ class Group:
         return out
 
 
-def overlap_rows(a: Group, b: Group, rows: int = 128, step: int = 512) -> Iterator[tuple[int, np.ndarray]]:
+def overlap_rows(a: Group, b: Group, rows: int = 128, step: int = 512, pairs: int = 1_000_000) -> Iterator[tuple[int, np.ndarray]]:
     """Sizes of the intersections of all members of a with all of b, in runs of rows of a.
 
     Tokens that many members of b hold are counted by products of 0/1 matrices, the others by going
@@ -313,10 +313,11 @@ def overlap_rows(a: Group, b: Group, rows: int = 128, step: int = 512) -> Iterat
         total = np.zeros(n * m, dtype=np.int64)
         rare = ~dense[token] if len(token) else np.zeros(0, dtype=bool)
         t, i = token[rare], member[rare]
-        for at in range(0, len(t), 200_000):
-            k = held[t[at : at + 200_000]]
-            first = np.repeat(begin[t[at : at + 200_000]] - (np.cumsum(k) - k), k)
-            total += np.bincount(np.repeat(i[at : at + 200_000], k) * m + by_token[first + np.arange(len(first))], minlength=n * m)
+        runs = np.flatnonzero(np.diff(np.cumsum(held[t]) // pairs)) + 1  # of about ``pairs`` holders
+        for lo, hi in zip([0, *runs.tolist()], [*runs.tolist(), len(t)]):
+            k = held[t[lo:hi]]
+            first = np.repeat(begin[t[lo:hi]] - (np.cumsum(k) - k), k)
+            total += np.bincount(np.repeat(i[lo:hi], k) * m + by_token[first + np.arange(len(first))], minlength=n * m)
         total = total.reshape(n, m)
         j, i = column[token[~rare]], member[~rare]
         for at in range(0, width, step):
