@@ -20,6 +20,7 @@ ordered by text; an empty table gives an empty list; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from array import array
@@ -29,12 +30,14 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from gaugeworks.llm.pieces import regular
 from gaugeworks.llm.registry import query
@@ -106,6 +109,30 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words.astype("<u8"), escapes, table_
 
 
+def pack_runs(ids: np.ndarray, run: int = 256 * BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pack``, a run of whole blocks at a time, so that the work space does not grow with the ids."""
+    parts = [pack(ids[at : at + run]) for at in range(0, max(len(ids), 1), run)]
+    shift = np.zeros(3, dtype="<i8")
+    for words, escapes, blocks in parts:
+        blocks += shift
+        shift = shift + np.array([len(words), 0, len(escapes)])
+    words, escapes, blocks = zip(*parts)
+    return np.concatenate(words), np.concatenate(escapes), np.concatenate(blocks)
+
+
+def unpack_runs(words: np.ndarray, escapes: np.ndarray, blocks: np.ndarray, kind: str, run: int = 256) -> np.ndarray:
+    """``unpack`` of a whole file into ids of ``kind``, a run of blocks at a time."""
+    out, done = np.zeros(int(blocks[:, 1].sum()), dtype=kind), 0
+    for at in range(0, len(blocks), run):
+        rows = blocks[at : at + run]
+        stop = blocks[at + run] if at + run < len(blocks) else (len(words), 0, len(escapes))
+        first = rows[0]
+        ids = unpack(words[first[0] : stop[0]], escapes[first[2] : stop[2]], rows - np.array([first[0], 0, first[2]]))
+        out[done : done + len(ids)] = ids
+        done += len(ids)
+    return out
+
+
 def unpack(words: np.ndarray, escapes: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """The ids of the blocks, in order; ``blocks`` may be any run of rows of a file's table."""
     sel = (words >> np.uint64(60)).astype(np.int64)
@@ -148,6 +175,16 @@ def parse_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return words, escapes, blocks, np.frombuffer(raw, "<i8", 3 * n_docs, at).reshape(-1, 3)
 
 
+#: Characters whose runs the byte-level pattern cuts alike in any version of Unicode: Latin letters,
+#: digits, marks but the apostrophe. A blank belongs to the run behind it.
+_KINDS = (r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9", r"!-&(-/:-@\[-`{-~")
+_RUN = re.compile("|".join(f" ?[{kind}]+" for kind in _KINDS) + r"|\n")
+#: A piece of anything else, or with two line ends together, is left to the library's splitter.
+_SIMPLE = re.compile(rf"[{''.join(_KINDS)}\n]+")
+#: Characters of texts that are encoded together.
+SLICE = 4_000_000
+
+
 class Encoder(dict):
     """Text to ids, as bytes of little-endian numbers of ``kind``, with the tokenizers library.
 
@@ -165,38 +202,64 @@ class Encoder(dict):
         self.kind = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
         self.most, self.starts, self.code = most, {}, "H" if self.kind == "<u2" else "I"
         self.split, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
-        # how the library spells each byte of a word
-        self.spell = {b: self.split(bytes([b]).decode("latin-1"))[0][0][-1] for b in range(128)}
-        self.marks: dict[str, bytes] = {}
+        self.plain = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.pre_tokenizer.use_regex
+        self.words: dict[str, bytes] = {}
+        # how the library spells each byte of a word, read off characters of one and two bytes
+        self.spell = {}
+        for char in map(chr, range(1, 0x800)):
+            self.spell.update(zip(char.encode(), self.split(char)[0][0]))
 
     def _ids(self, piece: str) -> bytes:
         return array(self.code, [t.id for word, _ in self.split(piece) for t in self.merge(word)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        """A piece with its blank. Plain letters are one word, and a mark after letters is another."""
-        if piece.isascii() and piece.isalpha():
-            out = array(self.code, [t.id for t in self.merge(self.spell[32] + piece)]).tobytes()
-        elif piece[-1] in ",.;:!?" and piece[:-1].isalpha():
-            out = self[piece[:-1]] + (self.marks.get(piece[-1]) or self.marks.setdefault(piece[-1], self._ids(piece[-1])))
-        else:
-            out = self._ids(" " + piece)
-        self[piece] = out
+        """A piece with its blank."""
+        out = self[piece] = self._ids(" " + piece)
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Keep the ids of many pieces: all are cut by one pattern and spelled at once, and every word is
+        merged once, whatever stands around it."""
+        if not self.plain:
+            return
+        simple = [p for p in pieces if _SIMPLE.fullmatch(p) and "\n\n" not in p]
+        runs = _RUN.findall(" " + " ".join(simple)) if simple else []
+        new = list(set(runs) - self.words.keys())
+        spelled = "\0".join(new).encode().decode("latin-1").translate(self.spell).split("\0") if new else []
+        merge, code = self.merge, self.code
+        self.words.update(zip(new, [array(code, [t.id for t in merge(word)]).tobytes() for word in spelled]))
+        ids = list(map(self.words.__getitem__, runs))
+        begins = [k for k, run in enumerate(runs) if run[0] == " "]
+        ends = [*begins[1:], len(runs)]
+        self.update(zip(simple, [ids[a] if z - a == 1 else b"".join(ids[a:z]) for a, z in zip(begins, ends)]))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text; pieces that are new in all of them are encoded together."""
+        cut = [t.split(" ") if t and regular(t) and not any(token in t for token in self.added) else None for t in texts]
+        found = [list(map(self.get, pieces[1:])) if pieces else [] for pieces in cut]
+        late = [k for k, ids in enumerate(found) if None in ids]
+        self._learn({piece for k in late for piece, ids in zip(cut[k][1:], found[k]) if ids is None})
+        for k in late:
+            found[k] = map(self.__getitem__, cut[k][1:])
+        out = []
+        for text, pieces, ids in zip(texts, cut, found):
+            if pieces:
+                start = self.starts.get(pieces[0])
+                if start is None:
+                    start = self.starts[pieces[0]] = self._ids(pieces[0])
+                out.append(start + b"".join(ids))
+            else:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes() if text else b"")
         return out
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not regular(text) or any(token in text for token in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        first, *rest = text.split(" ")
-        start = self.starts.get(first)
-        if start is None:
-            start = self.starts[first] = self._ids(first)
-        return start + b"".join(map(self.__getitem__, rest))
+        return self.encode_all([text])[0]
 
     def trim(self) -> None:
         if len(self) > self.most:
             self.clear()
+        if len(self.words) > self.most:
+            self.words.clear()
         if len(self.starts) > self.most // 8:
             self.starts.clear()
 
@@ -207,6 +270,19 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path, special_as_text=False)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch, up to about ``SLICE`` bytes of text at a time; a longer text is one slice."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = int(sizes[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, done + SLICE, side="right")))
+            part = batch.slice(at, to - at)
+            yield part.column("id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
+            at = to
+
+
 _FILE = "part int, number int, path string, documents long, ids long"
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -231,7 +307,7 @@ def write_ids(
 
         def close():
             path = f"{root}/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.s8b"
-            packed = pack(np.frombuffer(b"".join(waiting), dtype=encoder.kind))
+            packed = pack_runs(np.frombuffer(b"".join(waiting), dtype=encoder.kind))
             with store.open_output_stream(path) as out:
                 out.write(file_bytes(*packed, np.array(documents)))
             row = {"part": part, "number": number, "path": path, "documents": len(documents), "ids": held}
@@ -239,12 +315,11 @@ def write_ids(
                 [row], schema=pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
             )
 
-        for batch in batches:
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encoder.encode(text or "") + end
-                waiting.append(ids)
-                documents.append((key or 0, key is not None, len(ids) // width))
-                held += len(ids) // width
+        for keys, texts in _slices(batches):
+            for key, ids in zip(keys, encoder.encode_all(texts)):
+                waiting.append(ids + end)
+                documents.append((key or 0, key is not None, len(ids) // width + 1))
+                held += documents[-1][2]
                 if held >= file_ids:
                     yield close()
                     number, documents, waiting, held = number + 1, [], [], 0
@@ -270,7 +345,7 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
                 with store.open_input_stream(path) as source:
                     words, escapes, blocks, documents = parse_file(source.read())
-                ids = unpack(words, escapes, blocks).astype("<u4")
+                ids = unpack_runs(words, escapes, blocks, "<u4")
                 size = documents[:, 2]
                 ends = np.cumsum(size)
                 crc = [zlib.crc32(ids[z - n : z].data) for z, n in zip(ends.tolist(), size.tolist())]

@@ -12,6 +12,7 @@ from gaugeworks.llm import token_files as tf
 from gaugeworks.llm.pieces import regular
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+ENCODER = tf.Encoder(PATH, special_as_text=False)
 
 
 @settings(max_examples=60, deadline=None)
@@ -46,6 +47,31 @@ def test_pieces_give_the_library_ids(text):
     assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abé'sZ9 .,!\n\t日ñ\u3000 "), max_size=30), max_size=6))
+def test_texts_encoded_together_give_the_library_ids(texts):
+    encoder, whole = ENCODER, Tokenizer.from_file(PATH)
+    for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, encoder.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_long_piece_of_marks_and_line_ends():
+    text = "x " + "ab.\n" * 50_000 + " y" + "'" * 3 + "\n\n" + "é" * 40_000
+    whole = Tokenizer.from_file(PATH)
+    assert np.frombuffer(ENCODER.encode(text), ENCODER.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [0, 1, tf.BLOCK, 3 * tf.BLOCK + 5, 9 * tf.BLOCK])
+def test_runs_of_blocks_equal_one_run(n):
+    ids = np.random.default_rng(n).integers(0, 2**20, n).astype(np.uint64)
+    if n > 5000:
+        ids[[7, 5000]] = 2**62 + 3
+    parts = tf.pack_runs(ids, run=2 * tf.BLOCK)
+    for a, b in zip(parts, tf.pack(ids), strict=True):
+        assert (a == b).all()
+    assert (tf.unpack_runs(*parts, "<u8", run=2) == ids).all()
+
+
 def test_regular():
     assert regular("a b\nc") and not regular("a  b") and not regular("a\n b") and not regular(" a") and not regular("a  b")
 
