@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 
-_SPACES = frozenset(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace() and c != 32)
+_SPACES = tuple(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace() and c != 32)
 
 
 def regular(text: str) -> bool:
@@ -18,4 +18,4 @@ def regular(text: str) -> bool:
         return False
     if text.isprintable():  # no white space but blanks
         return True
-    return not any(" " + c in text or c + " " in text for c in _SPACES.intersection(text))
+    return not any(c in text and (" " + c in text or c + " " in text) for c in _SPACES)

@@ -224,7 +224,7 @@ class Encoder(dict):
             return
         simple = [p for p in pieces if _SIMPLE.fullmatch(p) and "\n\n" not in p]
         runs = _RUN.findall(" " + " ".join(simple)) if simple else []
-        new = list(set(runs) - self.words.keys())
+        new = [run for run in set(runs) if run not in self.words]
         spelled = "\0".join(new).encode().decode("latin-1").translate(self.spell).split("\0") if new else []
         merge, code = self.merge, self.code
         self.words.update(zip(new, [array(code, [t.id for t in merge(word)]).tobytes() for word in spelled]))
@@ -233,21 +233,41 @@ class Encoder(dict):
         ends = [*begins[1:], len(runs)]
         self.update(zip(simple, [ids[a] if z - a == 1 else b"".join(ids[a:z]) for a, z in zip(begins, ends)]))
 
+    def _first(self, piece: str) -> bytes:
+        out = self.starts.get(piece)
+        if out is None:
+            out = self.starts[piece] = self._ids(piece)
+        return out
+
+    def _after_blanks(self, rests: list[str], run: int = 500_000) -> list[np.ndarray]:
+        """The ids of texts that begin behind a blank. Equal pieces are found by Arrow, looked up once, and
+        their ids dealt to their places, ``run`` pieces at a time."""
+        lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        different, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        ids = list(map(self.get, different))
+        self._learn({piece for piece, known in zip(different, ids) if known is None})
+        ids = [self[piece] if known is None else known for piece, known in zip(different, ids)]
+        flat = np.frombuffer(b"".join(ids), dtype=self.kind)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+        start, parts = np.cumsum(size) - size, []
+        for at in range(0, len(place), run):
+            own = place[at : at + run]
+            n = size[own]
+            parts.append(flat[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        ends = np.concatenate([[0], np.cumsum(size[place])])[lists.offsets.to_numpy()]
+        whole = np.concatenate(parts)
+        return [whole[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of every text; pieces that are new in all of them are encoded together."""
-        cut = [t.split(" ") if t and regular(t) and not any(token in t for token in self.added) else None for t in texts]
-        found = [list(map(self.get, pieces[1:])) if pieces else [] for pieces in cut]
-        late = [k for k, ids in enumerate(found) if None in ids]
-        self._learn({piece for k in late for piece, ids in zip(cut[k][1:], found[k]) if ids is None})
-        for k in late:
-            found[k] = map(self.__getitem__, cut[k][1:])
+        cut = [t.partition(" ") if t and regular(t) and not any(token in t for token in self.added) else None for t in texts]
+        rests = [c[2] for c in cut if c and c[2]]
+        ids = iter(self._after_blanks(rests)) if rests else iter(())
         out = []
-        for text, pieces, ids in zip(texts, cut, found):
+        for text, pieces in zip(texts, cut):
             if pieces:
-                start = self.starts.get(pieces[0])
-                if start is None:
-                    start = self.starts[pieces[0]] = self._ids(pieces[0])
-                out.append(start + b"".join(ids))
+                out.append(self._first(pieces[0]) + (next(ids).tobytes() if pieces[2] else b""))
             else:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes() if text else b"")
         return out
