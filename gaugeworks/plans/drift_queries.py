@@ -99,10 +99,10 @@ def _(spark, sf):
     return _flat(dr.compare_windows(*_windows(spark, sf, True), keys=["l_returnflag"], features=COLS), "l_returnflag")
 
 
-def _decision(keys: str, n: int) -> str:
+def _decision(keys: str, n: int, compared: str = "found") -> str:
     k = keys + ", " if keys else ""
     return f"""d AS (SELECT {k}COUNT(*) FILTER (severity = 'major') AS n_major, COUNT(*) FILTER (severity = 'minor') AS n_minor,
-  COALESCE(STRING_AGG(feature, ',' ORDER BY feature) FILTER (severity <> 'none'), '') AS drifted FROM found {'GROUP BY ' + keys if keys else ''}),
+  COALESCE(STRING_AGG(feature, ',' ORDER BY feature) FILTER (severity <> 'none'), '') AS drifted FROM {compared} {'GROUP BY ' + keys if keys else ''}),
   decision AS (SELECT {k}{n} AS n_features_checked, n_major, n_minor, drifted,
   CASE WHEN n_major > 0 THEN 'major' WHEN n_minor > 0 THEN 'minor' ELSE 'none' END AS overall_severity, n_major >= 1 OR n_minor >= 6 AS should_retrain,
   'Checked {n} numeric features · ' || n_major || ' major drift, ' || n_minor || ' minor · recommendation: ' || CASE WHEN n_major >= 1 OR n_minor >= 6 THEN 'RETRAIN' ELSE 'no action' END AS summary FROM d)"""
@@ -184,9 +184,18 @@ def _(spark, sf):
     return ad.residual_drift(guess, rows, KEY)
 
 
-@query("drift_job_all_series", "SELECT user_id, COUNT(DISTINCT user_id) AS n_features_checked FROM events GROUP BY 1")
+_USERS = """SELECT user_id, 'value' AS feature, CAST(ts >= TIMESTAMP '2024-01-16' AS INTEGER) AS side,
+  CASE WHEN ts >= TIMESTAMP '2024-01-16' AND user_id % 3 = 0 THEN value + 40 ELSE value END AS x FROM events"""
+
+
+@query("drift_job_all_series", f"""WITH {scores_sql(_USERS, 'user_id')},
+  everyone AS (SELECT user_id, feature, COALESCE(severity, 'none') AS severity FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN found USING (user_id)),
+  {_decision('user_id', 1, 'everyone')} SELECT *, overall_severity = 'major' AS "trigger", n_major + n_minor AS n_drifted FROM decision""")
 def _(spark, sf):
-    """Also users with too few events to compare get a decision."""
-    events = b.table(spark, sf, "events").select("user_id", "ts", "value")
+    """Every third user's values step up; users with too few events to compare get a decision as well."""
     early = F.col("ts") < "2024-01-16"
-    return dr.drift_job(events, early, ~early, ["user_id"], features=["value"]).select("user_id", F.col("n_features_checked").cast("long").alias("n_features_checked"))
+    moved = ~early & (F.col("user_id") % 3 == 0)
+    events = b.table(spark, sf, "events").select(
+        "user_id", "ts", F.when(moved, F.col("value") + 40).otherwise(F.col("value")).alias("value")
+    )
+    return _texted(dr.drift_job(stage(events), early, ~early, ["user_id"], features=["value"]))
