@@ -78,16 +78,36 @@ def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distance of the rows of a to the rows of b, summed component by component in order."""
+    """Euclidean distance of the rows of a to the rows of b, summed component by component in order.
+
+    A pair whose squares could overflow is divided by a power of two first, which changes no leading
+    digit; a distance beyond the range of double precision is infinite, one below 1e-162 may be 0.
+    """
     total = np.zeros(len(a))
     for j in range(a.shape[1]):
         d = a[:, j] - b[:, j]
         total += d * d
-    return np.sqrt(total)
+    out = np.sqrt(total)
+    largest = np.maximum(np.abs(a).max(axis=1), np.abs(b).max(axis=1))
+    huge = np.flatnonzero(largest > 1e150)
+    if len(huge):
+        unit = np.ldexp(1.0, np.frexp(largest[huge])[1] - 1)
+        parts = (a[huge] / unit[:, None]) - (b[huge] / unit[:, None])
+        out[huge] = np.sqrt((parts * parts).sum(axis=1)) * unit
+    return out
 
 
 def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, step: int = 1024) -> pd.DataFrame:
-    """The k nearest rows of one candidate block for each row of one query block."""
+    """The k nearest rows of one candidate block for each row of one query block.
+
+    A pair whose bound is not a finite number (components so large or so small that squares or scales
+    leave the range) is kept, and its distance decides.
+    """
+    with np.errstate(all="ignore"):
+        return _tile(qid, q, cid, c, k, step)
+
+
+def _tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, step: int) -> pd.DataFrame:
     q, c = q.astype(np.float64), c.astype(np.float64)
     q_codes, q_scale, q_rest = quantise(q)
     # whole numbers below 2^24 are exact in single precision, and its product is the fast one
@@ -108,14 +128,14 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int,
         limit = worst
         if len(part) >= k:
             limit = np.minimum(worst, np.partition(upper, k - 1, axis=1)[:, k - 1])
-        left, right = np.nonzero((square - error <= limit[:, None] * (1 + 1e-12)) & ~own)
+        left, right = np.nonzero(~(square - error > limit[:, None] * (1 + 1e-12)) & ~own)
         for i, j, d in zip(left.tolist(), part_id[right].tolist(), distances(q[left], part[right]).tolist()):
             entry = (-d, -j)
             if len(heaps[i]) < k:
                 heapq.heappush(heaps[i], entry)
             elif entry > heaps[i][0]:
                 heapq.heapreplace(heaps[i], entry)
-        worst = np.array([h[0][0] ** 2 if len(h) == k else np.inf for h in heaps])
+        worst = np.square([h[0][0] if len(h) == k else np.inf for h in heaps])
     rows = [(i, -j, -d) for i, h in zip(qid.tolist(), heaps) for d, j in h]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 

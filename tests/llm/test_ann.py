@@ -60,3 +60,20 @@ def test_bounds_hold():
     for i in range(40):
         mine = out[out["query_id"] == i].sort_values(["score", "vec_id"])
         assert mine["vec_id"].tolist() == (np.argsort(d[i], kind="stable")[:10] + 1000).tolist()
+
+
+@pytest.mark.parametrize("size", [1e200, 1e154, 3e307])
+def test_components_whose_squares_leave_the_range(size):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 6)) * np.where(rng.random(60) < 0.5, size, 1.0)[:, None]
+    v[0] = v[1] = size  # a tie at distance 0
+    ids = np.arange(60)
+    with np.errstate(all="ignore"):
+        got = ann.tile(ids[:9], v[:9], ids, v, 5, step=16)
+        wide = v.astype(np.longdouble)
+        for i in range(9):
+            d = np.sqrt(((wide[i] - wide) ** 2).sum(axis=1)).astype(float)
+            want = sorted((x, j) for j, x in enumerate(d) if j != i)[:5]
+            mine = sorted((r.score, r.vec_id) for r in got[got.query_id == i].itertuples())
+            assert [j for _, j in mine] == [j for _, j in want]
+            assert np.allclose([x for x, _ in mine], [x for x, _ in want], rtol=1e-12)
