@@ -134,11 +134,14 @@ def doc_aggregate(df: DataFrame, stages: Sequence[dict]) -> DataFrame:
     return df
 
 
-def docs_to_table(df: DataFrame, json_column: str, order_by: str, columns: Sequence[str] | None = None) -> DataFrame:
+def docs_to_table(
+    df: DataFrame, json_column: str, order_by: str, columns: Sequence[str] | None = None, most: int = 2000
+) -> DataFrame:
     """JSON texts with differing keys as one table: a text column per key, in first-seen order.
 
-    The columns of a table are part of its plan, so the key names reach the driver. Give ``columns``
-    where the keys are many or known, or use :func:`docs_to_map`, which keeps them in the rows.
+    The columns of a table are part of its plan, so the key names reach the driver. More than ``most``
+    of them are an error, none is left out: give ``columns``, or use :func:`docs_to_map`, which keeps
+    any number of keys in the rows.
     """
     doc = F.from_json(json_column, "map<string,string>")
     kept = [c for c in df.columns if c != json_column]
@@ -149,8 +152,11 @@ def docs_to_table(df: DataFrame, json_column: str, order_by: str, columns: Seque
         .groupBy("k")
         .agg(F.min(order_by).alias("first"))
         .orderBy("first", "k")
+        .limit(most + 1)
         .collect()
     )
+    if len(keys) > most:
+        raise ValueError(f"the documents have more than {most} different keys; name the columns or use docs_to_map")
     return df.withColumn("__doc", doc).select(*kept, *[F.col("__doc")[r["k"]].alias(r["k"]) for r in keys])
 
 

@@ -142,6 +142,9 @@ def test_documents(spark):
         docs.doc_aggregate(d, [{"$lookup": {}}])
     j = rows(spark, [(1, '{"b": 1}'), (2, '{"a": 2, "b": 3}')], "i int, j string")
     assert docs.docs_to_table(j, "j", "i").columns == ["i", "b", "a"]
+    assert docs.docs_to_table(j, "j", "i", most=2).columns == ["i", "b", "a"]
+    with pytest.raises(ValueError):
+        docs.docs_to_table(j, "j", "i", most=1)
     compound = docs.doc_aggregate(d, [{"$group": {"_id": {"g": "$g"}, "n": {"$sum": 1}}}]).collect()
     assert {r["_id"] for r in compound} == {'{"g":"x"}', "{}"}
 
