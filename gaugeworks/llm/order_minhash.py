@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gaugeworks.functions.ordering import in_ranges
 from gaugeworks.llm.registry import query
 from gaugeworks.plans.bindings import table
-from gaugeworks.session import prepare, stage
+from gaugeworks.session import prepare
 
 #: Pieces of a k-mer.
 K = 4
@@ -70,11 +71,16 @@ def add_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         """How many equal k-mers stand before this one: the furthest equal one, by bisection."""
 
         def equal(back: Column) -> Column:
-            return _hash_of(F.get(s, j - back)) == _hash_of(x)
+            return F.coalesce(_hash_of(F.get(s, j - back)) == _hash_of(x), F.lit(False))
 
-        steps = F.array(*[F.lit(1 << b) for b in range(_PLACE_BITS - 1, -1, -1)])
-        far = F.aggregate(steps, F.lit(0), lambda d, step: F.when(equal(d + step), d + step).otherwise(d))
-        return F.when(equal(F.lit(1)), far).otherwise(F.lit(0))
+        def search(bits: int) -> Column:
+            steps = F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)])
+            return F.aggregate(steps, F.lit(0), lambda d, step: F.when(equal(d + step), d + step).otherwise(d))
+
+        far = F.when(~equal(F.lit(1)), 0)  # most k-mers occur once, most others a few times
+        for bits in (3, 9):
+            far = far.when(~equal(F.lit(1 << bits)), search(bits))
+        return far.otherwise(search(_PLACE_BITS))
 
     numbered = F.transform(s, lambda x, j: _packed(F.xxhash64(_hash_of(x), occurrence(x, j)), _place_of(x)))
     found = found.withColumn("__v", F.sort_array(numbered)).drop("__s")
@@ -114,8 +120,7 @@ def following(rows: DataFrame, id_col: str, key: str) -> DataFrame:
     Rows are range-partitioned by id; a partition's first row takes the last of the partition before,
     from a table of one row per partition.
     """
-    parts = rows.repartitionByRange(F.col(id_col), F.col(key)).withColumn("__p", F.spark_partition_id())
-    parts = stage(parts)
+    parts = in_ranges(rows, [], [id_col, key]).drop("__i").withColumnRenamed("__b", "__p")
     at = Window.partitionBy("__p").orderBy(F.col(id_col).asc_nulls_first(), key)
     inside = parts.withColumn("__before", F.lag(key).over(at))
     order = F.struct(F.coalesce(F.col(id_col), F.lit(-(1 << 63))), F.col(id_col).isNotNull(), F.col(key))
@@ -131,22 +136,37 @@ def op5_order_minhash(spark, sf) -> DataFrame:
     docs = table(prepare(spark), sf, "documents")
     text = F.coalesce("text", F.lit(""))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text)
-    texts = docs.select(key.alias("key"), text.alias("text"))
     ids = docs.select("doc_id", key.alias("key"), F.length(text).cast("long").alias("n_chars")).distinct()
-    ids = stage(following(ids, "doc_id", "key"))
-    # the first third of what follows, as many characters as the text loses
-    wanted = ids.select(F.col("key").alias("to"), F.col("next").alias("key"), (F.floor(F.col("n_chars") / 3)).cast("int").alias("cut"))
-    heads = texts.join(wanted, "key").groupBy(F.col("to").alias("key")).agg(
-        F.first(F.expr("substring(text, 1, cut)")).alias("head")
+    ids = following(ids, "doc_id", "key")
+    # a document and the one that asks for its head stand in one row: no text meets another in a join
+    facts = ["doc_id", "n_chars", "copies", "text"]
+    own = docs.select(key.alias("key"), "doc_id", text.alias("text"), F.lit(1).cast("long").alias("copies"))
+    asks = ids.select(F.col("next").alias("key"), F.col("key").alias("to"), F.floor(F.col("n_chars") / 3).cast("int").alias("cut"))
+    rows = own.unionByName(asks, allowMissingColumns=True).groupBy("key").agg(
+        F.sum("copies").alias("copies"), *[F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "text", "to", "cut")]
+    )
+    rows = add_fingerprint(rows, "text", "fp").withColumn("n_chars", F.length("text").cast("long"))
+    kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
+    # each sends the head it was asked for, with its fingerprint, and the rest of its own text to itself
+    sent = F.array(
+        F.struct(F.col("key"), "doc_id", "n_chars", "copies", kept.alias("text"), "fp", *_nulls(head="string", next_fp="array<bigint>")),
+        F.struct(
+            F.col("to").alias("key"), *_nulls(doc_id=docs.schema["doc_id"].dataType, n_chars="long", copies="long", text="string", fp="array<bigint>"),
+            F.substring("text", F.lit(1), F.col("cut")).alias("head"), F.col("fp").alias("next_fp"),
+        ),
+    )
+    met = rows.select(F.inline(sent)).groupBy("key").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in (*facts, "fp", "head", "next_fp")]
     )
-    joined = texts.join(heads, "key").join(ids, "key")
-    kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")
-    edited = joined.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), F.col("head"))).drop("head")
-    made = add_fingerprint(edited, "text", "fp").drop("text").withColumn("edited_sha256", F.sha2("edited", 256))
-    made = stage(add_fingerprint(made, "edited", "edited_fp").drop("edited"))
-    after = made.groupBy(F.col("key").alias("next")).agg(F.first("fp").alias("next_fp"))
-    return made.join(after, "next").select(
+    edited = met.withColumn("edited", F.concat("text", "head")).drop("text", "head")
+    made = add_fingerprint(edited, "edited", "edited_fp").withColumn("edited_sha256", F.sha2("edited", 256))
+    repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return made.drop("edited").withColumn("copy", repeated).select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
+
+
+def _nulls(**columns) -> list[Column]:
+    return [F.lit(None).cast(t).alias(c) for c, t in columns.items()]
