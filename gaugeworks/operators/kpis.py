@@ -8,6 +8,7 @@ have a function each and give rows of the same shape.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -130,6 +131,31 @@ def compute_kpis(df: DataFrame, exprs: dict[str, str], keys: Sequence[str] = (),
     return wide.unpivot([*keys, "period"], list(exprs), "kpi_id", "value").select(*keys, "kpi_id", "period", "value")
 
 
+def compute_boards(base: DataFrame, tables: dict[str, tuple[list, dict[str, str]]], period: Column) -> DataFrame:
+    """KPIs of several domain tables over one base in a single aggregate: (kpi_id, period, value).
+
+    ``tables`` gives, by name, the table's columns over the base and the expressions wanted of it. Columns
+    are named after their table, in the expressions too; those no expression uses are pruned at the scan.
+    """
+    columns, exprs = [], {}
+    for table, (wanted, formulas) in tables.items():
+        names = base.select(*wanted).columns
+        columns += [(F.col(c) if isinstance(c, str) else c).alias(f"{table}__{n}") for c, n in zip(wanted, names)]
+        # names of columns are neither quoted nor called
+        name = re.compile(rf"('[^']*')|\b({'|'.join(names)})\b(?!\s*\()")
+        for kpi_id, expr in formulas.items():
+            exprs[kpi_id] = name.sub(lambda m, t=table: m[1] or f"{t}__{m[2]}", expr)
+    return compute_kpis(base.select(period.alias("__period"), *columns), exprs, period=F.col("__period"))
+
+
+def with_target() -> set[str]:
+    return {k.id for k in CATALOG if k.target is not None}
+
+
+def on_boards() -> set[str]:
+    return {k for _, kpis in AUDIENCES.values() for k in kpis}
+
+
 def compute_kpi(df: DataFrame, kpi_id: str, keys: Sequence[str] = (), period: Column | None = None) -> DataFrame:
     formula = FORMULAS[kpi_id]
     if formula.archetype not in ONE_PASS:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from gaugeworks.operators import kpis as kp
 from gaugeworks.plans import bindings as b
 from gaugeworks.plans.registry import query
-from gaugeworks.session import stage
 
 # domain tables -----------------------------------------------------------------------------
 
@@ -29,12 +28,15 @@ def _part(expr: str):
     return F.expr(expr).cast("decimal(18,4)")
 
 
-def ledger(spark, sf) -> DataFrame:
+def _lines_and_first_year(spark, sf) -> DataFrame:
     # the customer's first year joins the orders before the far more numerous lines do
     orders = b.table(spark, sf, "orders")
     first = orders.groupBy("o_custkey").agg(F.year(F.min("o_orderdate")).alias("first_year"))
-    rows = b.table(spark, sf, "lineitem").join(orders.join(first, "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(
+    return b.table(spark, sf, "lineitem").join(orders.join(first, "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def ledger_columns() -> list:
+    return [
         F.col("o_orderdate").alias("ts"),
         F.col("o_custkey").alias("customer_id"),
         F.when(F.year("o_orderdate") == F.col("first_year"), F.col("o_custkey")).alias("new_customer_id"),
@@ -51,12 +53,12 @@ def ledger(spark, sf) -> DataFrame:
         _part("o_totalprice").alias("cash_balance"),
         F.col("l_orderkey").alias("doc"),
         "l_linenumber",
-    )
+    ]
 
 
-def opportunity(spark, sf) -> DataFrame:
+def opportunity_columns() -> list:
     status = F.col("o_orderstatus")
-    return _lines(spark, sf).select(
+    return [
         F.col("o_orderdate").alias("ts"),
         F.when(status == "F", "won").when(status == "P", "lost").otherwise("open").alias("stage"),
         _price().alias("amount"),
@@ -71,7 +73,7 @@ def opportunity(spark, sf) -> DataFrame:
         _part("l_extendedprice * l_tax").alias("expansion"),
         _part("l_extendedprice * l_discount").alias("churn"),
         _part("l_quantity").alias("contraction"),
-    )
+    ]
 
 
 def request(spark, sf) -> DataFrame:
@@ -92,8 +94,8 @@ def request(spark, sf) -> DataFrame:
     )
 
 
-def employee(spark, sf) -> DataFrame:
-    return _lines(spark, sf).select(
+def employee_columns() -> list:
+    return [
         F.col("o_orderdate").alias("ts"),
         F.col("o_custkey").alias("employee_id"),
         (F.col("l_linestatus") == "O").alias("active"),
@@ -108,11 +110,11 @@ def employee(spark, sf) -> DataFrame:
         (F.col("l_returnflag") == "A").alias("underrepresented"),
         (F.col("l_linestatus") == "F").alias("contractor"),
         _part("l_extendedprice * l_discount").alias("recruiting_spend"),
-    )
+    ]
 
 
-def ticket(spark, sf) -> DataFrame:
-    return _lines(spark, sf).select(
+def ticket_columns() -> list:
+    return [
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.col("o_custkey").alias("customer_id"),
         (F.col("l_quantity").cast("long") % 11).alias("score"),
@@ -120,12 +122,12 @@ def ticket(spark, sf) -> DataFrame:
         _price().alias("arr"),
         F.timestamp_add("MINUTE", F.col("l_linenumber"), F.col("o_orderdate").cast("timestamp")).alias("first_response"),
         F.col("l_shipdate").cast("timestamp").alias("resolved_at"),
-    )
+    ]
 
 
-def transaction(spark, sf) -> DataFrame:
+def transaction_columns() -> list:
     pri = F.substring("o_orderpriority", 1, 1)
-    return _lines(spark, sf).select(
+    return [
         F.col("o_orderdate").alias("ts"),
         _price().alias("amount"),
         (F.col("l_returnflag") == "R").alias("fraud"),
@@ -134,11 +136,11 @@ def transaction(spark, sf) -> DataFrame:
         (F.col("l_tax") > 0.05).alias("aml"),
         F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"),
         F.when(pri == "1", "critical").when(pri == "2", "high").when(pri == "3", "medium").otherwise("low").alias("severity"),
-    )
+    ]
 
 
-def deploy(spark, sf) -> DataFrame:
-    return _lines(spark, sf).select(
+def deploy_columns() -> list:
+    return [
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.col("o_custkey").alias("user_id"),
         (F.col("l_returnflag") == "R").alias("uses_feature"),
@@ -146,8 +148,25 @@ def deploy(spark, sf) -> DataFrame:
         (F.col("l_linestatus") == "F").alias("failed"),
         F.concat(F.lit("P"), F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("priority"),
         F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"),
-    )
+    ]
+
+
+LINE_TABLES = {
+    "ledger": ledger_columns, "opportunity": opportunity_columns, "employee": employee_columns,
+    "ticket": ticket_columns, "transaction": transaction_columns, "deploy": deploy_columns,
+}
+
+
+def _line_base(spark, sf, tables) -> DataFrame:
+    """Order lines with what the named tables need."""
+    return (_lines_and_first_year if "ledger" in tables else _lines)(spark, sf)
+
+
+def _on_lines(name: str):
+    return lambda spark, sf: _line_base(spark, sf, [name]).select(*LINE_TABLES[name]())
+
 
+ledger, opportunity, employee, ticket, transaction, deploy = (_on_lines(t) for t in LINE_TABLES)
 
 TABLES = {
     "ledger": ledger, "opportunity": opportunity, "request": request, "employee": employee,
@@ -396,8 +415,14 @@ def _(spark, sf):
 # thresholds and dashboards -----------------------------------------------------------------
 
 
-def _many(spark, sf, *tables: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [one_pass(spark, sf, t) for t in tables])
+def _wanted(spark, sf, ids, *tables: str) -> DataFrame:
+    """The KPIs in ``ids`` of several domain tables: one pass over the order lines, one over the events."""
+    picked = {t: {k: e for k, e in kp.one_pass_kpis(t).items() if k in ids} for t in tables}
+    lines = {t: (LINE_TABLES[t](), exprs) for t, exprs in picked.items() if t in LINE_TABLES and exprs}
+    parts = [kp.compute_boards(_line_base(spark, sf, lines), lines, F.date_format("o_orderdate", "yyyy"))] if lines else []
+    if picked.get("request"):
+        parts.append(kp.compute_kpis(request(spark, sf), picked["request"], period=_daily()))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("kpi_alerts", f"""WITH v AS ({_pass_sql('ledger')} UNION ALL {_pass_sql('request')}), t(kpi_id, thr) AS (VALUES ('fin_budget_variance', 10.0::DOUBLE), ('ops_error_rate', 1.0::DOUBLE)),
@@ -406,7 +431,7 @@ def _many(spark, sf, *tables: str) -> DataFrame:
   SELECT kpi_id, period, value, previous, ROUND(delta_pct, 6) AS delta_pct, thr AS alert_threshold_pct, COALESCE(ABS(delta_pct) > thr, FALSE) AS alert
   FROM d LEFT JOIN t USING (kpi_id)""")
 def _(spark, sf):
-    out = kp.kpi_alerts(_six(_many(spark, sf, "ledger", "request")))
+    out = kp.kpi_alerts(_six(_wanted(spark, sf, set(kp.FORMULAS), "ledger", "request")))
     return out.withColumn("delta_pct", F.round("delta_pct", 6))
 
 
@@ -415,7 +440,7 @@ def _(spark, sf):
   ('hr_engagement_score', 4.0::DOUBLE), ('cust_nps', 50.0::DOUBLE))
   SELECT kpi_id, period, value, target, ROUND(value - target, 6) AS gap, value - target >= 0 AS met FROM v JOIN t USING (kpi_id)""")
 def _(spark, sf):
-    out = kp.kpi_vs_target(_six(_many(spark, sf, "opportunity", "ticket", "employee", "request")))
+    out = kp.kpi_vs_target(_six(_wanted(spark, sf, kp.with_target(), "opportunity", "ticket", "employee", "request")))
     return out.withColumn("gap", F.round("gap", 6))
 
 
@@ -428,5 +453,4 @@ _BOARD = ", ".join(
   a(audience, position, kpi_id) AS (VALUES {_BOARD})
   SELECT kpi_id, period, value, audience, position FROM v JOIN a USING (kpi_id)""")
 def _(spark, sf):
-    rows = stage(_six(_many(spark, sf, "ledger", "opportunity", "employee", "transaction", "deploy")))
-    return kp.audience_dashboard(rows)
+    return kp.audience_dashboard(_six(_wanted(spark, sf, kp.on_boards(), "ledger", "opportunity", "employee", "transaction", "deploy")))

@@ -1,9 +1,13 @@
+import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks.functions.kpi_catalog import AUDIENCES, CATALOG
 from gaugeworks.operators import kpis as kp
+from gaugeworks.plans import kpi_queries  # noqa: F401  registers the queries
+from gaugeworks.plans.registry import QUERIES
 
 
 def test_every_catalog_kpi_has_a_formula():
@@ -43,3 +47,22 @@ def test_alerts_and_targets(spark):
     assert alerts == {("ops_error_rate", "1"): False, ("ops_error_rate", "2"): True, ("ops_uptime", "1"): False}
     target = kp.kpi_vs_target(rows).collect()
     assert len(target) == 1 and target[0]["gap"] == pytest.approx(-0.009) and not target[0]["met"]
+
+
+def test_one_pass_over_several_tables(spark):
+    """The tables share column names, and literals look like names."""
+    base = spark.createDataFrame([(1, "a", 5), (1, "b", 7), (2, "a", 1)], "p int, s string, v int")
+    tables = {
+        "x": ([F.col("s").alias("status"), F.col("v").alias("amount")], {"k1": "sum(amount) filter (where status = 'amount')", "k2": "double(sum(amount))"}),
+        "y": ([F.when(F.col("s") == "a", "amount").otherwise("no").alias("status"), "v"], {"k3": "sum(v) filter (where status = 'amount')"}),
+    }
+    got = {(r.kpi_id, r.period): r.value for r in kp.compute_boards(base, tables, F.col("p")).collect()}
+    assert got == {("k1", 1): None, ("k1", 2): None, ("k2", 1): 12.0, ("k2", 2): 1.0, ("k3", 1): 5.0, ("k3", 2): 1.0}
+
+
+@pytest.mark.parametrize("name,facts", [("audience_dashboard", ["lineitem"]), ("kpi_vs_target", ["lineitem", "events"])])
+def test_boards_scan_each_fact_once(spark, capsys, name, facts):
+    QUERIES[name](spark, "/root/testdata/sf0.001").explain("formatted")
+    plan = capsys.readouterr().out
+    for fact in facts:
+        assert len(re.findall(rf"Location: .*/{fact}\.parquet", plan)) == 1
