@@ -145,13 +145,13 @@ def op5_order_minhash(spark, sf) -> DataFrame:
     rows = own.unionByName(asks, allowMissingColumns=True).groupBy("key").agg(
         F.sum("copies").alias("copies"), *[F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "text", "to", "cut")]
     )
-    rows = add_fingerprint(rows, "text", "fp").withColumn("n_chars", F.length("text").cast("long"))
+    rows = add_fingerprint(rows, "text", "fp").withColumn("fp", _narrow(F.col("fp"))).withColumn("n_chars", F.length("text").cast("long"))
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
     # each sends the head it was asked for, with its fingerprint, and the rest of its own text to itself
     sent = F.array(
-        F.struct(F.col("key"), "doc_id", "n_chars", "copies", kept.alias("text"), "fp", *_nulls(head="string", next_fp="array<bigint>")),
+        F.struct(F.col("key"), "doc_id", "n_chars", "copies", kept.alias("text"), "fp", *_nulls(head="string", next_fp="array<int>")),
         F.struct(
-            F.col("to").alias("key"), *_nulls(doc_id=docs.schema["doc_id"].dataType, n_chars="long", copies="long", text="string", fp="array<bigint>"),
+            F.col("to").alias("key"), *_nulls(doc_id=docs.schema["doc_id"].dataType, n_chars="long", copies="long", text="string", fp="array<int>"),
             F.substring("text", F.lit(1), F.col("cut")).alias("head"), F.col("fp").alias("next_fp"),
         ),
     )
@@ -159,6 +159,7 @@ def op5_order_minhash(spark, sf) -> DataFrame:
         *[F.first(c, ignorenulls=True).alias(c) for c in (*facts, "fp", "head", "next_fp")]
     )
     edited = met.withColumn("edited", F.concat("text", "head")).drop("text", "head")
+    edited = edited.withColumns({c: _wide(F.col(c)) for c in ("fp", "next_fp")})
     made = add_fingerprint(edited, "edited", "edited_fp").withColumn("edited_sha256", F.sha2("edited", 256))
     repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return made.drop("edited").withColumn("copy", repeated).select(
@@ -168,5 +169,14 @@ def op5_order_minhash(spark, sf) -> DataFrame:
     )
 
 
+def _narrow(values: Column) -> Column:
+    """Values below 2^32 as 32-bit numbers, half the bytes to shuffle."""
+    return F.transform(values, lambda x: (x - F.lit(1 << 31)).cast("int"))
+
+
+def _wide(values: Column) -> Column:
+    return F.transform(values, lambda x: x.cast("long") + F.lit(1 << 31))
+
+
 def _nulls(**columns) -> list[Column]:
     return [F.lit(None).cast(t).alias(c) for c, t in columns.items()]
