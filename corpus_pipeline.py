@@ -31,9 +31,9 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at equal weights, so far as none is repeated more than twice: a row for each copy of a
-    document, in the order of the mix. Every document is in it at least once."""
-    return mixing.written_in_order(mixing.mix_sources(docs, **mixing.TARGET)).select(*docs.columns)
+    """The sources at their weights within the tokens there are: a row for each copy of a document, in the
+    order of the mix."""
+    return mixing.written_in_order(mixing.mix_sources(docs)).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
