@@ -37,8 +37,10 @@ def _days(a: str, b: str) -> str:
 
 
 def _span(a: str, b: str, seconds: int) -> str:
-    """Mean of a - b in units of ``seconds``, from exact integer microseconds."""
-    return f"try_divide(double(sum(unix_micros({a}) - unix_micros({b}))), double(count(*))) / {seconds}000000.0"
+    """Mean of a - b in units of ``seconds``, from exact integer microseconds. A sum of long numbers would
+    overflow at some hundred thousand rows of months each."""
+    micros = f"cast(unix_micros({a}) - unix_micros({b}) as decimal(20, 0))"
+    return f"try_divide(double(sum({micros})), double(count(*))) / {seconds}000000.0"
 
 
 FORMULAS = {

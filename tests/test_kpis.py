@@ -66,3 +66,16 @@ def test_boards_scan_each_fact_once(spark, capsys, name, facts):
     plan = capsys.readouterr().out
     for fact in facts:
         assert len(re.findall(rf"Location: .*/{fact}\.parquet", plan)) == 1
+
+
+@pytest.mark.parametrize("table,kpi_id,later,unit", [
+    ("deploy", "prod_lead_time_changes", "deploy_time", 3600), ("ticket", "cust_resolution_time", "resolved_at", 3600),
+    ("ticket", "cust_first_response_time", "first_response", 60), ("request", "ops_mttr", "resolved_at", 60),
+])
+def test_spans_whose_sum_passes_a_long(spark, table, kpi_id, later, unit):
+    """Forty spans of 8,000 years are more microseconds than a long number holds."""
+    rows = spark.range(40).selectExpr("timestamp'1000-01-01' AS ts", f"timestamp'9000-01-01' AS {later}", "1 AS p")
+    days = (datetime(9000, 1, 1) - datetime(1000, 1, 1)).days
+    assert kp.compute_kpi(rows, kpi_id).first()["value"] == pytest.approx(days * 86400 / unit)
+    board = kp.compute_boards(rows, {table: (["ts", later], {kpi_id: kp.FORMULAS[kpi_id].expr})}, F.col("p"))
+    assert board.first()["value"] == pytest.approx(days * 86400 / unit)
