@@ -71,3 +71,24 @@ def test_ratio_is_per_symbol():
     assert one[0] == pytest.approx((uf.log_likelihood(a, code) - uf.log_likelihood(b, code)).sum() / n[0])
     cut = uf.threshold(np.array([0.5, 0.7, 0.9]), np.array([0.1, 0.2]))
     assert 0.2 < cut <= 0.5
+
+
+def test_all_examples_count(spark):
+    """More than 4,000 examples a class, one of them long: scores and verdicts of the plain functions over all of them."""
+    rng = np.random.default_rng(2)
+    urls = [f"http://a{i % 7}.{'com' if i % 9 else 'net'}/{['fr', 'de'][i % 2]}/{int(rng.integers(10**6))}/{i}" for i in range(12000)]
+    urls += ["http://a.com/fr/" + "long/" * 600, "http://a.com/de/é", "none", None]
+    df = spark.createDataFrame([(u,) for u in urls + urls[:50]], "url string").repartition(5)
+    rules = [("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    got = uf.filter_urls(df, rules).collect()
+    assert len(got) == len(urls) + 50
+    told = {v: sorted({u.split("://", 1)[1] for u in urls if u and f".com/{p}/" in u or u and f"a.com/{p}/" in u}) for v, p in (("allow", "fr"), ("block", "de"))}
+    assert min(len(t) for t in told.values()) > 4000
+    models = [uf.fit_markov([t for i, t in enumerate(told[v]) if i % 4]) for v in ("allow", "block")]
+    cut = uf.threshold(*[uf.ratio(*models, told[v][::4]) for v in ("allow", "block")])
+    texts = [(r.url or "").split("://", 1)[-1] for r in got]
+    want = uf.ratio(*models, texts)
+    assert np.abs(want - [r.score for r in got]).max() < 1e-8
+    for r, w in zip(got, want):
+        if r.rule is None and abs(w - cut) > 1e-8:
+            assert r.verdict == ("allow" if w >= cut else "block")
