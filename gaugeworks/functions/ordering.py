@@ -19,6 +19,23 @@ from gaugeworks.session import stage
 
 # Rows a range of the order holds, about.
 RANGE_ROWS = 250_000
+# Rows of a fact a task joins and aggregates, about.
+TASK_ROWS = 500_000
+
+
+def parts_of(df: DataFrame, rows: int) -> int | None:
+    """How many parts of about ``rows`` rows ``df`` has, if these are more than Spark makes by itself."""
+    wanted = -(-df.count() // rows)
+    return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def join_in_parts(left: DataFrame, right: DataFrame, left_key: str, right_key: str, rows: int = TASK_ROWS) -> DataFrame:
+    """Inner join of a fact with a table whose keys are spread evenly, in tasks of about ``rows`` rows of
+    the fact: what a task sorts and aggregates does not grow with the fact."""
+    parts = parts_of(left, rows)
+    if parts:
+        left, right = left.repartition(parts, left_key), right.repartition(parts, right_key)
+    return left.join(right, F.col(left_key) == F.col(right_key))
 
 
 def in_ranges(
@@ -35,8 +52,7 @@ def in_ranges(
     marked = df.withColumn("__i", F.monotonically_increasing_id())
     columns = [*keys, *order_by, "__i"]
     if parts is None:
-        wanted = -(-df.count() // RANGE_ROWS)
-        parts = wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+        parts = parts_of(df, RANGE_ROWS)
     ranged = marked.repartitionByRange(parts, *columns) if parts else marked.repartitionByRange(*columns)
     if local:
         ranged = local(ranged.sortWithinPartitions(*columns))

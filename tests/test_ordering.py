@@ -129,3 +129,13 @@ def test_ranges_are_even_when_one_order_value_is_frequent(spark):
     assert max(sizes.values()) <= 2 * 20_000 / 8
     got = [r["rn"] for r in ordered_index(df, ["k"], ["t"], buckets=8).select("rn").collect()]
     assert sorted(got) == list(range(1, 20_001))
+
+
+def test_join_in_parts_has_tasks_of_so_many_rows(spark):
+    left = spark.range(2000).selectExpr("id % 700 AS a", "id AS v")
+    right = spark.range(600).selectExpr("id AS b", "id * 2 AS w")
+    joined = od.join_in_parts(left, right, "a", "b", rows=100)
+    plain = left.join(right, left.a == right.b)
+    assert od.parts_of(left, 100) == 20 and od.parts_of(left, 1000) is None
+    assert "20, REPARTITION_BY_NUM" in joined._jdf.queryExecution().toString().replace("), REPART", ", REPART")
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, plain.collect()))
