@@ -22,15 +22,19 @@ CHUNK_ROWS = 65_536  # rows one task walks through
 # splits that may be tried: powers of two and multiples of 32, in the order they are tried
 SPLITS = np.array(sorted({2**k for k in range(3, 11)} | set(range(32, MAX_WINDOW + 1, 32))))
 BLOCK = 256  # rows checked at once
+AFTER_DRIFT = 32  # rows checked at once after a drift, then twice as many until there are BLOCK
 
 
 def first_cuts(p1: np.ndarray, p2: np.ndarray, ends: np.ndarray, widths: np.ndarray, delta: float) -> np.ndarray:
     """For windows of ``widths`` rows ending before ``ends``: the first split whose sides differ by
     more than the bound, or 0. ``p1`` and ``p2`` are prefix sums of the values and their squares."""
+    splits = SPLITS[SPLITS < widths.max() - 8]  # no window is wide enough for the others
+    if not len(splits):
+        return np.zeros(len(widths), dtype=SPLITS.dtype)
     n = widths[:, None].astype(float)
-    start, n0 = (ends - widths)[:, None], SPLITS[None, :].astype(float)
-    usable = (SPLITS[None, :] < widths[:, None] - 8) & (widths[:, None] >= SILENT_BELOW)
-    at = np.minimum(start + SPLITS[None, :], len(p1) - 1)
+    start, n0 = (ends - widths)[:, None], splits[None, :].astype(float)
+    usable = (splits[None, :] < widths[:, None] - 8) & (widths[:, None] >= SILENT_BELOW)
+    at = np.minimum(start + splits[None, :], len(p1) - 1)
     n1 = np.maximum(n - n0, 1.0)
     s0, q0 = p1[at] - p1[start], p2[at] - p2[start]
     s1, q1 = p1[ends][:, None] - p1[at], p2[ends][:, None] - p2[at]
@@ -39,7 +43,7 @@ def first_cuts(p1: np.ndarray, p2: np.ndarray, ends: np.ndarray, widths: np.ndar
     m = 1.0 / (1.0 / n0 + 1.0 / n1)
     log = np.log(2.0 * n / delta)
     hit = usable & (np.abs(mu0 - mu1) > np.sqrt(2.0 / m * log) * np.sqrt(spread) + 2.0 / (3.0 * m) * log)
-    return np.where(hit.any(axis=1), SPLITS[hit.argmax(axis=1)], 0)
+    return np.where(hit.any(axis=1), splits[hit.argmax(axis=1)], 0)
 
 
 def advance(values: np.ndarray, start: int, width: int, delta: float = DELTA, cap: int = MAX_WINDOW):
@@ -50,18 +54,18 @@ def advance(values: np.ndarray, start: int, width: int, delta: float = DELTA, ca
     """
     x = values - values.mean() if len(values) else values
     p1, p2 = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x))
-    found, i = [], start
+    found, i, block = [], start, BLOCK
     while i < len(values):
-        ends = np.arange(i + 1, min(i + BLOCK, len(values)) + 1)
+        ends = np.arange(i + 1, min(i + block, len(values)) + 1)
         widths = np.minimum(width + 1 + np.arange(len(ends)), cap)
         cuts = first_cuts(p1, p2, ends, widths, delta)
         drift = np.flatnonzero(cuts)
         if len(drift):  # rows after a drift see a shorter window and are checked again
             row = drift[0]
             found.append(int(ends[row]) - 1)
-            width, i = int(widths[row] - cuts[row]), int(ends[row])
+            width, i, block = int(widths[row] - cuts[row]), int(ends[row]), AFTER_DRIFT
         else:
-            width, i = int(widths[-1]), int(ends[-1])
+            width, i, block = int(widths[-1]), int(ends[-1]), min(2 * block, BLOCK)
     return found, width
 
 
