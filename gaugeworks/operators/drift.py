@@ -41,12 +41,17 @@ def value_counts(reference: DataFrame, new: DataFrame, keys: Sequence[str], feat
         cols = [F.col(c).cast("double").alias(c) for c in features]
         return df.select(*keys, F.lit(ref).alias("__ref"), *cols)
 
-    both = side(reference, 1).unionByName(side(new, 0)).unpivot([*keys, "__ref"], list(features), "feature", "x")
-    return (
+    # features are numbered until their values are counted: a number is cheaper to group by than a name
+    pairs = [c for i, name in enumerate(features) for c in (F.lit(i), F.col(f"`{name}`"))]
+    both = side(reference, 1).unionByName(side(new, 0))
+    both = both.select(*keys, "__ref", F.stack(F.lit(len(features)), *pairs).alias("__f", "x"))
+    counts = (
         both.where(F.col("x").isNotNull() & ~F.isnan("x"))
-        .groupBy(*keys, "feature", (F.col("x") + F.lit(0.0)).alias("x"))
+        .groupBy(*keys, "__f", (F.col("x") + F.lit(0.0)).alias("x"))
         .agg(F.sum("__ref").cast("long").alias("n_ref"), F.sum(1 - F.col("__ref")).cast("long").alias("n_new"))
     )
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("__f") + 1).alias("feature")
+    return counts.select(*keys, name, "x", "n_ref", "n_new")
 
 
 def ks_p_value(d: Column, n: Column, m: Column) -> Column:
