@@ -8,11 +8,13 @@ members' tokens, and two groups are opened only if a bound on their overlap allo
    linked with any. Of most texts that is all that is ever asked. The sets that stay are asked again
    among themselves.
 3. The tokens of a remaining set are dealt into parts by hash. Two sets of similarity t differ in at most
-   d = (1-t)/(1+t) (|x|+|y|) tokens, so of d + 2 parts at least two are equal, whatever the sets. The
-   matrix has a row for each (part of a set); sets without a common row cannot be linked. (d + 2, not
-   d + 1, so that one empty part need not count. A set with more of them lists its empty parts too.)
-   Sets that share rows, directly or through others, are a family. A family is one group, or more if
-   it holds more than ``group_size`` sets or ``group_tokens`` tokens.
+   d = (1-t)/(1+t) (|x|+|y|) tokens, so of d + k + 1 parts at least k + 1 are equal, whatever the sets. The
+   matrix has a row for each (part of a set); sets without a common row cannot be linked. (k, about d / 8,
+   is room for empty parts, which need not count. A set with more of them than k lists them too; as rows
+   they join sets that have nothing in common.) A row of more than 16 sets ties them all; of the sets of
+   smaller rows a pair is tied only if it shares as many rows as the bound asks of a link. Sets that are
+   tied, directly or through others, are a family. A family is one group, or more if it holds more than
+   ``group_size`` sets or ``group_tokens`` tokens.
 4. Groups are opened. Inside a group, and between two of a family, the union of the other members'
    tokens bounds a member's overlap with any of them; members that cannot reach the limit are left out,
    until no more go, and only if any remain are overlaps counted, exactly. Every group is compared with
@@ -51,6 +53,8 @@ from gaugeworks.session import prepare, stage
 _RUN = 4 << 20  # bytes of text handled at once
 _TOKEN_BYTES = 6
 _SEGMENT_ROWS = 1_000_000  # matrix rows one task gathers, about
+_FEW = 16  # sets of a matrix row whose pairs are counted one by one
+_PAIRS = 500_000  # counted at once
 
 
 def bands(percent: int, largest: int = 1 << 31) -> np.ndarray:
@@ -61,17 +65,19 @@ def bands(percent: int, largest: int = 1 << 31) -> np.ndarray:
     return np.array(starts, dtype=np.int64)
 
 
-def matrix_rows(tokens: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The part keys of all sets in a row, and the number of keys of each set."""
+def listed_parts(tokens: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The part keys of all sets in a row, the set of each, and how many rows a link of this set has to
+    share at least; that number is below zero where the set lists itself in the next band."""
     starts = bands(percent)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     band = np.searchsorted(starts, sizes, side="right") - 1
-    keys, owners = [], []
+    keys, owners, needs = [], [], []
     for ahead in (0, 1):  # a set lists itself in its own band and in the next
         at = band + ahead
         # the most two sets of this band or the one before can differ by
         differ = (100 - percent) * 2 * (starts[at + 1] - 1) // (100 + percent)
-        parts = np.where((differ > 0) & (sizes > 0), differ + 2, 0)
+        room = np.maximum(differ // 8, 1)
+        parts = np.where((differ > 0) & (sizes > 0), differ + room + 1, 0)
         base = np.cumsum(parts) - parts
         has = parts[owner] > 0
         mine = base[owner[has]] + (tokens[has] % parts[owner[has]].astype(np.uint64)).astype(np.int64)
@@ -81,13 +87,19 @@ def matrix_rows(tokens: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np
         who = np.repeat(np.arange(len(sizes)), parts)
         number = (np.arange(len(total)) - base[who]).astype(np.uint64)
         place = mix(at[who].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + number)
-        many_empty = np.bincount(who[empty], minlength=len(sizes)) > 1
-        keep = ~empty | many_empty[who]
+        n_empty = np.bincount(who[empty], minlength=len(sizes))
+        need = room + 1 - np.where(n_empty > room, 0, n_empty)
+        keep = ~empty | (n_empty > room)[who]
         keys.append(mix(total + place)[keep])
         owners.append(who[keep])
-    key, who = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(who, kind="stable")
-    return key[order], np.bincount(who, minlength=len(sizes))
+        needs.append((-need if ahead else need)[who[keep]])
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(needs)
+
+
+def matrix_rows(tokens: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part keys of all sets in a row, and the number of keys of each set."""
+    key, who, _ = listed_parts(tokens, sizes, percent)
+    return key[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(sizes))
 
 
 def _class_hash(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -199,40 +211,59 @@ def repeated_tokens(rows: DataFrame, width: int, segments: int) -> DataFrame:
     return bits.groupBy("run").applyInPandas(add, "class long, n long, repeated long")
 
 
+def tied(key: np.ndarray, member: np.ndarray, need: np.ndarray) -> pd.DataFrame:
+    """Ties of the members of matrix rows: (class, low, seen, need), with low the smaller class, how many
+    rows a pair was seen in and how many a link has to share. In rows of more than ``_FEW`` members all
+    are tied with the smallest, whatever the number."""
+    order = np.lexsort((member, key))
+    key, member, need = key[order], member[order], need[order]
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[1:] != key[:-1]
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(key)))
+    # two sets of one band meet in its rows, not in those of the next
+    meets = np.add.reduceat(need > 0, start) > 0 if len(start) else first
+    large = np.repeat(meets & (size > _FEW), size)
+    low = np.repeat(member[start], size)[large]
+    whole = pd.DataFrame({"class": member[large], "low": low}).drop_duplicates().assign(seen=1, need=1)
+    out = [whole[whole["class"] != whole["low"]]]
+    for n in range(2, _FEW + 1):
+        left, right = np.triu_indices(n, 1)
+        rows, step = start[meets & (size == n)], max(1, _PAIRS // len(left))
+        for at in range(0, len(rows), step):
+            x, y = ((rows[at : at + step, None] + side).ravel() for side in (left, right))
+            ok = (need[x] > 0) | (need[y] > 0)
+            x, y = x[ok], y[ok]
+            pairs = pd.DataFrame({"class": member[y], "low": member[x], "need": np.minimum(abs(need[x]), abs(need[y]))})
+            found = pairs.groupby(["class", "low"], sort=False)["need"].agg(["size", "min"]).reset_index()
+            out.append(found.set_axis(["class", "low", "seen", "need"], axis=1))
+    return pd.concat(out, ignore_index=True).astype("int64")
+
+
 def shared_rows(sets: DataFrame, percent: int, segments: int) -> DataFrame:
-    """The matrix rows that more than one class lists: (class, low), the smallest class of the row."""
+    """Ties of the classes that list the same matrix rows: (class, low), low the smaller one."""
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in _slices(batch, "tokens", _RUN):
                 raw = run.column("tokens").to_pylist()
                 sizes = np.array([len(t) // _TOKEN_BYTES for t in raw], dtype=np.int64)
-                keys, n = matrix_rows(mix(_widen(raw, _TOKEN_BYTES)), sizes, percent)
-                member = np.repeat(run.column("class").to_numpy(), n)
+                keys, who, need = listed_parts(mix(_widen(raw, _TOKEN_BYTES)), sizes, percent)
                 order, bounds = _by_segment(keys, segments)
-                keys, member = keys[order], member[order]
+                columns = (keys[order].astype("<u8"), run.column("class").to_numpy()[who[order]].astype("<i8"), need[order].astype("<i4"))
                 full = [s for s in range(segments) if bounds[s + 1] > bounds[s]]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full, pa.int64()),
-                        pa.array([keys[bounds[s] : bounds[s + 1]].astype("<u8").tobytes() for s in full], pa.binary()),
-                        pa.array([member[bounds[s] : bounds[s + 1]].astype("<i8").tobytes() for s in full], pa.binary()),
-                    ],
-                    names=["segment", "keys", "members"],
+                    [pa.array(full, pa.int64()), *(pa.array([c[bounds[s] : bounds[s + 1]].tobytes() for s in full], pa.binary()) for c in columns)],
+                    names=["segment", "keys", "members", "needs"],
                 )
 
     def gather(parts: pd.DataFrame) -> pd.DataFrame:
-        key, member = np.frombuffer(b"".join(parts["keys"]), dtype="<u8"), np.frombuffer(b"".join(parts["members"]), dtype="<i8")
-        order = np.lexsort((member, key))
-        key, member = key[order], member[order]
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
-        start = np.flatnonzero(first)
-        low = np.repeat(member[start], np.diff(np.append(start, len(key))))
-        return pd.DataFrame({"class": member[member != low], "low": low[member != low]}).drop_duplicates()
-
-    rows = sets.select("class", "tokens").mapInArrow(listing, "segment long, keys binary, members binary")
-    return rows.groupBy("segment").applyInPandas(gather, "class long, low long")
+        return tied(*(np.frombuffer(b"".join(parts[c]), dtype=t) for c, t in (("keys", "<u8"), ("members", "<i8"), ("needs", "<i4"))))
+
+    rows = sets.select("class", "tokens").mapInArrow(listing, "segment long, keys binary, members binary, needs binary")
+    ties = rows.groupBy("segment").applyInPandas(gather, "class long, low long, seen long, need long")
+    enough = ties.groupBy("class", "low").agg(F.sum("seen").alias("seen"), F.min("need").alias("need")).where("seen >= need")
+    return enough.select("class", "low")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:

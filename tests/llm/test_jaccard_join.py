@@ -86,6 +86,25 @@ def test_every_pair_above_the_limit_shares_a_row():
             assert np.intersect1d(keys[: size[0]], keys[size[0] :]).size
 
 
+def test_sets_of_other_tokens_are_not_tied():
+    """Neither by parts that are empty in both nor by a common passage; linked sets are, in any number."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    sets = [rng.integers(0, 2**63, 500, dtype=np.uint64) for _ in range(200)]
+    sets += [np.concatenate([passage, rng.integers(0, 2**63, 350, dtype=np.uint64)]) for _ in range(12)]
+    sets += [np.concatenate([sets[0][8 * i :], rng.integers(0, 2**63, 4 * i, dtype=np.uint64)]) for i in range(1, 11)]
+    sets = [np.unique(s) for s in sets]
+    keys, who, need = jj.listed_parts(np.concatenate(sets), np.array([len(s) for s in sets]), 80)
+    ties = jj.tied(keys, who, need).groupby(["class", "low"]).agg({"seen": "sum", "need": "min"}).reset_index()
+    ties = ties[ties["seen"] >= ties["need"]]
+    assert all(x == 0 or x >= 212 for c in ("class", "low") for x in ties[c])
+    both = {(y, x) for y, x in zip(ties["class"], ties["low"])}
+    for x, a in enumerate(sets):
+        for y in range(x + 1, len(sets)):
+            inside = len(np.intersect1d(a, sets[y]))
+            assert 100 * inside < 80 * (len(a) + len(sets[y]) - inside) or (y, x) in both
+
+
 def _groups(tokens):
     raw = [jj._narrow(t.astype(np.uint64), 6) for t in tokens]
     return raw
