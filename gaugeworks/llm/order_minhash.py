@@ -2,8 +2,8 @@
 
 A text is cut into pieces of up to three characters, anew at every word, white space before a word with
 its first piece; an edit so shifts the pieces of one word only. A text's k-mers, runs of ``K`` pieces,
-are numbered by occurrence, so that a repeated k-mer counts as often as it occurs. A hash of (k-mer, number) deals them into 64 bins and orders them
-inside a bin. Of each bin the two smallest are selected, put back into the order they have in the text,
+are numbered by occurrence, so that a repeated k-mer counts as often as it occurs. A hash of the k-mer, from
+its second occurrence on of (k-mer, number), deals them into 64 bins and orders them inside a bin. Of each bin the two smallest are selected, put back into the order they have in the text,
 and hashed as a pair: one value of the fingerprint. Two texts share a value if the same k-mers are
 smallest and stand in the same order, so moving text lowers the likeness, not only changing it.
 
@@ -49,6 +49,11 @@ def _bin_of(x: Column) -> Column:
     return F.shiftright(x, 64 - _BIN_BITS)
 
 
+def _same(a: Column, b: Column, above: int) -> Column:
+    """Whether two numbers are equal above their lowest bits; null if one is."""
+    return F.shiftright(a.bitwiseXOR(b), above) == 0
+
+
 def _packed(h: Column, place: Column) -> Column:
     return h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(_place_of(place.cast("long")))
 
@@ -71,21 +76,24 @@ def add_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         """How many equal k-mers stand before this one: the furthest equal one, by bisection."""
 
         def equal(back: Column) -> Column:
-            return F.coalesce(_hash_of(F.get(s, j - back)) == _hash_of(x), F.lit(False))
+            return _same(F.get(s, j - back), x, _PLACE_BITS)
 
         def search(bits: int) -> Column:
             steps = F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)])
             return F.aggregate(steps, F.lit(0), lambda d, step: F.when(equal(d + step), d + step).otherwise(d))
 
-        far = F.when(~equal(F.lit(1)), 0)  # most k-mers occur once, most others a few times
-        for bits in (3, 9):
-            far = far.when(~equal(F.lit(1 << bits)), search(bits))
-        return far.otherwise(search(_PLACE_BITS))
+        # most repeated k-mers occur a few times
+        return F.when(equal(F.lit(1 << 9)), search(_PLACE_BITS)).when(equal(F.lit(1 << 3)), search(9)).otherwise(search(3))
+
+    def number(x: Column, j: Column) -> Column:
+        """Most k-mers occur once, and a first one keeps its hash."""
+        again = _packed(F.xxhash64(_hash_of(x), occurrence(x, j)), _place_of(x))
+        return F.when(_same(F.get(s, j - 1), x, _PLACE_BITS), again).otherwise(x)
 
-    numbered = F.transform(s, lambda x, j: _packed(F.xxhash64(_hash_of(x), occurrence(x, j)), _place_of(x)))
+    numbered = F.transform(s, number)
     found = found.withColumn("__v", F.sort_array(numbered)).drop("__s")
     v = F.col("__v")
-    smallest = F.filter(v, lambda x, j: (j < 2) | (_bin_of(F.get(v, j - 2)) != _bin_of(x)))
+    smallest = F.filter(v, lambda x, j: ~F.shiftright(F.get(v, j - 2).bitwiseXOR(x), 64 - _BIN_BITS).eqNullSafe(0))
     found = found.withColumn("__w", smallest).drop("__v")
     w = F.col("__w")
 

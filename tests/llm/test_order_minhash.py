@@ -45,6 +45,12 @@ def test_numbers_by_occurrence_against_a_plain_count(spark):
     assert len(got) == 64 and len(set(got)) == 64
 
 
+def test_a_kmer_that_occurs_once_is_hashed_once(spark):
+    df = om.add_fingerprint(spark.createDataFrame([("abc",)], "t string"), "t", "f")
+    row = df.select("f", F.xxhash64("t").alias("h"), F.xxhash64(F.shiftright(F.xxhash64("t"), 28)).alias("pair")).first()
+    assert row.f == [((row.h >> 58) & 63) << 26 | row.pair & ((1 << 26) - 1)]
+
+
 def test_odd_texts(spark):
     assert near(spark, None, "") == 1 and near(spark, "", "abc") == 0 and near(spark, "abc", "abc") == 1
     assert near(spark, "é" * 30, "é" * 30) == 1 and near(spark, "a" * 100000, "a" * 100000) == 1
