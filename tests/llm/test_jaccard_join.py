@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from gaugeworks.llm import components as module
 from gaugeworks.llm import jaccard_join as jj
 from gaugeworks.llm.components import components
 from gaugeworks.llm.shingles import shingle_sets
@@ -160,6 +161,50 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
 
 
+def _join_rows(plan):
+    """Rows that the joins of an executed plan made."""
+    name, below = plan.nodeName(), plan.children()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _join_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return _join_rows(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name else 0
+    return own + sum(_join_rows(below.apply(i)) for i in range(below.size()))
+
+
+def test_rounds_join_few_edges_again(spark, monkeypatch):
+    """Each edge is joined about twice in all rounds together, however far the labels travel."""
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(2000)
+    pairs = [(int(ids[i]), int(ids[i + k])) for i in range(400) for k in range(1, 13)]  # a thick path
+    pairs += [(i, i + 1) for i in range(3000, 3300)] + [(5000 + k, 5100) for k in range(60)]
+    made, kept = [], module.stage
+
+    def stage(df):
+        df.collect()
+        made.append(_join_rows(df._jdf.queryExecution().executedPlan()))
+        return kept(df)
+
+    monkeypatch.setattr(module, "stage", stage)
+    got = {r.node: r.component for r in module.components(spark.createDataFrame(pairs + [(y, x) for x, y in pairs], "a long, b long"), "a", "b").collect()}
+    path = {int(i) for i in ids[:412]}
+    assert got == {**dict.fromkeys(path, min(path)), **dict.fromkeys(range(3000, 3301), 3000), **dict.fromkeys([*range(5000, 5060), 5100], 5000)}
+    assert 2 * len(pairs) <= sum(made) < 5 * len(pairs)
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(8)
+    for n, m in ((30, 12), (200, 180), (200, 500)):
+        pairs = [(int(x), int(y)) for x, y in rng.integers(0, n, (m, 2))]
+        low = list(range(n))
+        for _ in range(n):
+            for x, y in pairs:
+                low[x] = low[y] = min(low[x], low[y])
+        got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
+        assert got == {i: low[i] for x, y in pairs if x != y for i in (x, y)}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
 @pytest.mark.parametrize("width,percent,size", [(3, 90, 256), (3, 90, 2), (5, 80, 3)])
 def test_links_are_counted(docs_of, width, percent, size):
     """Copies and groups that already lie in one component count too."""
