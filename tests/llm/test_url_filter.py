@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from gaugeworks.llm import url_filter as uf
+from gaugeworks.session import stage
 
 
 def parts(url):
@@ -92,3 +93,18 @@ def test_all_examples_count(spark):
     for r, w in zip(got, want):
         if r.rule is None and abs(w - cut) > 1e-8:
             assert r.verdict == ("allow" if w >= cut else "block")
+
+
+def test_tables_of_urls_are_not_broadcast(pages, monkeypatch):
+    """By size on disk even these few texts, and the grams cut from them, would go to the driver."""
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(uf, "stage", lambda df: stage(planned(df)))
+    planned(uf.filter_urls(pages, uf.RULES))
+    grams, last = [p for p in plans if "MapInPandas" in p and "Join" in p], plans[-1]
+    assert len(grams) == 1 and grams[0].count("SortMergeJoin") == 2 and "Broadcast" not in grams[0]
+    assert last.count("SortMergeJoin") == 1 and "Broadcast" not in last
