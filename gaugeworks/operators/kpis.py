@@ -126,28 +126,42 @@ def one_pass_kpis(table: str) -> dict[str, str]:
     return {k: f.expr for k, f in FORMULAS.items() if f.table == table and f.archetype in ONE_PASS and k != "fin_ltv"}
 
 
-def compute_kpis(df: DataFrame, exprs: dict[str, str], keys: Sequence[str] = (), period: Column | None = None) -> DataFrame:
-    """All expressions in one aggregate: (keys..., kpi_id, period, value)."""
-    at = (period if period is not None else F.lit("all")).alias("period")
-    wide = df.groupBy(*keys, at).agg(*[F.expr(e).cast("double").alias(k) for k, e in exprs.items()])
-    return wide.unpivot([*keys, "period"], list(exprs), "kpi_id", "value").select(*keys, "kpi_id", "period", "value")
-
-
-def compute_boards(base: DataFrame, tables: dict[str, tuple[list, dict[str, str]]], period: Column) -> DataFrame:
+def compute_kpis(
+    df: DataFrame, exprs: dict[str, str], keys: Sequence[str] = (), period: Column | None = None, there: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """All expressions in one aggregate: (keys..., kpi_id, period, value). ``there`` gives KPIs by the
+    column that must have a value in a group for the group to have them."""
+    at, there = (period if period is not None else F.lit("all")).alias("period"), there or {}
+    wide = df.groupBy(*keys, at).agg(*[F.expr(e).cast("double").alias(k) for k, e in exprs.items()], *[F.count(c).alias(c) for c in there])
+    rows = wide.unpivot([*keys, "period", *there], list(exprs), "kpi_id", "value")
+    for column, kpi_ids in there.items():
+        rows = rows.where((F.col(column) > 0) | ~F.col("kpi_id").isin(kpi_ids))
+    return rows.select(*keys, "kpi_id", "period", "value")
+
+
+def compute_boards(
+    base: DataFrame, tables: dict[str, tuple[list, dict[str, str]]], period: Column, only: dict[str, Column] | None = None
+) -> DataFrame:
     """KPIs of several domain tables over one base in a single aggregate: (kpi_id, period, value).
 
     ``tables`` gives, by name, the table's columns over the base and the expressions wanted of it. Columns
     are named after their table, in the expressions too; those no expression uses are pruned at the scan.
+    ``only`` gives, by name, the condition of a table's rows where these are not all of the base.
     """
-    columns, exprs = [], {}
+    columns, exprs, there = [], {}, {}
     for table, (wanted, formulas) in tables.items():
         names = base.select(*wanted).columns
-        columns += [(F.col(c) if isinstance(c, str) else c).alias(f"{table}__{n}") for c, n in zip(wanted, names)]
+        own, rows = [F.col(c) if isinstance(c, str) else c for c in wanted], "*"
+        if table in (only or {}):
+            rows = f"{table}__rows"
+            own, there[rows] = [F.when(only[table], c) for c in own], list(formulas)
+            columns.append(F.when(only[table], True).alias(rows))
+        columns += [c.alias(f"{table}__{n}") for c, n in zip(own, names)]
         # names of columns are neither quoted nor called
         name = re.compile(rf"('[^']*')|\b({'|'.join(names)})\b(?!\s*\()")
         for kpi_id, expr in formulas.items():
-            exprs[kpi_id] = name.sub(lambda m, t=table: m[1] or f"{t}__{m[2]}", expr)
-    return compute_kpis(base.select(period.alias("__period"), *columns), exprs, period=F.col("__period"))
+            exprs[kpi_id] = name.sub(lambda m, t=table: m[1] or f"{t}__{m[2]}", expr).replace("count(*)", f"count({rows})")
+    return compute_kpis(base.select(period.alias("__period"), *columns), exprs, period=F.col("__period"), there=there)
 
 
 def with_target() -> set[str]:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import kpis as kp
 from gaugeworks.plans import bindings as b
-from gaugeworks.plans.registry import query
+from gaugeworks.plans.registry import ORACLE, query
+from gaugeworks.session import stage
 
 # domain tables -----------------------------------------------------------------------------
 
@@ -28,11 +29,11 @@ def _part(expr: str):
     return F.expr(expr).cast("decimal(18,4)")
 
 
-def _lines_and_first_year(spark, sf) -> DataFrame:
+def _lines_and_first_year(spark, sf, how: str = "inner") -> DataFrame:
     # the customer's first year joins the orders before the far more numerous lines do
     orders = b.table(spark, sf, "orders")
     first = orders.groupBy("o_custkey").agg(F.year(F.min("o_orderdate")).alias("first_year"))
-    return b.table(spark, sf, "lineitem").join(orders.join(first, "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return b.table(spark, sf, "lineitem").join(orders.join(first, "o_custkey", how), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def ledger_columns() -> list:
@@ -158,8 +159,11 @@ LINE_TABLES = {
 
 
 def _line_base(spark, sf, tables) -> DataFrame:
-    """Order lines with what the named tables need."""
-    return (_lines_and_first_year if "ledger" in tables else _lines)(spark, sf)
+    """Order lines with what the named tables need. Those of orders without a customer are in every table
+    but the ledger."""
+    if "ledger" not in tables:
+        return _lines(spark, sf)
+    return _lines_and_first_year(spark, sf, "inner" if len(tables) == 1 else "left")
 
 
 def _on_lines(name: str):
@@ -419,7 +423,8 @@ def _wanted(spark, sf, ids, *tables: str) -> DataFrame:
     """The KPIs in ``ids`` of several domain tables: one pass over the order lines, one over the events."""
     picked = {t: {k: e for k, e in kp.one_pass_kpis(t).items() if k in ids} for t in tables}
     lines = {t: (LINE_TABLES[t](), exprs) for t, exprs in picked.items() if t in LINE_TABLES and exprs}
-    parts = [kp.compute_boards(_line_base(spark, sf, lines), lines, F.date_format("o_orderdate", "yyyy"))] if lines else []
+    only = {"ledger": F.col("o_custkey").isNotNull()} if "ledger" in lines and len(lines) > 1 else {}
+    parts = [kp.compute_boards(_line_base(spark, sf, lines), lines, F.date_format("o_orderdate", "yyyy"), only)] if lines else []
     if picked.get("request"):
         parts.append(kp.compute_kpis(request(spark, sf), picked["request"], period=_daily()))
     return reduce(DataFrame.unionByName, parts)
@@ -449,8 +454,53 @@ _BOARD = ", ".join(
 )
 
 
-@query("audience_dashboard", f"""WITH v AS ({' UNION ALL '.join(_pass_sql(t) for t in ('ledger', 'opportunity', 'employee', 'transaction', 'deploy'))}),
+#: KPIs on boards that are no single aggregate, with the queries of their own.
+_OWN = {
+    "fin_revenue_growth_yoy": "kpi_revenue_growth", "sls_arr_growth": "kpi_arr_growth", "fin_burn_rate": "kpi_burn_rate", "fin_runway_months": "kpi_runway",
+    "sls_funnel_conversion": "kpi_funnel", "cust_churn_rate": "kpi_churn_rate", "cust_active_users": "kpi_active_users",
+}
+
+
+def _order_sums(spark, sf) -> DataFrame:
+    """Orders with the sums over their lines, written once for the KPIs of several passes."""
+    sums = b.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sum(_price()).alias("revenue"),
+        F.sum(F.when(F.col("l_linestatus") == "O", _price())).alias("annual_value"),
+        F.sum(_part("l_extendedprice * l_tax")).alias("cash_outflow"),
+    )
+    return stage(sums.join(b.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("customer_id"), F.col("l_orderkey").alias("doc"),
+        _part("o_totalprice").alias("cash_balance"), "revenue", "annual_value", F.lit(True).alias("active"), "cash_outflow",
+    ))
+
+
+def _growth_of(orders: DataFrame, base: str, kpi_id: str) -> DataFrame:
+    """Growth by year; what has no date comes last."""
+    out = kp.growth(kp.compute_kpi(orders, base, period=F.coalesce(_yearly(), F.lit("~"))), kpi_id)
+    return out.withColumn("period", F.nullif("period", F.lit("~")))
+
+
+def _over_passes(spark, sf) -> list[DataFrame]:
+    """The KPIs of ``_OWN``."""
+    orders, events = _order_sums(spark, sf), b.table(spark, sf, "events")
+    burn = kp.average_of_sums(orders, "fin_burn_rate", "cash_outflow", F.date_format("ts", "yyyy-MM"), _yearly())
+    last = orders.where("cash_balance IS NOT NULL").groupBy(_yearly().alias("period")).agg(
+        F.max_by(F.col("cash_balance").cast("double"), F.struct("ts", "doc")).alias("value")
+    )
+    return [
+        _growth_of(orders, "fin_revenue_total", "fin_revenue_growth_yoy"),
+        _growth_of(orders, "sls_arr", "sls_arr_growth"),
+        burn.withColumn("value", F.round("value", 3)),
+        kp.derived(last, burn, "fin_runway_months"),
+        kp.funnel(events, "sls_funnel_conversion", "event_type", STAGES),
+        kp.retention_loss(orders, "customer_id", "ts", None, "cust_churn_rate"),
+        kp.trailing_distinct(_users(spark, sf).where("user_id IS NOT NULL AND ts IS NOT NULL"), "cust_active_users", "user_id", "ts", 30),
+    ]
+
+
+@query("audience_dashboard", f"""WITH v AS ({' UNION ALL '.join([*[_pass_sql(t) for t in TABLES], *[f'SELECT kpi_id, period, value FROM ({ORACLE[q]})' for q in _OWN.values()]])}),
   a(audience, position, kpi_id) AS (VALUES {_BOARD})
   SELECT kpi_id, period, value, audience, position FROM v JOIN a USING (kpi_id)""")
 def _(spark, sf):
-    return kp.audience_dashboard(_six(_wanted(spark, sf, kp.on_boards(), "ledger", "opportunity", "employee", "transaction", "deploy")))
+    parts = [_wanted(spark, sf, kp.on_boards(), *TABLES), *_over_passes(spark, sf)]
+    return kp.audience_dashboard(_six(reduce(DataFrame.unionByName, parts)))

@@ -1,13 +1,15 @@
 import re
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from compare import difference
 from gaugeworks.functions.kpi_catalog import AUDIENCES, CATALOG
 from gaugeworks.operators import kpis as kp
 from gaugeworks.plans import kpi_queries  # noqa: F401  registers the queries
-from gaugeworks.plans.registry import QUERIES
+from gaugeworks.plans.registry import ORACLE, QUERIES
 
 
 def test_every_catalog_kpi_has_a_formula():
@@ -79,3 +81,47 @@ def test_spans_whose_sum_passes_a_long(spark, table, kpi_id, later, unit):
     assert kp.compute_kpi(rows, kpi_id).first()["value"] == pytest.approx(days * 86400 / unit)
     board = kp.compute_boards(rows, {table: (["ts", later], {kpi_id: kp.FORMULAS[kpi_id].expr})}, F.col("p"))
     assert board.first()["value"] == pytest.approx(days * 86400 / unit)
+
+
+def test_dashboard_has_every_kpi_of_every_board(spark):
+    rows = QUERIES["audience_dashboard"](spark, "/root/testdata/sf0.001").where("value IS NOT NULL").collect()
+    got = {(r.audience, r.position, r.kpi_id) for r in rows}
+    assert got == {(name, i + 1, k) for name, ks in AUDIENCES.values() for i, k in enumerate(ks)}
+
+
+@pytest.fixture
+def orders_without_customers(spark, tmp_path):
+    """Two orders without a customer, one of them the only one of its year."""
+    orders = [(1, 7, "F", 90.0, "1995-02-03", "1-URGENT"), (2, None, "O", 50.0, "1995-03-04", "5-LOW"), (3, None, "F", 70.0, "1996-05-06", "1-URGENT"), (4, 8, "P", 20.0, "1997-01-01", "2-HIGH")]
+    lines = [(o, n, 10.0 * n + o, 100.0 * o + n, 0.05, 0.06, "RAN"[n - 1], "OF"[n % 2], "1997-07-08") for o in (1, 2, 3, 4) for n in (1, 2, 3)]
+    kept = {"orders": (orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"),
+            "lineitem": (lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string")}
+    for name, (rows, schema) in kept.items():
+        df = spark.createDataFrame(rows, schema)
+        df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in df.columns if c.endswith("date")}).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    events = [(i, f"2024-01-{1 + i % 5:02d} 0{i % 7}:00:00", i % 3, ["view", "click", "signup", "purchase", "error"][i % 5], 1.5 * i, '{"k": %d}' % i) for i in range(40)]
+    df = spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return tmp_path
+
+
+def test_boards_keep_orders_without_a_customer(spark, orders_without_customers):
+    """All tables but the ledger have their lines, and a year without customers has no ledger."""
+    at = str(orders_without_customers)
+    rows = QUERIES["audience_dashboard"](spark, at).where("kpi_id NOT IN ('hr_attrition_rate', 'hr_voluntary_attrition')")
+    got = {(r.kpi_id, r.period): r.value for r in rows.collect()}
+    assert got["risk_fraud_rate", "1995"] == pytest.approx(302 / 912, abs=1e-6) and got["risk_security_incidents", "1996"] == 3
+    assert ("fin_gross_margin", "1996") not in got and got["fin_revenue_total", "1995"] == 306
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet/*.parquet'")
+    sql = f"SELECT * FROM ({ORACLE['audience_dashboard']}) WHERE kpi_id NOT IN ('hr_attrition_rate', 'hr_voluntary_attrition')"
+    assert difference(rows, con, sql) is None
+
+
+def test_rows_of_one_table_only(spark):
+    base = spark.createDataFrame([(1, 5, True), (1, 7, None), (2, 9, None)], "p int, v int, mine boolean")
+    exprs = {"k_sum": "sum(v)", "k_share": "try_divide(count_if(v > 0), count(*))"}
+    tables = {"x": (["v"], exprs), "y": (["v"], {"k_all": "sum(v)"})}
+    got = {(r.kpi_id, r.period): r.value for r in kp.compute_boards(base, tables, F.col("p"), {"x": F.col("mine")}).collect()}
+    assert got == {("k_sum", 1): 5.0, ("k_share", 1): 1.0, ("k_all", 1): 12.0, ("k_all", 2): 9.0}
